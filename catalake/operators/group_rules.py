@@ -18,6 +18,8 @@ from catalake.functions.vocabulary import Vocabulary
 from catalake.operators.row_rules import say
 from catalake.operators.skew import INLINE_MEMBERS, count_by, member_window, salted_join
 
+# Products of many catalogs can be inspected at once: rows with this column are compared only within its value.
+SCOPE = "catalog_id"
 # Rows are shown with their position in the file: the header is 1, the first product 2.
 FIRST_ROW_NUMBER = 2
 NO_ID_TEXT = "없음"
@@ -37,6 +39,7 @@ def _issues(rows: DataFrame, rule: str, severity: str, position: int, message: C
         pairs += [F.lit(name), value.cast("string")]
     arguments = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     return rows.select(
+        *_scope(rows),
         F.lit(rule).alias("rule"),
         F.lit(severity).alias("severity"),
         (F.col("product_id") if product_id is None else product_id).alias("product_id"),
@@ -50,6 +53,10 @@ def _issues(rows: DataFrame, rule: str, severity: str, position: int, message: C
     )
 
 
+def _scope(frame: DataFrame) -> list[str]:
+    return [SCOPE] if SCOPE in frame.columns else []
+
+
 def _row_number() -> Column:
     return F.col("row_index") + FIRST_ROW_NUMBER
 
@@ -63,18 +70,19 @@ def _listed(values: Column) -> Column:
 
 def _id_rows(products: DataFrame) -> DataFrame:
     rows = products.where(F.col("product_id") != "")
-    return rows.select("row_index", "product_id", "product_group_id", F.col("product_id").alias("id_key"))
+    return rows.select(*_scope(rows), "row_index", "product_id", "product_group_id", F.col("product_id").alias("id_key"))
 
 
 def duplicate_ids(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
     rows = _id_rows(products)
+    key = [*_scope(rows), "id_key"]
     repeated = (
-        rows.groupBy("id_key")
+        rows.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("n"), F.min("row_index").alias("lead"))
         .where(F.col("n") > 1)
     )
-    flagged = salted_join(rows, repeated, ["id_key"])
-    group = member_window(["id_key"], F.col("n"), limit)
+    flagged = salted_join(rows, repeated, key)
+    group = member_window(key, F.col("n"), limit)
     flagged = flagged.withColumn("numbers", F.collect_list(_row_number()).over(group))
     inline = F.col("n") <= limit
     where = F.when(inline, _listed(F.col("numbers")))
@@ -94,31 +102,32 @@ def duplicate_ids(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_ME
 def _category_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     rows = products.where((F.col("product_group_id") != "") & (F.col("category") != ""))
     return rows.select(
-        "row_index", "product_id", "product_group_id", F.col("product_group_id").alias("group_key"),
+        *_scope(rows), "row_index", "product_id", "product_group_id", F.col("product_group_id").alias("group_key"),
         keys.category_key(F.col("category"), vocab).alias("category_key"), F.col("category").alias("shown"),
     )
 
 
 def group_categories(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
     rows = _category_rows(products, vocab)
+    key = [*_scope(rows), "group_key"]
     mixed = (
-        rows.groupBy("group_key")
+        rows.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("n"), F.min("category_key").alias("low"), F.max("category_key").alias("high"))
         .where(F.col("low") != F.col("high"))
-        .select("group_key", "n")
+        .select(*key, "n")
     )
-    flagged = salted_join(rows, mixed, ["group_key"])
+    flagged = salted_join(rows, mixed, key)
     # Payload once per group: categories in first-seen order, each with its ids in first-seen order.
     ids = (
         flagged.where(F.col("n") <= limit)
-        .groupBy("group_key", "category_key", "product_id")
+        .groupBy(*key, "category_key", "product_id")
         .agg(F.min(F.struct("row_index", "shown")).alias("first"))
     )
-    per_category = ids.groupBy("group_key", "category_key").agg(
+    per_category = ids.groupBy(*key, "category_key").agg(
         F.min("first").alias("first"),
         F.array_sort(F.collect_list(F.struct(F.col("first.row_index").alias("at"), "product_id"))).alias("ids"),
     )
-    payload = per_category.groupBy("group_key").agg(
+    payload = per_category.groupBy(*key).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -130,13 +139,13 @@ def group_categories(products: DataFrame, vocab: Vocabulary, limit: int = INLINE
         ).alias("categories")
     )
     described = payload.select(
-        "group_key",
+        *key,
         F.transform(
             "categories",
             lambda c: F.struct(c["display_value"].alias("display_value"), c["product_ids"].alias("product_ids")),
         ).alias("categories"),
     )
-    flagged = salted_join(flagged, described, ["group_key"], how="left")
+    flagged = salted_join(flagged, described, key, how="left")
     body = F.to_json(F.struct(F.col("group_key").alias("product_group_id"), "categories"))
     message = F.when(
         F.col("categories").isNotNull(), F.concat(F.lit("inconsistent_group_category:"), body)
@@ -154,21 +163,22 @@ def group_categories(products: DataFrame, vocab: Vocabulary, limit: int = INLINE
 def _size_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     rows = products.where((F.col("product_group_id") != "") & (F.col("size") != ""))
     return rows.select(
-        "row_index", "product_id", "product_group_id", F.col("product_group_id").alias("group_key"),
+        *_scope(rows), "row_index", "product_id", "product_group_id", F.col("product_group_id").alias("group_key"),
         keys.size_system(F.col("size"), vocab).alias("system"),
     )
 
 
 def group_sizes(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
     rows = _size_rows(products, vocab)
+    key = [*_scope(rows), "group_key"]
     mixed = (
-        rows.groupBy("group_key")
+        rows.groupBy(*key)
         .agg(F.min("system").alias("low"), F.max("system").alias("high"))
         .where(F.col("low") != F.col("high"))
-        .select("group_key")
+        .select(*key)
     )
     return _issues(
-        salted_join(rows, mixed, ["group_key"]).where(F.col("system").isNotNull()), "inconsistent_group_size_system", "warning", 2,
+        salted_join(rows, mixed, key).where(F.col("system").isNotNull()), "inconsistent_group_size_system", "warning", 2,
         F.lit("product group mixes alpha and numeric size systems"), {},
     )
 
@@ -184,7 +194,7 @@ def _variant_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
         & ((F.col("size") != "") | F.col("category").isin(*vocab.size_optional))
     )
     return rows.select(
-        "row_index", "product_id", "product_group_id", F.col("product_group_id").alias("group_key"),
+        *_scope(rows), "row_index", "product_id", "product_group_id", F.col("product_group_id").alias("group_key"),
         F.col("product_id").alias("id_key"), keys.color_key(F.col("color"), vocab).alias("color_key"),
         keys.variant_size_key(F.col("category"), F.col("size"), vocab).alias("size_key"),
         keys.content_key(vocab).alias("content"),
@@ -198,19 +208,20 @@ def _flagged_variants(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     those of both. No pairs are formed, so a huge bucket costs the same as many small ones.
     """
     rows = _variant_rows(products, vocab)
+    key = [*_scope(rows), *VARIANT]
     shared = (
-        rows.groupBy(*VARIANT)
+        rows.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("n"), F.min("id_key").alias("low"), F.max("id_key").alias("high"))
         .where(F.col("low") != F.col("high"))
-        .select(*VARIANT, "n")
-    )
-    rows = salted_join(rows, shared, VARIANT)
-    by_id = count_by(rows, [*VARIANT, "id_key"], "n_id")
-    by_content = count_by(rows.where(F.col("content").isNotNull()), [*VARIANT, "content"], "n_content")
-    by_both = count_by(rows.where(F.col("content").isNotNull()), [*VARIANT, "id_key", "content"], "n_both")
-    rows = salted_join(rows, by_id, [*VARIANT, "id_key"], how="left")
-    rows = salted_join(rows, by_content, [*VARIANT, "content"], how="left")
-    rows = salted_join(rows, by_both, [*VARIANT, "id_key", "content"], how="left")
+        .select(*key, "n")
+    )
+    rows = salted_join(rows, shared, key)
+    by_id = count_by(rows, [*key, "id_key"], "n_id")
+    by_content = count_by(rows.where(F.col("content").isNotNull()), [*key, "content"], "n_content")
+    by_both = count_by(rows.where(F.col("content").isNotNull()), [*key, "id_key", "content"], "n_both")
+    rows = salted_join(rows, by_id, [*key, "id_key"], how="left")
+    rows = salted_join(rows, by_content, [*key, "content"], how="left")
+    rows = salted_join(rows, by_both, [*key, "id_key", "content"], how="left")
     # A missing count stands for one row, or for none where the content cannot be compared.
     single = F.when(F.col("content").isNotNull(), 1).otherwise(0)
     others = (
@@ -221,7 +232,7 @@ def _flagged_variants(products: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 def duplicate_variants(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
     flagged = _flagged_variants(products, vocab)
-    group = member_window(VARIANT, F.col("n"), limit)
+    group = member_window([*_scope(flagged), *VARIANT], F.col("n"), limit)
     flagged = flagged.withColumn("ids", F.array_distinct(F.collect_list("id_key").over(group)))
     body = F.to_json(
         F.struct(
@@ -248,7 +259,7 @@ def duplicate_variants(products: DataFrame, vocab: Vocabulary, limit: int = INLI
 
 def _name_rows(products: DataFrame) -> DataFrame:
     rows = products.where(keys.has_name_key(F.col("product_name"))).select(
-        "row_index", "product_id", "product_group_id", "product_name",
+        *_scope(products), "row_index", "product_id", "product_group_id", "product_name",
         keys.name_key(F.col("product_name")).alias("name_key"),
         keys.option_key(F.col("product_group_id")).alias("group_opt"),
         keys.option_key(F.col("product_id")).alias("id_opt"),
@@ -268,9 +279,10 @@ def _flagged_names(products: DataFrame) -> DataFrame:
     size and per combination decide that.
     """
     rows = _name_rows(products)
+    key = [*_scope(rows), "name_key"]
     no_color, no_size = F.col("color_opt") == "", F.col("size_opt") == ""
     same_name = (
-        rows.groupBy("name_key")
+        rows.groupBy(*key)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("row_index").alias("lead"),
@@ -287,27 +299,27 @@ def _flagged_names(products: DataFrame) -> DataFrame:
         (F.col("low_group") != F.col("high_group")) | (F.col("low_group") == "") | (F.col("low_id") == "")
         | (F.col("n_bare") > 0)
     )
-    buckets = same_name.select("name_key", "n", "n_no_color", "n_no_size", "lead", all_flagged.alias("all_flagged"))
-    rows = salted_join(rows, buckets, ["name_key"])
+    buckets = same_name.select(*key, "n", "n_no_color", "n_no_size", "lead", all_flagged.alias("all_flagged"))
+    rows = salted_join(rows, buckets, key)
     open_rows = rows.where(~F.col("all_flagged"))
-    by_id = count_by(open_rows, ["name_key", "id_opt"], "n_id")
-    by_option = count_by(open_rows, ["name_key", "color_opt", "size_opt"], "n_option")
+    by_id = count_by(open_rows, [*key, "id_opt"], "n_id")
+    by_option = count_by(open_rows, [*key, "color_opt", "size_opt"], "n_option")
     by_color = (
         open_rows.where(~no_color)
-        .groupBy("name_key", "color_opt")
+        .groupBy(*key, "color_opt")
         .agg(F.count(F.lit(1)).alias("n_color"), F.count_if(no_size).alias("n_color_bare"))
         .where((F.col("n_color") > 1) & (F.col("n_color_bare") > 0))
     )
     by_size = (
         open_rows.where(~no_size)
-        .groupBy("name_key", "size_opt")
+        .groupBy(*key, "size_opt")
         .agg(F.count(F.lit(1)).alias("n_size"), F.count_if(no_color).alias("n_size_bare"))
         .where((F.col("n_size") > 1) & (F.col("n_size_bare") > 0))
     )
-    rows = salted_join(rows, by_id, ["name_key", "id_opt"], how="left")
-    rows = salted_join(rows, by_option, ["name_key", "color_opt", "size_opt"], how="left")
-    rows = salted_join(rows, by_color, ["name_key", "color_opt"], how="left")
-    rows = salted_join(rows, by_size, ["name_key", "size_opt"], how="left")
+    rows = salted_join(rows, by_id, [*key, "id_opt"], how="left")
+    rows = salted_join(rows, by_option, [*key, "color_opt", "size_opt"], how="left")
+    rows = salted_join(rows, by_color, [*key, "color_opt"], how="left")
+    rows = salted_join(rows, by_size, [*key, "size_opt"], how="left")
     # A full row meets: its twin, its color without size, its size without color. A row without size meets any row
     # of its color and any row without color; likewise the other way round.
     clash = (
@@ -325,7 +337,7 @@ def _flagged_names(products: DataFrame) -> DataFrame:
 
 def duplicate_names(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
     flagged = _flagged_names(products)
-    group = member_window(["name_key"], F.col("n"), limit)
+    group = member_window([*_scope(flagged), "name_key"], F.col("n"), limit)
     flagged = flagged.withColumn(
         "members",
         F.collect_list(
@@ -363,21 +375,22 @@ def duplicate_names(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_
 
 def _content_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     rows = products.where(keys.comparable(vocab))
-    return rows.select("row_index", "product_id", "product_group_id", keys.content_key(vocab).alias("content"))
+    return rows.select(*_scope(rows), "row_index", "product_id", "product_group_id", keys.content_key(vocab).alias("content"))
 
 
 def duplicate_content(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
     rows = _content_rows(products, vocab)
+    key = [*_scope(rows), "content"]
     repeated = (
-        rows.groupBy("content")
+        rows.groupBy(*key)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min(F.struct("row_index", "product_id", "product_group_id")).alias("first"),
         )
         .where(F.col("n") > 1)
-        .select("content", "first")
+        .select(*key, "first")
     )
-    later = salted_join(rows, repeated, ["content"]).where(F.col("row_index") > F.col("first.row_index"))
+    later = salted_join(rows, repeated, key).where(F.col("row_index") > F.col("first.row_index"))
     first_id, first_group = F.col("first.product_id"), F.col("first.product_group_id")
     message = say(
         "product_id '{}' in group '{}' duplicates product_id '{}' in group '{}' "
@@ -403,22 +416,22 @@ HIGH_RATIO = 4.0
 def _priced_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     rows = products.where((F.col("category") != "") & (F.col("price") > 0))
     return rows.select(
-        "row_index", "product_id", "product_group_id", "price",
+        *_scope(rows), "row_index", "product_id", "product_group_id", "price",
         keys.category_key(F.col("category"), vocab).alias("category_key"), F.col("category").alias("shown"),
     )
 
 
-def exact_medians(rows: DataFrame, key: str, value: str, at_least: int = 1) -> DataFrame:
+def exact_medians(rows: DataFrame, key: list[str], value: str, at_least: int = 1) -> DataFrame:
     """Exact median of positive BIGINTs per key: (key, n, median).
 
     The two middle ranks are located digit by digit (three digits of 21 bits). Each step counts rows per digit, so no
     step orders more than 2**21 entries of one key in a task, however many rows or distinct values the key has.
     """
     bits, mask = 21, (1 << 21) - 1
-    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(key).agg(F.sum("n").alias("total")).where(F.col("total") >= at_least)
+    counts = rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*key).agg(F.sum("n").alias("total")).where(F.col("total") >= at_least)
     middle = totals.select(
-        key, "total",
+        *key, "total",
         F.explode(
             F.array(F.expr("(total - 1) div 2"), F.expr("total div 2"))
         ).alias("rank"),
@@ -427,33 +440,34 @@ def exact_medians(rows: DataFrame, key: str, value: str, at_least: int = 1) -> D
     for level in (2, 1, 0):
         shift = level * bits
         by_digit = counts.groupBy(
-            key,
+            *key,
             F.shiftright(value, shift + bits).alias("prefix") if level < 2 else F.lit(0).cast("bigint").alias("prefix"),
             F.shiftright(value, shift).bitwiseAND(mask).alias("digit"),
         ).agg(F.sum("n").alias("n"))
-        wanted = by_digit.join(found.select(key, "prefix").distinct(), [key, "prefix"], "left_semi")
+        wanted = by_digit.join(found.select(*key, "prefix").distinct(), [*key, "prefix"], "left_semi")
         running = wanted.withColumn("upto", F.sum("n").over(_running(key)))
         found = (
-            found.join(running, [key, "prefix"])
+            found.join(running, [*key, "prefix"])
             .where((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
             .select(
-                key, "total", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"),
+                *key, "total", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"),
                 F.shiftleft("prefix", bits).bitwiseOR(F.col("digit")).alias("prefix"),
             )
         )
-    return found.groupBy(key).agg(
+    return found.groupBy(*key).agg(
         F.first("total").alias("n"),
         ((F.min("prefix").cast("double") + F.max("prefix").cast("double")) / 2).alias("median"),
     )
 
 
-def _running(key: str):
-    return Window.partitionBy(key, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+def _running(key: list[str]):
+    return Window.partitionBy(*key, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def category_medians(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     """(category_key, n, median) for categories with enough valid prices."""
-    return exact_medians(_priced_rows(products, vocab), "category_key", "price", MIN_PRICES)
+    rows = _priced_rows(products, vocab)
+    return exact_medians(rows, [*_scope(rows), "category_key"], "price", MIN_PRICES)
 
 
 def plain_number(value: Column) -> Column:
@@ -466,9 +480,10 @@ def plain_number(value: Column) -> Column:
 
 def price_outliers(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
     rows = _priced_rows(products, vocab)
-    medians = category_medians(products, vocab).select("category_key", "median")
+    key = [*_scope(rows), "category_key"]
+    medians = category_medians(products, vocab).select(*key, "median")
     price, median = F.col("price"), F.col("median")
-    flagged = salted_join(rows, medians, ["category_key"]).where(
+    flagged = salted_join(rows, medians, key).where(
         (price < median * LOW_RATIO) | (price > median * HIGH_RATIO)
     )
     ratio = price / median
@@ -499,17 +514,18 @@ def group_members(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     The companion of the inline lists: it scales to groups of any size.
     """
     ids = _id_rows(products)
-    repeated = count_by(ids, ["id_key"], "n")
-    by_id = salted_join(ids, repeated, ["id_key"]).select(
-        F.lit("duplicate_product_id").alias("rule"), F.col("id_key").alias("group"), _row_number().alias("row_number"),
-        "product_id",
-    )
-    by_variant = _flagged_variants(products, vocab).select(
-        F.lit("duplicate_variant_combination").alias("rule"),
-        F.concat_ws(keys.PART_SEPARATOR, *VARIANT).alias("group"), _row_number().alias("row_number"), "product_id",
-    )
-    by_name = _flagged_names(products).select(
-        F.lit("duplicate_product_name").alias("rule"), F.col("name_key").alias("group"),
-        _row_number().alias("row_number"), "product_id",
+    scope = _scope(ids)
+    repeated = count_by(ids, [*scope, "id_key"], "n")
+    by_id = salted_join(ids, repeated, [*scope, "id_key"])
+
+    def members(rows: DataFrame, rule: str, group: Column) -> DataFrame:
+        return rows.select(
+            *scope, F.lit(rule).alias("rule"), group.alias("group"), _row_number().alias("row_number"), "product_id"
+        )
+
+    variant = F.concat_ws(keys.PART_SEPARATOR, *VARIANT)
+    return (
+        members(by_id, "duplicate_product_id", F.col("id_key"))
+        .unionByName(members(_flagged_variants(products, vocab), "duplicate_variant_combination", variant))
+        .unionByName(members(_flagged_names(products), "duplicate_product_name", F.col("name_key")))
     )
-    return by_id.unionByName(by_variant).unionByName(by_name)

@@ -244,10 +244,11 @@ def run_row_rules(products: DataFrame, rules: tuple[RowRule, ...], vocab: Vocabu
         rows = rows.withColumns(layer)
     found = F.concat(*[F.transform(rule.findings(vocab), _placed(rule.position)) for rule in rules])
     hit = F.col("hit")
+    scope = [name for name in ("catalog_id",) if name in products.columns]
     return rows.select(
-        "product_id", "product_group_id", "row_index", F.posexplode(found).alias("sub_ord", "hit")
+        *scope, "product_id", "product_group_id", "row_index", F.posexplode(found).alias("sub_ord", "hit")
     ).select(
-        hit["rule"].alias("rule"), hit["severity"].alias("severity"), "product_id", "product_group_id",
+        *scope, hit["rule"].alias("rule"), hit["severity"].alias("severity"), "product_id", "product_group_id",
         hit["args"].alias("args"), hit["message"].alias("message"), hit["rule_ord"].alias("rule_ord"),
         F.col("row_index").alias("lead_row"), "row_index", "sub_ord",
     )
