@@ -102,17 +102,26 @@ def first_by_key(values: Column, element_type: str, key) -> Column:
     return F.transform(F.aggregate(keyed, empty, step), lambda item: item["value"])
 
 
-def find_terms(text: Column, terms: tuple[str, ...]) -> Column:
-    """The listed terms that occur in the text, in list order."""
-    wanted = [(term, " ".join(term.split()).casefold()) for term in terms]
-    return bind(
-        squash(text),
-        lambda flat: F.array_compact(
-            F.array(*[F.when(F.contains(flat, F.lit(needle)), F.lit(term)) for term, needle in wanted if needle])
-        ),
+def _needles(terms: tuple[str, ...]) -> list[tuple[str, str]]:
+    flat = [(term, " ".join(term.split()).casefold()) for term in terms]
+    return [(term, needle) for term, needle in flat if needle]
+
+
+def terms_in(flat: Column, terms: tuple[str, ...]) -> Column:
+    """The listed terms that occur in a squashed text, in list order."""
+    return F.array_compact(
+        F.array(*[F.when(F.contains(flat, F.lit(needle)), F.lit(term)) for term, needle in _needles(terms)])
     )
 
 
+def any_term_in(flat: Column, terms: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(flat, F.lit(needle)) for _, needle in _needles(terms)], F.lit(False))
+
+
+def find_terms(text: Column, terms: tuple[str, ...]) -> Column:
+    return bind(squash(text), lambda flat: terms_in(flat, terms))
+
+
 def find_emails(text: Column) -> Column:
     found = first_by_key(hits(text, EMAIL), "string", fold)
     return F.when(F.contains(text, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
@@ -129,11 +138,6 @@ def find_residents(text: Column) -> Column:
     return F.array_distinct(hits(text, RESIDENT))
 
 
-def has_account_context(text: Column, vocab: Vocabulary = DEFAULT) -> Column:
-    needles = [" ".join(term.split()).casefold() for term in vocab.account_terms]
-    return bind(squash(text), lambda flat: reduce(or_, [F.contains(flat, F.lit(needle)) for needle in needles]))
-
-
 def _account_walk(text: Column) -> Column:
     """Walk the account-shaped hits once: which are real (not on a phone or resident number, first of their
     digits) and the text with exactly those masked."""
@@ -164,13 +168,20 @@ def _account_walk(text: Column) -> Column:
     return F.aggregate(_cuts(text, ACCOUNT), start, step)
 
 
-def _may_hold_account(text: Column, vocab: Vocabulary) -> Column:
-    return text.rlike(ACCOUNT) & has_account_context(text, vocab)
+def _may_hold_account(text: Column, vocab: Vocabulary, flat: Column | None = None) -> Column:
+    """An account-shaped number and a word that speaks of accounts."""
+    context = (
+        bind(squash(text), lambda bound: any_term_in(bound, vocab.account_terms))
+        if flat is None
+        else any_term_in(flat, vocab.account_terms)
+    )
+    return text.rlike(ACCOUNT) & context
 
 
-def find_accounts(text: Column, vocab: Vocabulary = DEFAULT) -> Column:
+def find_accounts(text: Column, vocab: Vocabulary = DEFAULT, flat: Column | None = None) -> Column:
+    """Suspected account numbers. ``flat``: the squashed text, when the caller has it already."""
     none = F.array().cast("array<string>")
-    return F.when(_may_hold_account(text, vocab), _account_walk(text)["found"]).otherwise(none)
+    return F.when(_may_hold_account(text, vocab, flat), _account_walk(text)["found"]).otherwise(none)
 
 
 def _mask_hits(text: Column, pattern: str, mask) -> Column:

@@ -15,6 +15,8 @@ WHITESPACE = (
 )
 WS = "[" + WHITESPACE + "]"  # the same set as a regex class
 
+UNTIDY = f" {WS}+|[{WHITESPACE.replace(' ', '')}]{WS}*"
+
 FULL_WIDTH_DIGITS = "０１２３４５６７８９"
 
 
@@ -25,7 +27,8 @@ def strip(col: Column) -> Column:
 
 def collapse(col: Column) -> Column:
     """Runs of white space become one blank, none at the ends."""
-    return F.btrim(F.regexp_replace(F.coalesce(col, F.lit("")), WS + "+", " "), F.lit(" "))
+    # Only runs that are not already one plain blank are rewritten, so tidy text passes through untouched.
+    return F.btrim(F.regexp_replace(F.coalesce(col, F.lit("")), UNTIDY, " "), F.lit(" "))
 
 
 def fold(col: Column) -> Column:

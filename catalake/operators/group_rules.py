@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from catalake.functions import keys
 from catalake.functions.vocabulary import Vocabulary
 from catalake.operators.row_rules import say
-from catalake.operators.skew import INLINE_MEMBERS, count_by, member_window, salted_join
+from catalake.operators.skew import INLINE_MEMBERS, member_window, salted_join
 
 # Products of many catalogs can be inspected at once: rows with this column are compared only within its value.
 SCOPE = "catalog_id"
@@ -110,24 +110,23 @@ def _category_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
 def group_categories(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
     rows = _category_rows(products, vocab)
     key = [*_scope(rows), "group_key"]
+    # One cell per group, category and product id; everything else is read off the cells.
+    cells = rows.groupBy(*key, "category_key", "product_id").agg(
+        F.count(F.lit(1)).alias("n_cell"), F.min(F.struct("row_index", "shown")).alias("first")
+    )
     mixed = (
-        rows.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("category_key").alias("low"), F.max("category_key").alias("high"))
+        cells.groupBy(*key)
+        .agg(F.sum("n_cell").alias("n"), F.min("category_key").alias("low"), F.max("category_key").alias("high"))
         .where(F.col("low") != F.col("high"))
         .select(*key, "n")
     )
-    flagged = salted_join(rows, mixed, key)
     # Payload once per group: categories in first-seen order, each with its ids in first-seen order.
-    ids = (
-        flagged.where(F.col("n") <= limit)
-        .groupBy(*key, "category_key", "product_id")
-        .agg(F.min(F.struct("row_index", "shown")).alias("first"))
-    )
-    per_category = ids.groupBy(*key, "category_key").agg(
+    listed = salted_join(cells, mixed.where(F.col("n") <= limit), key, row_id="product_id")
+    per_category = listed.groupBy(*key, "n", "category_key").agg(
         F.min("first").alias("first"),
         F.array_sort(F.collect_list(F.struct(F.col("first.row_index").alias("at"), "product_id"))).alias("ids"),
     )
-    payload = per_category.groupBy(*key).agg(
+    described = per_category.groupBy(*key, "n").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -138,14 +137,15 @@ def group_categories(products: DataFrame, vocab: Vocabulary, limit: int = INLINE
             )
         ).alias("categories")
     )
-    described = payload.select(
-        *key,
+    described = described.withColumn(
+        "categories",
         F.transform(
             "categories",
             lambda c: F.struct(c["display_value"].alias("display_value"), c["product_ids"].alias("product_ids")),
-        ).alias("categories"),
+        ),
     )
-    flagged = salted_join(flagged, described, key, how="left")
+    too_large = mixed.where(F.col("n") > limit).withColumn("categories", F.lit(None))
+    flagged = salted_join(rows, described.unionByName(too_large), key)
     body = F.to_json(F.struct(F.col("group_key").alias("product_group_id"), "categories"))
     message = F.when(
         F.col("categories").isNotNull(), F.concat(F.lit("inconsistent_group_category:"), body)
@@ -186,6 +186,7 @@ def group_sizes(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMB
 # --- one product per color and size in a group ---
 
 VARIANT = ["group_key", "color_key", "size_key"]
+NO_CONTENT = ""  # stands for content that cannot be compared, so that it can be a join key
 
 
 def _variant_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -197,7 +198,7 @@ def _variant_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
         *_scope(rows), "row_index", "product_id", "product_group_id", F.col("product_group_id").alias("group_key"),
         F.col("product_id").alias("id_key"), keys.color_key(F.col("color"), vocab).alias("color_key"),
         keys.variant_size_key(F.col("category"), F.col("size"), vocab).alias("size_key"),
-        keys.content_key(vocab).alias("content"),
+        F.coalesce(keys.content_key(vocab), F.lit(NO_CONTENT)).alias("content"),
     )
 
 
@@ -209,25 +210,22 @@ def _flagged_variants(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     """
     rows = _variant_rows(products, vocab)
     key = [*_scope(rows), *VARIANT]
+    cell = ["id_key", "content"]
+    cells = rows.groupBy(*key, *cell).agg(F.count(F.lit(1)).alias("n_both"))
     shared = (
-        rows.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id_key").alias("low"), F.max("id_key").alias("high"))
+        cells.groupBy(*key)
+        .agg(F.sum("n_both").alias("n"), F.min("id_key").alias("low"), F.max("id_key").alias("high"))
         .where(F.col("low") != F.col("high"))
         .select(*key, "n")
     )
-    rows = salted_join(rows, shared, key)
-    by_id = count_by(rows, [*key, "id_key"], "n_id")
-    by_content = count_by(rows.where(F.col("content").isNotNull()), [*key, "content"], "n_content")
-    by_both = count_by(rows.where(F.col("content").isNotNull()), [*key, "id_key", "content"], "n_both")
-    rows = salted_join(rows, by_id, [*key, "id_key"], how="left")
-    rows = salted_join(rows, by_content, [*key, "content"], how="left")
-    rows = salted_join(rows, by_both, [*key, "id_key", "content"], how="left")
-    # A missing count stands for one row, or for none where the content cannot be compared.
-    single = F.when(F.col("content").isNotNull(), 1).otherwise(0)
-    others = (
-        F.col("n") - F.coalesce("n_id", F.lit(1)) - F.coalesce("n_content", single) + F.coalesce("n_both", single)
-    )
-    return rows.where(others > 0)
+    cells = salted_join(cells, shared, key, row_id=cell)
+    by_id = cells.groupBy(*key, "id_key").agg(F.sum("n_both").alias("n_id"))
+    by_content = cells.groupBy(*key, "content").agg(F.sum("n_both").alias("n_content"))
+    cells = salted_join(cells, by_id, [*key, "id_key"], row_id="content")
+    cells = salted_join(cells, by_content, [*key, "content"], row_id="id_key")
+    same_content = F.when(F.col("content") != NO_CONTENT, F.col("n_content") - F.col("n_both")).otherwise(0)
+    flagged = cells.where(F.col("n") - F.col("n_id") - same_content > 0).select(*key, *cell, "n")
+    return salted_join(rows, flagged, [*key, *cell])
 
 
 def duplicate_variants(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
@@ -280,18 +278,24 @@ def _flagged_names(products: DataFrame) -> DataFrame:
     """
     rows = _name_rows(products)
     key = [*_scope(rows), "name_key"]
+    cell = ["group_opt", "id_opt", "color_opt", "size_opt"]
+    cells = rows.groupBy(*key, *cell).agg(F.count(F.lit(1)).alias("n_cell"), F.min("row_index").alias("lead"))
     no_color, no_size = F.col("color_opt") == "", F.col("size_opt") == ""
+
+    def cells_with(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n_cell"))), F.lit(0))
+
     same_name = (
-        rows.groupBy(*key)
+        cells.groupBy(*key)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("row_index").alias("lead"),
+            F.sum("n_cell").alias("n"),
+            F.min("lead").alias("lead"),
             F.min("group_opt").alias("low_group"),
             F.max("group_opt").alias("high_group"),
             F.min("id_opt").alias("low_id"),
-            F.count_if(no_color).alias("n_no_color"),
-            F.count_if(no_size).alias("n_no_size"),
-            F.count_if(no_color & no_size).alias("n_bare"),
+            cells_with(no_color).alias("n_no_color"),
+            cells_with(no_size).alias("n_no_size"),
+            cells_with(no_color & no_size).alias("n_bare"),
         )
         .where(F.col("n") > 1)
     )
@@ -300,39 +304,31 @@ def _flagged_names(products: DataFrame) -> DataFrame:
         | (F.col("n_bare") > 0)
     )
     buckets = same_name.select(*key, "n", "n_no_color", "n_no_size", "lead", all_flagged.alias("all_flagged"))
-    rows = salted_join(rows, buckets, key)
-    open_rows = rows.where(~F.col("all_flagged"))
-    by_id = count_by(open_rows, [*key, "id_opt"], "n_id")
-    by_option = count_by(open_rows, [*key, "color_opt", "size_opt"], "n_option")
-    by_color = (
-        open_rows.where(~no_color)
-        .groupBy(*key, "color_opt")
-        .agg(F.count(F.lit(1)).alias("n_color"), F.count_if(no_size).alias("n_color_bare"))
-        .where((F.col("n_color") > 1) & (F.col("n_color_bare") > 0))
-    )
-    by_size = (
-        open_rows.where(~no_size)
-        .groupBy(*key, "size_opt")
-        .agg(F.count(F.lit(1)).alias("n_size"), F.count_if(no_color).alias("n_size_bare"))
-        .where((F.col("n_size") > 1) & (F.col("n_size_bare") > 0))
-    )
-    rows = salted_join(rows, by_id, [*key, "id_opt"], how="left")
-    rows = salted_join(rows, by_option, [*key, "color_opt", "size_opt"], how="left")
-    rows = salted_join(rows, by_color, [*key, "color_opt"], how="left")
-    rows = salted_join(rows, by_size, [*key, "size_opt"], how="left")
-    # A full row meets: its twin, its color without size, its size without color. A row without size meets any row
-    # of its color and any row without color; likewise the other way round.
+    cells = salted_join(cells.drop("lead"), buckets, key, row_id=cell)
+    # Buckets flagged as a whole need no cell list: one row per bucket is enough to mark their rows.
+    open_cells = cells.where(~F.col("all_flagged"))
+    by_id = open_cells.groupBy(*key, "id_opt").agg(F.sum("n_cell").alias("n_id"))
+    by_option = open_cells.groupBy(*key, "color_opt", "size_opt").agg(F.sum("n_cell").alias("n_option"))
+    by_color = open_cells.groupBy(*key, "color_opt").agg(
+        F.sum("n_cell").alias("n_color"), cells_with(no_size).alias("n_color_bare")
+    )
+    by_size = open_cells.groupBy(*key, "size_opt").agg(
+        F.sum("n_cell").alias("n_size"), cells_with(no_color).alias("n_size_bare")
+    )
+    open_cells = salted_join(open_cells, by_id, [*key, "id_opt"], row_id=["color_opt", "size_opt"])
+    open_cells = salted_join(open_cells, by_option, [*key, "color_opt", "size_opt"], row_id="id_opt")
+    open_cells = salted_join(open_cells, by_color, [*key, "color_opt"], row_id=["id_opt", "size_opt"])
+    open_cells = salted_join(open_cells, by_size, [*key, "size_opt"], row_id=["id_opt", "color_opt"])
+    # A full row meets its twins, rows of its color without size and rows of its size without color. A row without
+    # size meets every row of its color and every row without color; likewise the other way round.
     clash = (
-        F.when(
-            no_size,
-            F.col("n_color").isNotNull() | (F.col("n_no_color") > 0),
-        )
-        .when(no_color, F.col("n_size").isNotNull() | (F.col("n_no_size") > 0))
-        .otherwise(
-            F.col("n_option").isNotNull() | F.col("n_color").isNotNull() | F.col("n_size").isNotNull()
-        )
+        F.when(no_size, (F.col("n_color") > 1) | (F.col("n_no_color") > 0))
+        .when(no_color, (F.col("n_size") > 1) | (F.col("n_no_size") > 0))
+        .otherwise((F.col("n_option") > 1) | (F.col("n_color_bare") > 0) | (F.col("n_size_bare") > 0))
     )
-    return rows.where(F.col("all_flagged") | F.col("n_id").isNotNull() | clash)
+    picked = open_cells.where((F.col("n_id") > 1) | clash).select(*key, *cell, "n", "lead")
+    whole = salted_join(rows, buckets.where("all_flagged").select(*key, "n", "lead"), key)
+    return whole.unionByName(salted_join(rows, picked, [*key, *cell]))
 
 
 def duplicate_names(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
@@ -515,7 +511,7 @@ def group_members(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     """
     ids = _id_rows(products)
     scope = _scope(ids)
-    repeated = count_by(ids, [*scope, "id_key"], "n")
+    repeated = ids.groupBy(*scope, "id_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     by_id = salted_join(ids, repeated, [*scope, "id_key"])
 
     def members(rows: DataFrame, rule: str, group: Column) -> DataFrame:

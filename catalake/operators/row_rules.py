@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalake.functions import keys, privacy
+from catalake.functions.text import squash
 from catalake.functions.vocabulary import REQUIRED_TEXT_FIELDS, SCANNED_FIELDS, Vocabulary
 
 @dataclass(frozen=True)
@@ -180,14 +181,18 @@ _SCANS = (
 )
 
 
+def _flat_texts(vocab: Vocabulary) -> dict[str, Column]:
+    return {f"_flat_{field}": squash(F.col(field)) for field in SCANNED_FIELDS}
+
+
 def _text_hits(vocab: Vocabulary) -> dict[str, Column]:
     """Masked hits per field and kind."""
     found: dict[str, Column] = {}
     for field in SCANNED_FIELDS:
-        text = F.col(field)
+        text, flat = F.col(field), F.col(f"_flat_{field}")
         kinds = (
-            privacy.find_terms(text, vocab.prohibited_terms), privacy.find_emails(text), privacy.find_phones(text),
-            privacy.find_residents(text), privacy.find_accounts(text, vocab),
+            privacy.terms_in(flat, vocab.prohibited_terms), privacy.find_emails(text), privacy.find_phones(text),
+            privacy.find_residents(text), privacy.find_accounts(text, vocab, flat),
         )
         for (rule, _, _, mask), values in zip(_SCANS, kinds, strict=True):
             found[f"_{field}_{rule}"] = F.transform(values, _applied(mask))
@@ -222,7 +227,7 @@ ROW_RULES = (
     RowRule("price", 11, price),
     RowRule("sale_price", 12, sale_price),
     RowRule("product_category_mismatch", 14, category_mismatch, (_joined_name, _implied_categories)),
-    RowRule("text_scan", 15, text_scan, (_text_hits,)),
+    RowRule("text_scan", 15, text_scan, (_flat_texts, _text_hits)),
 )
 
 

@@ -20,21 +20,20 @@ def salted_join(
     rows: DataFrame,
     per_key: DataFrame,
     keys: list[str],
-    row_id: str = "row_index",
+    row_id: str | list[str] = "row_index",
     how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join one-row-per-key results to rows. ``per_key`` should hold only the keys that matter."""
+    """Join one-row-per-key results to rows. ``per_key`` should hold only the keys that matter.
+
+    ``row_id``: columns that tell the rows of one key apart; their hash picks the salt.
+    """
+    ids = [row_id] if isinstance(row_id, str) else row_id
     spread = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int"))
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
-def count_by(rows: DataFrame, keys: list[str], name: str, at_least: int = 2) -> DataFrame:
-    """Rows per key, for keys with at least ``at_least`` rows."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) >= at_least)
-
-
 def member_window(keys: list[str], size: Column, limit: int, row_id: str = "row_index") -> Window:
     """Window over a whole group in row order, for groups of at most ``limit`` rows.
 

@@ -13,12 +13,14 @@ from catalake.plans import ducksql as d
 from catalake.plans.fixtures import PRODUCTS
 from catalake.plans.registry import VIEWS, query
 from catalake.sources.catalog import load_catalog
+from catalake.sources.staged import staged_table
 
 ISSUE_COLUMNS = ("rule", "severity", "product_id", "product_group_id", "message", "row_index")
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_catalog(PRODUCTS.frame(spark, sf_dir))
+    """The typed catalog as a table, as a user would keep it."""
+    return staged_table(spark, "products", sf_dir, lambda: load_catalog(PRODUCTS.frame(spark, sf_dir)))
 
 
 _TEXTS = ("product_group_id", "product_id", "product_name", "category", "color", "size", "image_path", "description", "seller")
@@ -56,7 +58,7 @@ FROM v_std
 
 @query("catalog_load", "SELECT * FROM v_products")
 def _catalog_load(spark, sf_dir):
-    return products(spark, sf_dir)
+    return load_catalog(PRODUCTS.frame(spark, sf_dir))
 
 
 # --- keys ---

@@ -1,0 +1,45 @@
+"""Intermediate tables in the cluster's shared folder: they cut lineage and survive the loss of executors."""
+
+from __future__ import annotations
+
+import hashlib
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SETTING = "spark.checkpoint.dir"
+_own_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    global _own_folder
+    configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    if configured:
+        return configured
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="catalake-")
+    return _own_folder
+
+
+def staged_table(spark: SparkSession, name: str, source: str, build) -> DataFrame:
+    """``build()`` written once per application and source as Parquet, then read back.
+
+    Readers get column pruning and filters at the scan instead of repeating the work that made the rows. A source of
+    few splits is spread over the cluster first.
+    """
+    app = spark.sparkContext.applicationId
+    mark = hashlib.sha256(source.encode()).hexdigest()[:12]
+    path = f"{shared_folder(spark)}/staged/{app}/{mark}/{name}"
+    key = (app, path)
+    if key not in _written:
+        frame = build()
+        slots = spark.sparkContext.defaultParallelism
+        if frame.rdd.getNumPartitions() < slots:
+            frame = frame.repartition(slots)
+        frame.write.mode("overwrite").parquet(path)
+        _written[key] = frame.schema
+    return spark.read.schema(_written[key]).parquet(path)
+
+
+_written: dict[tuple[str, str], object] = {}
