@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from catalake.functions import keys
 from catalake.functions.vocabulary import Vocabulary
 from catalake.operators.row_rules import say
-from catalake.operators.skew import INLINE_MEMBERS, member_window, salted_join
+from catalake.operators.skew import INLINE_MEMBERS, count_joined, member_window, salted_join
 
 # Products of many catalogs can be inspected at once: rows with this column are compared only within its value.
 SCOPE = "catalog_id"
@@ -202,34 +202,35 @@ def _variant_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     )
 
 
-def _flagged_variants(products: DataFrame, vocab: Vocabulary) -> DataFrame:
+def _flagged_variants(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
     """Rows that share group, color and size with a row of another id and not the same content.
 
     Counting form of that test: rows of the bucket, less those of the same id, less those of the same content, plus
-    those of both. No pairs are formed, so a huge bucket costs the same as many small ones.
+    those of both. No pairs are formed. Counts come from windows over one shuffle for buckets of at most ``limit``
+    rows, from aggregates and salted joins for larger ones.
     """
     rows = _variant_rows(products, vocab)
     key = [*_scope(rows), *VARIANT]
-    cell = ["id_key", "content"]
-    cells = rows.groupBy(*key, *cell).agg(F.count(F.lit(1)).alias("n_both"))
     shared = (
-        cells.groupBy(*key)
-        .agg(F.sum("n_both").alias("n"), F.min("id_key").alias("low"), F.max("id_key").alias("high"))
+        rows.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id_key").alias("low"), F.max("id_key").alias("high"))
         .where(F.col("low") != F.col("high"))
         .select(*key, "n")
     )
-    cells = salted_join(cells, shared, key, row_id=cell)
-    by_id = cells.groupBy(*key, "id_key").agg(F.sum("n_both").alias("n_id"))
-    by_content = cells.groupBy(*key, "content").agg(F.sum("n_both").alias("n_content"))
-    cells = salted_join(cells, by_id, [*key, "id_key"], row_id="content")
-    cells = salted_join(cells, by_content, [*key, "content"], row_id="id_key")
+    rows = salted_join(rows, shared, key)
+    counted = {"n_id": ["id_key"], "n_content": ["content"], "n_both": ["id_key", "content"]}
+    small = rows.where(F.col("n") <= limit).withColumns(
+        {name: F.count(F.lit(1)).over(Window.partitionBy(*key, *extra)) for name, extra in counted.items()}
+    )
+    large = rows.where(F.col("n") > limit)
+    for name, extra in counted.items():
+        large = count_joined(large, [*key, *extra], name)
     same_content = F.when(F.col("content") != NO_CONTENT, F.col("n_content") - F.col("n_both")).otherwise(0)
-    flagged = cells.where(F.col("n") - F.col("n_id") - same_content > 0).select(*key, *cell, "n")
-    return salted_join(rows, flagged, [*key, *cell])
+    return small.unionByName(large).where(F.col("n") - F.col("n_id") - same_content > 0)
 
 
 def duplicate_variants(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
-    flagged = _flagged_variants(products, vocab)
+    flagged = _flagged_variants(products, vocab, limit)
     group = member_window([*_scope(flagged), *VARIANT], F.col("n"), limit)
     flagged = flagged.withColumn("ids", F.array_distinct(F.collect_list("id_key").over(group)))
     body = F.to_json(
@@ -267,7 +268,7 @@ def _name_rows(products: DataFrame) -> DataFrame:
     return rows
 
 
-def _flagged_names(products: DataFrame) -> DataFrame:
+def _flagged_names(products: DataFrame, limit: int = INLINE_MEMBERS) -> DataFrame:
     """Rows with an equal-named row that is not merely another option of the same product.
 
     Two rows are options of one product when they share a filled group, have different filled ids, and differ in a
@@ -278,24 +279,18 @@ def _flagged_names(products: DataFrame) -> DataFrame:
     """
     rows = _name_rows(products)
     key = [*_scope(rows), "name_key"]
-    cell = ["group_opt", "id_opt", "color_opt", "size_opt"]
-    cells = rows.groupBy(*key, *cell).agg(F.count(F.lit(1)).alias("n_cell"), F.min("row_index").alias("lead"))
     no_color, no_size = F.col("color_opt") == "", F.col("size_opt") == ""
-
-    def cells_with(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, F.col("n_cell"))), F.lit(0))
-
     same_name = (
-        cells.groupBy(*key)
+        rows.groupBy(*key)
         .agg(
-            F.sum("n_cell").alias("n"),
-            F.min("lead").alias("lead"),
+            F.count(F.lit(1)).alias("n"),
+            F.min("row_index").alias("lead"),
             F.min("group_opt").alias("low_group"),
             F.max("group_opt").alias("high_group"),
             F.min("id_opt").alias("low_id"),
-            cells_with(no_color).alias("n_no_color"),
-            cells_with(no_size).alias("n_no_size"),
-            cells_with(no_color & no_size).alias("n_bare"),
+            F.count_if(no_color).alias("n_no_color"),
+            F.count_if(no_size).alias("n_no_size"),
+            F.count_if(no_color & no_size).alias("n_bare"),
         )
         .where(F.col("n") > 1)
     )
@@ -304,21 +299,26 @@ def _flagged_names(products: DataFrame) -> DataFrame:
         | (F.col("n_bare") > 0)
     )
     buckets = same_name.select(*key, "n", "n_no_color", "n_no_size", "lead", all_flagged.alias("all_flagged"))
-    cells = salted_join(cells.drop("lead"), buckets, key, row_id=cell)
-    # Buckets flagged as a whole need no cell list: one row per bucket is enough to mark their rows.
-    open_cells = cells.where(~F.col("all_flagged"))
-    by_id = open_cells.groupBy(*key, "id_opt").agg(F.sum("n_cell").alias("n_id"))
-    by_option = open_cells.groupBy(*key, "color_opt", "size_opt").agg(F.sum("n_cell").alias("n_option"))
-    by_color = open_cells.groupBy(*key, "color_opt").agg(
-        F.sum("n_cell").alias("n_color"), cells_with(no_size).alias("n_color_bare")
-    )
-    by_size = open_cells.groupBy(*key, "size_opt").agg(
-        F.sum("n_cell").alias("n_size"), cells_with(no_color).alias("n_size_bare")
-    )
-    open_cells = salted_join(open_cells, by_id, [*key, "id_opt"], row_id=["color_opt", "size_opt"])
-    open_cells = salted_join(open_cells, by_option, [*key, "color_opt", "size_opt"], row_id="id_opt")
-    open_cells = salted_join(open_cells, by_color, [*key, "color_opt"], row_id=["id_opt", "size_opt"])
-    open_cells = salted_join(open_cells, by_size, [*key, "size_opt"], row_id=["id_opt", "color_opt"])
+    rows = salted_join(rows, buckets, key)
+    small = rows.where(F.col("n") <= limit)
+    one = F.lit(1)
+    small = small.withColumns(
+        {
+            "n_id": F.count(one).over(Window.partitionBy(*key, "id_opt")),
+            "n_option": F.count(one).over(Window.partitionBy(*key, "color_opt", "size_opt")),
+            "n_color": F.count(one).over(Window.partitionBy(*key, "color_opt")),
+            "n_color_bare": F.count_if(no_size).over(Window.partitionBy(*key, "color_opt")),
+            "n_size": F.count(one).over(Window.partitionBy(*key, "size_opt")),
+            "n_size_bare": F.count_if(no_color).over(Window.partitionBy(*key, "size_opt")),
+        }
+    )
+    large = rows.where(F.col("n") > limit)
+    by_color = large.groupBy(*key, "color_opt").agg(F.count(one).alias("n_color"), F.count_if(no_size).alias("n_color_bare"))
+    by_size = large.groupBy(*key, "size_opt").agg(F.count(one).alias("n_size"), F.count_if(no_color).alias("n_size_bare"))
+    counted_large = count_joined(large, [*key, "id_opt"], "n_id")
+    counted_large = count_joined(counted_large, [*key, "color_opt", "size_opt"], "n_option")
+    counted_large = salted_join(counted_large, by_color, [*key, "color_opt"])
+    counted_large = salted_join(counted_large, by_size, [*key, "size_opt"])
     # A full row meets its twins, rows of its color without size and rows of its size without color. A row without
     # size meets every row of its color and every row without color; likewise the other way round.
     clash = (
@@ -326,13 +326,11 @@ def _flagged_names(products: DataFrame) -> DataFrame:
         .when(no_color, (F.col("n_size") > 1) | (F.col("n_no_size") > 0))
         .otherwise((F.col("n_option") > 1) | (F.col("n_color_bare") > 0) | (F.col("n_size_bare") > 0))
     )
-    picked = open_cells.where((F.col("n_id") > 1) | clash).select(*key, *cell, "n", "lead")
-    whole = salted_join(rows, buckets.where("all_flagged").select(*key, "n", "lead"), key)
-    return whole.unionByName(salted_join(rows, picked, [*key, *cell]))
+    return small.unionByName(counted_large).where(F.col("all_flagged") | (F.col("n_id") > 1) | clash)
 
 
 def duplicate_names(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
-    flagged = _flagged_names(products)
+    flagged = _flagged_names(products, limit)
     group = member_window([*_scope(flagged), "name_key"], F.col("n"), limit)
     flagged = flagged.withColumn(
         "members",
