@@ -29,12 +29,12 @@ class Profile:
     def sources(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys((*self.targets, *self.required)))
 
-    def canonical_json(self, defaults: dict[str, object] | None = None) -> str:
+    def canonical_json(self) -> str:
         """The parts that decide the result, as JSON with sorted keys."""
         payload = {
             "source_columns": {source: list(targets) for source, targets in self.targets.items()},
             "required_source_columns": list(self.required),
-            "defaults": dict(self.defaults) if defaults is None else defaults,
+            "defaults": dict(self.defaults),
         }
         return json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
@@ -93,11 +93,8 @@ MARKETPLACE = PROFILES["sample_marketplace_vendor", "2"]
 
 
 def profile_rows(spark: SparkSession, profiles: dict[tuple[str, str], Profile] = PROFILES) -> DataFrame:
-    """One row per profile version with its canonical text (numeric defaults are numbers there)."""
-    rows = [
-        (p.name, p.version, p.canonical_json({k: int(x) if x.lstrip("-").isdigit() else x for k, x in p.defaults.items()}))
-        for p in profiles.values()
-    ]
+    """One row per profile version with its canonical text."""
+    rows = [(p.name, p.version, p.canonical_json()) for p in profiles.values()]
     return spark.createDataFrame(rows, "profile_name string, profile_version string, canonical string")
 
 

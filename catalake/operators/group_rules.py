@@ -415,31 +415,58 @@ def _priced_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     )
 
 
-def exact_medians(rows: DataFrame, key: list[str], value: str, at_least: int = 1) -> DataFrame:
+# Distinct values of one key that may be ordered in one task.
+ORDERED_VALUES = 1 << 20
+
+
+def exact_medians(rows: DataFrame, key: list[str], value: str, at_least: int = 1,
+                  ordered_values: int = ORDERED_VALUES) -> DataFrame:
     """Exact median of positive BIGINTs per key: (key, n, median).
 
-    The two middle ranks are located digit by digit (three digits of 21 bits). Each step counts rows per digit, so no
-    step orders more than 2**21 entries of one key in a task, however many rows or distinct values the key has.
+    Equal values are counted first, so the rest works on distinct values. Keys with few of them are ordered directly;
+    for keys with more, the two middle ranks are located digit by digit, so no task ever orders more than
+    ``ordered_values`` or 2**21 entries of one key.
     """
-    bits, mask = 21, (1 << 21) - 1
     counts = rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*key).agg(F.sum("n").alias("total")).where(F.col("total") >= at_least)
-    middle = totals.select(
-        *key, "total",
-        F.explode(
-            F.array(F.expr("(total - 1) div 2"), F.expr("total div 2"))
-        ).alias("rank"),
+    totals = (
+        counts.groupBy(*key)
+        .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("values"))
+        .where(F.col("total") >= at_least)
+    )
+    few = totals.where(F.col("values") <= ordered_values).select(*key, "total")
+    running = F.sum("n").over(Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ordered = counts.join(few, key).withColumn("upto", running)
+
+    def holds(rank: Column) -> Column:
+        return (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+
+    direct = ordered.where(holds(F.expr("(total - 1) div 2")) | holds(F.expr("total div 2"))).select(
+        *key, "total", F.col(value).alias("middle")
+    )
+    many = totals.where(F.col("values") > ordered_values).select(*key, "total")
+    middles = direct.unionByName(_middles_by_digit(counts.join(many.select(*key), key, "left_semi"), many, key, value))
+    return middles.groupBy(*key).agg(
+        F.first("total").alias("n"),
+        ((F.min("middle").cast("double") + F.max("middle").cast("double")) / 2).alias("median"),
+    )
+
+
+def _middles_by_digit(counts: DataFrame, totals: DataFrame, key: list[str], value: str) -> DataFrame:
+    """The middle values per key, found by three digits of 21 bits from the top: (key, total, middle)."""
+    bits, mask = 21, (1 << 21) - 1
+    found = totals.select(
+        *key, "total", F.explode(F.array(F.expr("(total - 1) div 2"), F.expr("total div 2"))).alias("rank"),
+        F.lit(0).cast("bigint").alias("prefix"),
     ).distinct()
-    found = middle.withColumn("prefix", F.lit(0).cast("bigint"))
+    within = Window.partitionBy(*key, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
     for level in (2, 1, 0):
         shift = level * bits
+        above = F.shiftright(value, shift + bits) if level < 2 else F.lit(0).cast("bigint")
         by_digit = counts.groupBy(
-            *key,
-            F.shiftright(value, shift + bits).alias("prefix") if level < 2 else F.lit(0).cast("bigint").alias("prefix"),
-            F.shiftright(value, shift).bitwiseAND(mask).alias("digit"),
+            *key, above.alias("prefix"), F.shiftright(value, shift).bitwiseAND(mask).alias("digit")
         ).agg(F.sum("n").alias("n"))
         wanted = by_digit.join(found.select(*key, "prefix").distinct(), [*key, "prefix"], "left_semi")
-        running = wanted.withColumn("upto", F.sum("n").over(_running(key)))
+        running = wanted.withColumn("upto", F.sum("n").over(within))
         found = (
             found.join(running, [*key, "prefix"])
             .where((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
@@ -448,14 +475,7 @@ def exact_medians(rows: DataFrame, key: list[str], value: str, at_least: int = 1
                 F.shiftleft("prefix", bits).bitwiseOR(F.col("digit")).alias("prefix"),
             )
         )
-    return found.groupBy(*key).agg(
-        F.first("total").alias("n"),
-        ((F.min("prefix").cast("double") + F.max("prefix").cast("double")) / 2).alias("median"),
-    )
-
-
-def _running(key: list[str]):
-    return Window.partitionBy(*key, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    return found.select(*key, "total", F.col("prefix").alias("middle"))
 
 
 def category_medians(products: DataFrame, vocab: Vocabulary) -> DataFrame:

@@ -20,7 +20,11 @@ ISSUE_COLUMNS = ("rule", "severity", "product_id", "product_group_id", "message"
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed catalog as a table, as a user would keep it."""
-    return staged_table(spark, "products", sf_dir, lambda: load_catalog(PRODUCTS.frame(spark, sf_dir)))
+    return staged_table(spark, "products", sf_dir, lambda: load_catalog(supplier_table(spark, sf_dir)))
+
+
+def supplier_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged_table(spark, "supplier_table", sf_dir, lambda: PRODUCTS.frame(spark, sf_dir))
 
 
 _TEXTS = ("product_group_id", "product_id", "product_name", "category", "color", "size", "image_path", "description", "seller")
@@ -58,7 +62,7 @@ FROM v_std
 
 @query("catalog_load", "SELECT * FROM v_products")
 def _catalog_load(spark, sf_dir):
-    return load_catalog(PRODUCTS.frame(spark, sf_dir))
+    return load_catalog(supplier_table(spark, sf_dir))
 
 
 # --- keys ---
@@ -68,7 +72,7 @@ def _catalog_load(spark, sf_dir):
 def _norm_content(spark, sf_dir):
     from catalake.functions.text import squash
 
-    return PRODUCTS.frame(spark, sf_dir).select("row_index", squash(F.col("description")).alias("content"))
+    return supplier_table(spark, sf_dir).select("row_index", squash(F.col("description")).alias("content"))
 
 
 @query("norm_name", f"""

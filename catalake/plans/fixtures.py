@@ -282,7 +282,7 @@ STAGING = Fixture("part", (
     ("id", "p_partkey"),
     ("load_run_id", _BATCH),
     ("supplier_key", "p_brand"),
-    ("product_id", f"CASE WHEN p_partkey % 701 = 1 AND p_partkey > 1 THEN 'P' || {text('p_partkey - 701')} ELSE 'P' || {text('p_partkey')} END"),
+    ("product_id", f"CASE WHEN p_partkey % 17 = 1 AND p_partkey > 1 THEN 'P' || {text('p_partkey - 1')} ELSE 'P' || {text('p_partkey')} END"),
     *_item("staging"),
 ), "p_partkey % 7 <> 0")
 
