@@ -1,11 +1,14 @@
-"""Comparison keys shared by the inspection rules. All are pure column expressions."""
+"""Comparison keys shared by the inspection rules. All are pure column expressions.
+
+Inputs are texts of a typed catalog, that is without surrounding white space (see ``load_catalog``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from catalake.functions.text import WS, alias_form, collapse, fold, squash, strip
+from catalake.functions.text import WS, alias_form, collapse, fold, squash
 from catalake.functions.vocabulary import DEFAULT, Vocabulary, alias_key, lookup_in
 
 # Joins the parts of a composed key; collapsed text never contains it (it counts as white space).
@@ -14,7 +17,7 @@ PART_SEPARATOR = "\x1f"
 
 def name_key(name: Column) -> Column:
     """Product name reduced to ASCII digits, ASCII letters and Hangul."""
-    return F.regexp_replace(fold(strip(name)), "[^0-9a-z가-힣ㄱ-ㅎㅏ-ㅣ]", "")
+    return F.regexp_replace(fold(name), "[^0-9a-z가-힣ㄱ-ㅎㅏ-ㅣ]", "")
 
 
 def has_name_key(name: Column) -> Column:
@@ -23,18 +26,18 @@ def has_name_key(name: Column) -> Column:
 
 
 def option_key(value: Column) -> Column:
-    return fold(strip(value))
+    return fold(value)
 
 
 def category_key(category: Column, vocab: Vocabulary = DEFAULT) -> Column:
     """Semantic category: known aliases share one key, other texts stand for themselves, blank is ''."""
-    plain = fold(strip(category))
+    plain = fold(category)
     return F.coalesce(lookup_in(vocab.category_aliases, plain), plain)
 
 
 def keyword_text(name: Column) -> Column:
     """Product name prepared for the keyword search."""
-    return collapse(F.regexp_replace(fold(strip(name)), "[-_/]+", " "))
+    return collapse(F.regexp_replace(fold(name), "[-_/]+", " "))
 
 
 def _standard(value: Column, aliases: dict[str, str]) -> Column:

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from catalake.functions.text import WS, fold, squash, strip
 from catalake.functions.vocabulary import DEFAULT, Vocabulary
 
-# What counts as an address or number. (?U) gives \d its Unicode meaning.
+# What counts as an address or number. (?U) gives \d its Unicode meaning. "No digit before" is tested
+# after the leading zero instead of before it, so a scan stops at zeros only.
 _SEP = "[-" + WS[1:]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-MOBILE = rf"(?U)(?<!\d)01[016789]{_SEP}?\d{{3,4}}{_SEP}?\d{{4}}(?!\d)"
-LANDLINE = rf"(?U)(?<!\d)0(?:2|[3-6]\d){_SEP}?\d{{3,4}}{_SEP}?\d{{4}}(?!\d)"
+MOBILE = rf"(?U)0(?<!\d0)1[016789]{_SEP}?\d{{3,4}}{_SEP}?\d{{4}}(?!\d)"
+LANDLINE = rf"(?U)0(?<!\d0)(?:2|[3-6]\d){_SEP}?\d{{3,4}}{_SEP}?\d{{4}}(?!\d)"
 RESIDENT = r"(?U)(?<!\d)\d{6}-[1-4]\d{6}(?!\d)"
 ACCOUNT = rf"(?U)(?<![\d-])(?:\d{_SEP}?){{9,13}}\d(?!{_SEP}?\d)"
 
@@ -186,7 +187,10 @@ def find_accounts(text: Column, vocab: Vocabulary = DEFAULT, flat: Column | None
 
 def _mask_hits(text: Column, pattern: str, mask) -> Column:
     masked = F.transform(_cuts(text, pattern), lambda cut: F.concat(cut["gap"], F.coalesce(mask(cut["hit"]), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(masked, "")).otherwise(text)
+    possible = text.rlike(pattern)
+    if pattern == EMAIL:  # words are long runs for this pattern; most texts hold no @ at all
+        possible = F.contains(text, F.lit("@")) & possible
+    return F.when(possible, F.array_join(masked, "")).otherwise(text)
 
 
 def mask_personal(text: Column) -> Column:

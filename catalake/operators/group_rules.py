@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from catalake.functions import keys
 from catalake.functions.vocabulary import Vocabulary
 from catalake.operators.row_rules import say
-from catalake.operators.skew import INLINE_MEMBERS, count_joined, member_window, salted_join
+from catalake.operators.skew import INLINE_MEMBERS, member_window, salted_join
 
 # Products of many catalogs can be inspected at once: rows with this column are compared only within its value.
 SCOPE = "catalog_id"
@@ -110,42 +110,32 @@ def _category_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
 def group_categories(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
     rows = _category_rows(products, vocab)
     key = [*_scope(rows), "group_key"]
-    # One cell per group, category and product id; everything else is read off the cells.
-    cells = rows.groupBy(*key, "category_key", "product_id").agg(
-        F.count(F.lit(1)).alias("n_cell"), F.min(F.struct("row_index", "shown")).alias("first")
-    )
     mixed = (
-        cells.groupBy(*key)
-        .agg(F.sum("n_cell").alias("n"), F.min("category_key").alias("low"), F.max("category_key").alias("high"))
+        rows.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("category_key").alias("low"), F.max("category_key").alias("high"))
         .where(F.col("low") != F.col("high"))
         .select(*key, "n")
     )
-    # Payload once per group: categories in first-seen order, each with its ids in first-seen order.
-    listed = salted_join(cells, mixed.where(F.col("n") <= limit), key, row_id="product_id")
-    per_category = listed.groupBy(*key, "n", "category_key").agg(
-        F.min("first").alias("first"),
-        F.array_sort(F.collect_list(F.struct(F.col("first.row_index").alias("at"), "product_id"))).alias("ids"),
-    )
-    described = per_category.groupBy(*key, "n").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("first.row_index").alias("at"),
-                    F.col("first.shown").alias("display_value"),
-                    F.col("ids.product_id").alias("product_ids"),
-                )
-            )
-        ).alias("categories")
-    )
-    described = described.withColumn(
-        "categories",
-        F.transform(
-            "categories",
-            lambda c: F.struct(c["display_value"].alias("display_value"), c["product_ids"].alias("product_ids")),
-        ),
+    flagged = salted_join(rows, mixed, key)
+    # Categories in first-seen order, each with its ids in first-seen order: gather the first row of every id.
+    inline = F.col("n") <= limit
+    own = F.when(~inline, F.col("row_index"))
+    same_id = Window.partitionBy(*key, own, "category_key", "product_id").orderBy("row_index")
+    flagged = flagged.withColumn("_new_id", F.row_number().over(same_id) == 1)
+    entry = F.struct(F.col("category_key").alias("c"), F.col("shown").alias("shown"), F.col("product_id").alias("id"))
+    flagged = flagged.withColumn(
+        "_ids", F.collect_list(F.when(F.col("_new_id"), entry)).over(member_window(key, F.col("n"), limit))
     )
-    too_large = mixed.where(F.col("n") > limit).withColumn("categories", F.lit(None))
-    flagged = salted_join(rows, described.unionByName(too_large), key)
+
+    def category(c: Column) -> Column:
+        own_ids = F.filter("_ids", lambda e: e["c"] == c)
+        return F.struct(
+            F.get(own_ids, F.lit(0))["shown"].alias("display_value"),
+            F.transform(own_ids, lambda e: e["id"]).alias("product_ids"),
+        )
+
+    distinct = F.array_distinct(F.transform("_ids", lambda e: e["c"]))
+    flagged = flagged.withColumn("categories", F.when(inline, F.transform(distinct, category)))
     body = F.to_json(F.struct(F.col("group_key").alias("product_group_id"), "categories"))
     message = F.when(
         F.col("categories").isNotNull(), F.concat(F.lit("inconsistent_group_category:"), body)
@@ -222,11 +212,18 @@ def _flagged_variants(products: DataFrame, vocab: Vocabulary, limit: int = INLIN
     small = rows.where(F.col("n") <= limit).withColumns(
         {name: F.count(F.lit(1)).over(Window.partitionBy(*key, *extra)) for name, extra in counted.items()}
     )
-    large = rows.where(F.col("n") > limit)
-    for name, extra in counted.items():
-        large = count_joined(large, [*key, *extra], name)
     same_content = F.when(F.col("content") != NO_CONTENT, F.col("n_content") - F.col("n_both")).otherwise(0)
-    return small.unionByName(large).where(F.col("n") - F.col("n_id") - same_content > 0)
+    other = F.col("n") - F.col("n_id") - same_content > 0
+    large = rows.where(F.col("n") > limit)
+    # All counts of large buckets come from one aggregate per cell (id, content).
+    cell = ["id_key", "content"]
+    cells = large.groupBy(*key, *cell).agg(F.count(F.lit(1)).alias("n_both"), F.first("n").alias("n"))
+    by_id = cells.groupBy(*key, "id_key").agg(F.sum("n_both").alias("n_id"))
+    by_content = cells.groupBy(*key, "content").agg(F.sum("n_both").alias("n_content"))
+    cells = salted_join(cells, by_id, [*key, "id_key"], row_id="content")
+    cells = salted_join(cells, by_content, [*key, "content"], row_id="id_key")
+    picked = salted_join(large, cells.where(other).select(*key, *cell), [*key, *cell])
+    return small.where(other).select(*picked.columns).unionByName(picked)
 
 
 def duplicate_variants(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
@@ -300,9 +297,8 @@ def _flagged_names(products: DataFrame, limit: int = INLINE_MEMBERS) -> DataFram
     )
     buckets = same_name.select(*key, "n", "n_no_color", "n_no_size", "lead", all_flagged.alias("all_flagged"))
     rows = salted_join(rows, buckets, key)
-    small = rows.where(F.col("n") <= limit)
     one = F.lit(1)
-    small = small.withColumns(
+    small = rows.where(F.col("n") <= limit).withColumns(
         {
             "n_id": F.count(one).over(Window.partitionBy(*key, "id_opt")),
             "n_option": F.count(one).over(Window.partitionBy(*key, "color_opt", "size_opt")),
@@ -312,13 +308,6 @@ def _flagged_names(products: DataFrame, limit: int = INLINE_MEMBERS) -> DataFram
             "n_size_bare": F.count_if(no_color).over(Window.partitionBy(*key, "size_opt")),
         }
     )
-    large = rows.where(F.col("n") > limit)
-    by_color = large.groupBy(*key, "color_opt").agg(F.count(one).alias("n_color"), F.count_if(no_size).alias("n_color_bare"))
-    by_size = large.groupBy(*key, "size_opt").agg(F.count(one).alias("n_size"), F.count_if(no_color).alias("n_size_bare"))
-    counted_large = count_joined(large, [*key, "id_opt"], "n_id")
-    counted_large = count_joined(counted_large, [*key, "color_opt", "size_opt"], "n_option")
-    counted_large = salted_join(counted_large, by_color, [*key, "color_opt"])
-    counted_large = salted_join(counted_large, by_size, [*key, "size_opt"])
     # A full row meets its twins, rows of its color without size and rows of its size without color. A row without
     # size meets every row of its color and every row without color; likewise the other way round.
     clash = (
@@ -326,7 +315,29 @@ def _flagged_names(products: DataFrame, limit: int = INLINE_MEMBERS) -> DataFram
         .when(no_color, (F.col("n_size") > 1) | (F.col("n_no_size") > 0))
         .otherwise((F.col("n_option") > 1) | (F.col("n_color_bare") > 0) | (F.col("n_size_bare") > 0))
     )
-    return small.unionByName(counted_large).where(F.col("all_flagged") | (F.col("n_id") > 1) | clash)
+    meets = F.col("all_flagged") | (F.col("n_id") > 1) | clash
+    large = rows.where(F.col("n") > limit)
+    # All counts of large buckets come from one aggregate per cell (id, color, size).
+    cell = ["id_opt", "color_opt", "size_opt"]
+    cells = large.groupBy(*key, *cell, "n_no_color", "n_no_size", "all_flagged").agg(F.count(one).alias("n_cell"))
+
+    def cells_with(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n_cell"))), F.lit(0))
+
+    by_id = cells.groupBy(*key, "id_opt").agg(F.sum("n_cell").alias("n_id"))
+    by_option = cells.groupBy(*key, "color_opt", "size_opt").agg(F.sum("n_cell").alias("n_option"))
+    by_color = cells.groupBy(*key, "color_opt").agg(
+        F.sum("n_cell").alias("n_color"), cells_with(no_size).alias("n_color_bare")
+    )
+    by_size = cells.groupBy(*key, "size_opt").agg(
+        F.sum("n_cell").alias("n_size"), cells_with(no_color).alias("n_size_bare")
+    )
+    cells = salted_join(cells, by_id, [*key, "id_opt"], row_id=["color_opt", "size_opt"])
+    cells = salted_join(cells, by_option, [*key, "color_opt", "size_opt"], row_id="id_opt")
+    cells = salted_join(cells, by_color, [*key, "color_opt"], row_id=["id_opt", "size_opt"])
+    cells = salted_join(cells, by_size, [*key, "size_opt"], row_id=["id_opt", "color_opt"])
+    picked = salted_join(large, cells.where(meets).select(*key, *cell), [*key, *cell])
+    return small.where(meets).select(*picked.columns).unionByName(picked)
 
 
 def duplicate_names(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:

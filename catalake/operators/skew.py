@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
+SALTS = 4
 # Groups up to this size get their member list written into every message. Larger ones get a count there and their
 # members through ``group_members``, so no list grows with the data.
 INLINE_MEMBERS = 10_000
@@ -34,12 +34,6 @@ def salted_join(
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
-def count_joined(rows: DataFrame, keys: list[str], name: str, row_id: str = "row_index") -> DataFrame:
-    """Rows with the number of rows of their key, for keys of any size."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return salted_join(rows, counts, keys, row_id=row_id)
-
-
 def member_window(keys: list[str], size: Column, limit: int, row_id: str = "row_index") -> Window:
     """Window over a whole group in row order, for groups of at most ``limit`` rows.
 

@@ -131,6 +131,33 @@ PRODUCTS = Fixture("part", product_columns("p_partkey", "p_name", "p_retailprice
 # The same catalog on a larger table, for timing.
 ORDER_PRODUCTS = Fixture("orders", product_columns("o_orderkey", "o_orderpriority", "(900 + o_totalprice / 1000)"))
 
+
+
+def tidy_product_columns(k: str) -> tuple[tuple[str, ...], ...]:
+    """A mostly clean catalog: about one defect of each kind in a hundred rows, the density of the published timings."""
+    twin = f"CASE WHEN {k} % 100 = 2 THEN {k} - 1 ELSE {k} END"  # row whose content this row has
+    kind = f"CASE WHEN {k} % 100 = 31 THEN ({k} - 1) % 5 ELSE ({twin}) % 5 END"
+    words = quoted("셔츠", "슬랙스", "코트", "스니커즈", "백팩")
+    option = f"CASE WHEN {k} % 100 = 31 THEN {k} - 1 ELSE {twin} END"
+    return (
+        ("row_index", k),
+        ("product_group_id", f"'G' || {text(f'CASE WHEN {k} % 100 IN (31, 41) THEN {k} - 1 ELSE {k} END')}"),
+        ("product_id", f"'P' || {text(f'CASE WHEN {k} % 100 = 5 THEN {k} - 1 ELSE {k} END')}"),
+        ("product_name", f"{pick(kind, *words)} || ' ' || {text(twin)}"),
+        ("category", pick(kind, *quoted("TOP", "BOTTOM", "OUTER", "SHOES", "BAG"))),
+        ("color", f"CASE WHEN {k} % 100 = 10 THEN '블랙' ELSE {pick(f'({option}) % 7', *quoted('BLACK', 'WHITE', 'NAVY', 'GRAY', 'RED', 'BLUE', 'BEIGE'))} END"),
+        ("size", f"CASE WHEN {k} % 100 = 20 THEN 'medium' ELSE {pick(f'({option}) % 4', *quoted('S', 'M', 'L', 'XL'))} END"),
+        ("stock", text(f"1 + {k} % 100")),
+        ("price", f"CASE WHEN {k} % 100 = 50 THEN '9999999' ELSE {text(f'30000 + ({twin}) % 41 * 100')} END"),
+        ("image_path", f"'img/' || {text(k)} || '.jpg'"),
+        ("sale_price", "''"),
+        ("description", f"CASE WHEN {k} % 100 = 60 THEN 'synthetic 외부결제 text' WHEN {k} % 100 = 70 THEN 'synthetic user@example.invalid' ELSE 'synthetic catalog item' END"),
+        ("seller", f"'SELLER_' || {text(f'{k} % 10')}"),
+    )
+
+
+TIDY_PRODUCTS = Fixture("orders", tidy_product_columns("o_orderkey"))
+
 # --- supplier feeds ---
 
 _PRICE_TEXTS = ("'₩1,200'", "'12,000'", "' 990 '", "'abc'", "'-5'", "''", "'1.5'", "'₩'")
@@ -360,7 +387,7 @@ PATHS = Fixture("pages", (
 ))
 
 FIXTURES = {
-    "fx_products": PRODUCTS, "fx_order_products": ORDER_PRODUCTS,
+    "fx_products": PRODUCTS, "fx_order_products": ORDER_PRODUCTS, "fx_tidy_products": TIDY_PRODUCTS,
     "fx_feed_a": FEED_A, "fx_feed_b": FEED_B,
     "fx_load_runs": LOAD_RUNS, "fx_inspection_runs": INSPECTION_RUNS, "fx_inspection_results": INSPECTION_RESULTS,
     "fx_staging": STAGING, "fx_catalog": CATALOG, "fx_batches": BATCHES,
