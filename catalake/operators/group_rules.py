@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from catalake.functions import keys
 from catalake.functions.vocabulary import Vocabulary
 from catalake.operators.row_rules import say
-from catalake.operators.skew import INLINE_MEMBERS, member_window, salted_join
+from catalake.operators.skew import INLINE_MEMBERS, has_larger, member_window, salted_join
 
 # Products of many catalogs can be inspected at once: rows with this column are compared only within its value.
 SCOPE = "catalog_id"
@@ -214,6 +214,8 @@ def _flagged_variants(products: DataFrame, vocab: Vocabulary, limit: int = INLIN
     )
     same_content = F.when(F.col("content") != NO_CONTENT, F.col("n_content") - F.col("n_both")).otherwise(0)
     other = F.col("n") - F.col("n_id") - same_content > 0
+    if not has_larger(shared, "n", limit):
+        return small.where(other).drop(*counted)
     large = rows.where(F.col("n") > limit)
     # All counts of large buckets come from one aggregate per cell (id, content).
     cell = ["id_key", "content"]
@@ -316,6 +318,8 @@ def _flagged_names(products: DataFrame, limit: int = INLINE_MEMBERS) -> DataFram
         .otherwise((F.col("n_option") > 1) | (F.col("n_color_bare") > 0) | (F.col("n_size_bare") > 0))
     )
     meets = F.col("all_flagged") | (F.col("n_id") > 1) | clash
+    if not has_larger(same_name, "n", limit):
+        return small.where(meets).select(*rows.columns)
     large = rows.where(F.col("n") > limit)
     # All counts of large buckets come from one aggregate per cell (id, color, size).
     cell = ["id_opt", "color_opt", "size_opt"]
@@ -454,8 +458,11 @@ def exact_medians(rows: DataFrame, key: list[str], value: str, at_least: int = 1
     direct = ordered.where(holds(F.expr("(total - 1) div 2")) | holds(F.expr("total div 2"))).select(
         *key, "total", F.col(value).alias("middle")
     )
-    many = totals.where(F.col("values") > ordered_values).select(*key, "total")
-    middles = direct.unionByName(_middles_by_digit(counts.join(many.select(*key), key, "left_semi"), many, key, value))
+    middles = direct
+    if has_larger(totals, "values", ordered_values):
+        many = totals.where(F.col("values") > ordered_values).select(*key, "total")
+        inside = counts.join(many.select(*key), key, "left_semi")
+        middles = direct.unionByName(_middles_by_digit(inside, many, key, value))
     return middles.groupBy(*key).agg(
         F.first("total").alias("n"),
         ((F.min("middle").cast("double") + F.max("middle").cast("double")) / 2).alias("median"),

@@ -34,6 +34,15 @@ def salted_join(
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
+def has_larger(groups: DataFrame, size: str, limit: int) -> bool:
+    """Whether any group exceeds the limit. Runs a job: one narrow aggregate.
+
+    Callers use the answer to leave the path for oversized groups out of a plan that has none; that path reads the
+    rows again, so the check is cheaper than carrying it.
+    """
+    return not groups.where(F.col(size) > limit).isEmpty()
+
+
 def member_window(keys: list[str], size: Column, limit: int, row_id: str = "row_index") -> Window:
     """Window over a whole group in row order, for groups of at most ``limit`` rows.
 
