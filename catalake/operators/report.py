@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -123,9 +121,7 @@ def reason_text() -> Column:
 
 def report(issues: DataFrame) -> DataFrame:
     """Display columns of issues, plus the sort position (``severity_rank`` and the discovery order)."""
-    card = {rule: json.dumps(texts, ensure_ascii=False) for rule, texts in RULE_CARDS.items()}
     labels, advice, risks = ({rule: texts[i] for rule, texts in RULE_CARDS.items()} for i in range(3))
-    assert len(card) == len(labels)
     rule = F.col("rule")
     return issues.select(
         F.coalesce(lookup_in(SEVERITY_LABELS, F.col("severity")), F.col("severity")).alias("status"),
