@@ -25,7 +25,7 @@ def _starred(edges: DataFrame, larger: bool) -> DataFrame:
         tied = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         tied = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return tied.filter("u > v").distinct()
+    return tied.filter("u > v") if larger else tied.filter("u > v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

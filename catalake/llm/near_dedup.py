@@ -4,9 +4,10 @@ Each permutation of the shingle hashes gives two signature values, its minimum a
 values costs s/2 permutations. Values are banded; documents that agree in a whole band are candidates. Candidates whose
 signatures agree far too rarely are passed over, the rest are confirmed on their full shingle sets.
 
-Groups are built without forming all pairs of a bucket: documents of equal sets are one class from the start, every
-class is first tied to the smallest class of its buckets, and only classes that are still in different groups are
-compared further, at growing distances within the bucket, until every such pair of a bucket has been looked at.
+Groups are built without emitting all pairs of a bucket: documents of equal sets are one class from the start, and every
+class is first tied to the smallest class of its buckets. Buckets that then still hold several groups are cut in blocks;
+cells of two blocks compare the signatures of classes in different groups, whole columns at a time, and emit only pairs
+that agree often enough to be confirmed, each in the first band where it agrees.
 
 Defined results: a null text is empty; documents without words are linked with nothing; rows without an id are linked
 with nothing and have no group; repeated rows fall in one group; an empty table gives no rows; columns other than the
@@ -18,18 +19,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalake.llm.components import components
+from catalake.llm.native import bit_table, may_occur
 from catalake.llm.shared import written
 from catalake.llm.wordsets import mix, shingle_sets
 
 WIDTH = 5
-VALUES = 144
+VALUES = 288
 MISS = 3e-5
 #: Signatures agreeing less than the threshold by so many standard deviations are not confirmed.
-DEVIATIONS = 5.0
+DEVIATIONS = 4.5
+#: Classes of a bucket that one side of a cell holds.
+BLOCK = 256
+#: Longs in the table of wanted texts.
+WANTED_CELLS = 1 << 18
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _RANDOM.integers(0, 1 << 63, VALUES // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _RANDOM.integers(0, 1 << 63, VALUES // 2, dtype=np.uint64) * np.uint64(2)
@@ -82,10 +88,14 @@ def _sketches(width: int, rows: int):
     return sketch
 
 
+def _least_agreement(percent: int) -> float:
+    share = percent / 100
+    return (share - DEVIATIONS * (share * (1 - share) / VALUES) ** 0.5) * VALUES
+
+
 def _agreeing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose signatures agree often enough to be confirmed."""
-    share = percent / 100
-    least = (share - DEVIATIONS * (share * (1 - share) / VALUES) ** 0.5) * VALUES
+    least = _least_agreement(percent)
     short = sketches.select("id", "signature")
     both = (
         pairs.join(short.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a")
@@ -103,9 +113,15 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
+    pairs = written(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    # a table of fixed size keeps most texts out of the exact join
+    table = bit_table(wanted.select(F.xxhash64("id").alias("key")), "key", WANTED_CELLS).scalar()
+    likely = texts.filter(may_occur(table, F.xxhash64("id"), WANTED_CELLS))
+    found = written(likely.join(wanted, "id", "left_semi"), "texts")
     both = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+        .join(found.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     )
 
     def compare(batches):
@@ -116,58 +132,99 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) ->
                 keep.append(shared > 0 and 100 * shared >= percent * (len(s) + len(t) - shared))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
 def _alike(n: str, m: str, percent: int):
     """Sizes that similar sets can have."""
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _within_cells(percent: int, rows: int):
+    """Pairs of each cell that agree often enough, are in different groups and meet in no earlier band.
+
+    Rows come sorted by cell: key, x, y, band, id, n, label, block, signature.
+    """
+    least, bands = _least_agreement(percent), VALUES // rows
+
+    def pairs_of(cell: pa.Table):
+        x, y, band = (cell.column(c)[0].as_py() for c in ("x", "y", "band"))
+        ids, n, label, block = (cell.column(c).to_numpy() for c in ("id", "n", "label", "block"))
+        s = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint8).reshape(-1, VALUES)
+        for i in range(len(ids) - 1):
+            apart = label[i + 1 :] != label[i]
+            apart &= np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent
+            if x != y:
+                apart &= block[i + 1 :] != block[i]
+            other = np.flatnonzero(apart) + i + 1
+            if not len(other):
+                continue
+            same = s[other] == s[i]
+            first = same[:, : bands * rows].reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == band
+            for j in other[(same.sum(axis=1) >= least) & first].tolist():
+                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows_here = pa.Table.from_batches([batch])
+            held = rows_here if held is None else pa.concat_tables([held, rows_here])
+            if not held.num_rows:
+                continue
+            cuts = _starts(held)
+            yield from _pairs(held, cuts, pairs_of)
+            held = held.slice(cuts[-1]).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from _pairs(held, [*_starts(held), held.num_rows], pairs_of)
+
+    return run
+
+
+def _starts(table: pa.Table) -> list[int]:
+    """Rows at which a cell begins."""
+    change = np.zeros(table.num_rows, dtype=bool)
+    change[0] = True
+    for name in ("key", "x", "y"):
+        values = table.column(name).to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(change).tolist()
+
+
+def _pairs(table: pa.Table, cuts: list[int], pairs_of):
+    found = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p in pairs_of(table.slice(a, b - a))]
+    if found:
+        a, b = zip(*found, strict=True)
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _links(sketches: DataFrame, texts: DataFrame, percent: int, width: int, rows: int) -> DataFrame:
     """(id, label) of the classes that are not the smallest of their group; ``sketches`` has one row for each class."""
-    members = sketches.select("id", "n", F.explode("keys").alias("key"))
+    members = sketches.select("id", "n", F.posexplode("keys").alias("band", "key"))
     heads = (
         members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("c")).filter("c > 1")
     )
-    live = written(members.join(heads, "key").select("key", "id", "n", "head", "c"), "buckets")
-    wanted = live.select("id").distinct()
-    texts = written(texts.join(wanted, "id", "left_semi"), "texts")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(_confirmed(_agreeing(pairs, sketches, percent), texts, percent, width), "links")
-
+    live = written(members.join(heads, "key").select("key", "band", "id", "n", "head", "c"), "buckets")
     first = (
         live.filter(F.col("id") != F.col("head.id")).filter(_alike("n", "head.n", percent))
         .select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
     )
-    tested = written(first, "tested")
-    labels = components(confirmed(tested))
-    low, high = 1, 8
-    while True:
-        placed = live.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_keys = (
-            placed.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("c"))
-            .filter((F.col("p") < F.col("q")) & (F.col("c") > F.lit(max(low, 2)))).select("key")
-        )
-        order = Window.partitionBy("key").orderBy("label", "id")
-        ranked = written(placed.join(open_keys, "key").withColumn("at", F.row_number().over(order)), "open")
-        longest = ranked.agg(F.max("at")).first()[0]
-        if longest is None or longest <= low:
-            return labels
-        other = ranked.select("key", F.col("at").alias("to"), F.col("id").alias("b"), F.col("n").alias("m"),
-                              F.col("label").alias("other"))
-        reach = ranked.withColumn("to", F.explode(F.sequence(F.col("at") + low, F.col("at") + F.lit(high - 1))))
-        pairs = (
-            reach.join(other, ["key", "to"]).filter(F.col("label") != F.col("other")).filter(_alike("n", "m", percent))
-            .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = written(pairs, "tested")
-        tested = tested.union(pairs)
-        links = confirmed(pairs)
-        labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
-        low, high = high, high * 8
+    labels = components(_confirmed(_agreeing(first, sketches, percent), texts, percent, width))
+    # a bucket of two has been looked at; others are open while they hold several groups
+    placed = live.filter("c > 2").select("key", "band", "id", "n", "c").join(labels, "id", "left")
+    placed = placed.withColumn("label", F.coalesce("label", "id"))
+    open_keys = placed.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p < q").select("key")
+    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
+    cells = (
+        placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        .join(sketches.select("id", "signature"), "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "band", "id", "n",
+                "label", "block", "signature")
+        .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    )
+    pairs = cells.mapInArrow(_within_cells(percent, rows), "a long, b long")
+    links = _confirmed(pairs, texts, percent, width)
+    return components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
 
 
 def near_duplicates(

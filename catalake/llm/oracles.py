@@ -21,3 +21,73 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.x, l.y FROM reach
 least_id AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_id USING (doc_id)
 """
+
+OP4_CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(length('<|turn|>') + length(role) + 1 + length(regexp_replace(text, '([\\<\[\]])', '\\\1', 'g'))
+    + length('<|end|>')) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+_LINES = r"""
+lines AS (
+  SELECT doc_id, i AS line_no, l[i] AS line,
+    list_filter(regexp_split_to_array(lower(l[i]), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM
+    (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+sets AS (
+  SELECT doc_id, line_no, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM lines WHERE len(w) > 0)"""
+
+OP2_LINE_DEDUP = "WITH " + _LINES + r""",
+flat AS (SELECT doc_id, line_no, len(s) AS n, unnest(s) AS g FROM sets),
+gone AS (
+  SELECT DISTINCT b.doc_id, b.line_no FROM (
+    SELECT b.doc_id, b.line_no FROM flat a JOIN flat b
+      ON a.g = b.g AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.line_no < b.line_no)
+    GROUP BY a.doc_id, a.line_no, b.doc_id, b.line_no, a.n, b.n
+    HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 80) b),
+left_over AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text
+  FROM lines ANTI JOIN gone USING (doc_id, line_no) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(left_over.text, '') END AS text
+FROM documents LEFT JOIN left_over USING (doc_id)
+"""
+
+OP7_DECONTAMINATE = r"""
+WITH parts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS w FROM parts),
+shingles AS (
+  SELECT kind, id, len(w) AS n, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s
+  FROM words WHERE len(w) > 0),
+placed AS (SELECT kind, id, n, len(s) AS m, unnest(s) AS g, unnest(range(0, len(s))) AS p FROM shingles),
+hits AS (
+  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, least(d.p, greatest(d.n - b.n, 0)) AS start, b.n AS length
+  FROM placed d JOIN placed b ON d.kind = 'd' AND b.kind = 'b' AND d.g = b.g),
+bags AS (
+  SELECT h.doc_id, h.item_id, h.start, d.g, count(*) AS n
+  FROM hits h JOIN placed d ON d.kind = 'd' AND d.id = h.doc_id
+    AND d.p BETWEEN h.start AND greatest(h.start + h.length - 5, h.start) GROUP BY ALL),
+sizes AS (SELECT doc_id, item_id, start, sum(n) AS n FROM bags GROUP BY ALL),
+items AS (SELECT id AS item_id, g, count(*) AS n, any_value(m) AS m FROM placed WHERE kind = 'b' GROUP BY ALL),
+shared AS (
+  SELECT x.doc_id, x.item_id, x.start, sum(least(x.n, i.n)) AS c, any_value(i.m) AS m
+  FROM bags x JOIN items i USING (item_id, g) GROUP BY ALL),
+scored AS (
+  SELECT doc_id, item_id, start, CAST(c AS DOUBLE) / CAST(s.n + m - c AS DOUBLE) AS similarity
+  FROM shared JOIN sizes s USING (doc_id, item_id, start))
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, similarity FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
