@@ -1,417 +1,250 @@
 """Inspection rules that compare products with each other.
 
-Every rule follows one shape: aggregate per group, keep the groups that break the rule, bring those back to the rows
-with a salted join, then write the messages. No rule forms pairs of rows, and no group is gathered into one task:
-member lists are written only for groups up to a limit (see ``group_members`` for the whole membership).
+All of them but the price rule go one way, whatever the size of a group. One projection derives the keys of every rule
+and gives a row per product and rule; a partial aggregate per key says which keys break their rule; a salted join brings
+those back to their rows. Two rules need more than totals of the key: for them, rows are counted per part of the key
+(id, content, color, size), again by aggregates that come back with a salted join. No rule forms pairs of rows and no
+list of members is gathered: an issue names its key, the number of rows and the first row, and ``group_members`` has
+the members as a table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalake.functions import keys
-from catalake.functions.vocabulary import Vocabulary
+from catalake.functions.vocabulary import DEFAULT, Vocabulary
 from catalake.operators.row_rules import say
-from catalake.operators.skew import INLINE_MEMBERS, has_larger, member_window, salted_join
+from catalake.operators.skew import salted_join
 
 # Products of many catalogs can be inspected at once: rows with this column are compared only within its value.
 SCOPE = "catalog_id"
 # Rows are shown with their position in the file: the header is 1, the first product 2.
 FIRST_ROW_NUMBER = 2
-NO_ID_TEXT = "없음"
+
+SAME_ID, MIXED_CATEGORIES, MIXED_SIZES, SAME_VARIANT, SAME_NAME, SAME_CONTENT, PRICE = (
+    "duplicate_product_id", "inconsistent_group_category", "inconsistent_group_size_system",
+    "duplicate_variant_combination", "duplicate_product_name", "duplicate_product_content", "category_price_anomaly",
+)
 
 
 @dataclass(frozen=True)
 class GroupRule:
     name: str
     position: int
-    issues: Callable[[DataFrame, Vocabulary, int], DataFrame]
+    severity: str
 
 
-def _issues(rows: DataFrame, rule: str, severity: str, position: int, message: Column, args: dict[str, Column],
-            product_id: Column | None = None, lead_row: Column | None = None) -> DataFrame:
-    pairs: list[Column] = []
-    for name, value in args.items():
-        pairs += [F.lit(name), value.cast("string")]
-    arguments = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return rows.select(
-        *_scope(rows),
-        F.lit(rule).alias("rule"),
-        F.lit(severity).alias("severity"),
-        (F.col("product_id") if product_id is None else product_id).alias("product_id"),
-        "product_group_id",
-        arguments.cast("map<string,string>").alias("args"),
-        message.alias("message"),
-        F.lit(position).alias("rule_ord"),
-        (F.col("row_index") if lead_row is None else lead_row).alias("lead_row"),
-        "row_index",
-        F.lit(0).alias("sub_ord"),
-    )
+GROUP_RULES = (
+    GroupRule(SAME_ID, 0, "error"),
+    GroupRule(MIXED_CATEGORIES, 1, "error"),
+    GroupRule(MIXED_SIZES, 2, "warning"),
+    GroupRule(SAME_VARIANT, 3, "error"),
+    GroupRule(SAME_NAME, 4, "warning"),
+    GroupRule(SAME_CONTENT, 5, "error"),
+    GroupRule(PRICE, 13, "warning"),
+)
+COMPARED = tuple(rule.name for rule in GROUP_RULES if rule.name != PRICE)
 
 
 def _scope(frame: DataFrame) -> list[str]:
     return [SCOPE] if SCOPE in frame.columns else []
 
 
-def _row_number() -> Column:
-    return F.col("row_index") + FIRST_ROW_NUMBER
-
-
-def _listed(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: v.cast("string")), ", ")
-
-
-# --- duplicate product id ---
-
-
-def _id_rows(products: DataFrame) -> DataFrame:
-    rows = products.where(F.col("product_id") != "")
-    return rows.select(*_scope(rows), "row_index", "product_id", "product_group_id", F.col("product_id").alias("id_key"))
-
-
-def duplicate_ids(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
-    rows = _id_rows(products)
-    key = [*_scope(rows), "id_key"]
-    repeated = (
-        rows.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("row_index").alias("lead"))
-        .where(F.col("n") > 1)
-    )
-    flagged = salted_join(rows, repeated, key)
-    group = member_window(key, F.col("n"), limit)
-    flagged = flagged.withColumn("numbers", F.collect_list(_row_number()).over(group))
-    inline = F.col("n") <= limit
-    where = F.when(inline, _listed(F.col("numbers")))
-    message = F.when(
-        inline, say("product_id '{}' is duplicated in rows {}", F.col("id_key"), F.coalesce(where, F.lit("")))
-    ).otherwise(say("product_id '{}' is duplicated in {} rows", F.col("id_key"), F.col("n")))
-    return _issues(
-        flagged, "duplicate_product_id", "error", 0, message,
-        {"value": F.col("id_key"), "rows": where, "count": F.col("n")},
-        product_id=F.col("id_key"), lead_row=F.col("lead"),
-    )
-
-
-# --- one category per group ---
-
-
-def _category_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
-    rows = products.where((F.col("product_group_id") != "") & (F.col("category") != ""))
-    return rows.select(
-        *_scope(rows), "row_index", "product_id", "product_group_id", F.col("product_group_id").alias("group_key"),
-        keys.category_key(F.col("category"), vocab).alias("category_key"), F.col("category").alias("shown"),
-    )
-
-
-def group_categories(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
-    rows = _category_rows(products, vocab)
-    key = [*_scope(rows), "group_key"]
-    mixed = (
-        rows.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("category_key").alias("low"), F.max("category_key").alias("high"))
-        .where(F.col("low") != F.col("high"))
-        .select(*key, "n")
-    )
-    flagged = salted_join(rows, mixed, key)
-    # Categories in first-seen order, each with its ids in first-seen order: gather the first row of every id.
-    inline = F.col("n") <= limit
-    own = F.when(~inline, F.col("row_index"))
-    same_id = Window.partitionBy(*key, own, "category_key", "product_id").orderBy("row_index")
-    flagged = flagged.withColumn("_new_id", F.row_number().over(same_id) == 1)
-    entry = F.struct(F.col("category_key").alias("c"), F.col("shown").alias("shown"), F.col("product_id").alias("id"))
-    flagged = flagged.withColumn(
-        "_ids", F.collect_list(F.when(F.col("_new_id"), entry)).over(member_window(key, F.col("n"), limit))
-    )
-
-    def category(c: Column) -> Column:
-        own_ids = F.filter("_ids", lambda e: e["c"] == c)
-        return F.struct(
-            F.get(own_ids, F.lit(0))["shown"].alias("display_value"),
-            F.transform(own_ids, lambda e: e["id"]).alias("product_ids"),
-        )
-
-    distinct = F.array_distinct(F.transform("_ids", lambda e: e["c"]))
-    flagged = flagged.withColumn("categories", F.when(inline, F.transform(distinct, category)))
-    body = F.to_json(F.struct(F.col("group_key").alias("product_group_id"), "categories"))
-    message = F.when(
-        F.col("categories").isNotNull(), F.concat(F.lit("inconsistent_group_category:"), body)
-    ).otherwise(say("inconsistent_group_category in a group of {} rows", F.col("n")))
-    shown = F.array_join(F.transform("categories", lambda c: F.concat(F.lit("'"), c["display_value"], F.lit("'"))), ", ")
-    return _issues(
-        flagged, "inconsistent_group_category", "error", 1, message,
-        {"group": F.col("group_key"), "categories": shown, "count": F.col("n")},
-    )
-
-
-# --- one size system per group ---
+def _row_number(row_index: Column) -> Column:
+    return row_index + FIRST_ROW_NUMBER
 
 
-def _size_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
-    rows = products.where((F.col("product_group_id") != "") & (F.col("size") != ""))
-    return rows.select(
-        *_scope(rows), "row_index", "product_id", "product_group_id", F.col("product_group_id").alias("group_key"),
-        keys.size_system(F.col("size"), vocab).alias("system"),
-    )
+def _entries(products: DataFrame, vocab: Vocabulary, names: Iterable[str]) -> DataFrame:
+    """A row per product and rule it takes part in: the key and the values compared within the key.
 
-
-def group_sizes(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
-    rows = _size_rows(products, vocab)
-    key = [*_scope(rows), "group_key"]
-    mixed = (
-        rows.groupBy(*key)
-        .agg(F.min("system").alias("low"), F.max("system").alias("high"))
-        .where(F.col("low") != F.col("high"))
-        .select(*key)
-    )
-    return _issues(
-        salted_join(rows, mixed, key).where(F.col("system").isNotNull()), "inconsistent_group_size_system", "warning", 2,
-        F.lit("product group mixes alpha and numeric size systems"), {},
-    )
-
-
-# --- one product per color and size in a group ---
-
-VARIANT = ["group_key", "color_key", "size_key"]
-NO_CONTENT = ""  # stands for content that cannot be compared, so that it can be a join key
-
-
-def _variant_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
-    rows = products.where(
-        (F.col("product_group_id") != "") & (F.col("product_id") != "") & (F.col("color") != "")
-        & ((F.col("size") != "") | F.col("category").isin(*vocab.size_optional))
-    )
-    return rows.select(
-        *_scope(rows), "row_index", "product_id", "product_group_id", F.col("product_group_id").alias("group_key"),
-        F.col("product_id").alias("id_key"), keys.color_key(F.col("color"), vocab).alias("color_key"),
-        keys.variant_size_key(F.col("category"), F.col("size"), vocab).alias("size_key"),
-        F.coalesce(keys.content_key(vocab), F.lit(NO_CONTENT)).alias("content"),
-    )
-
-
-def _flagged_variants(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
-    """Rows that share group, color and size with a row of another id and not the same content.
-
-    Counting form of that test: rows of the bucket, less those of the same id, less those of the same content, plus
-    those of both. No pairs are formed. Counts come from windows over one shuffle for buckets of at most ``limit``
-    rows, from aggregates and salted joins for larger ones.
+    ``a`` is the value that must not vary (or, for names, the group); ``i``, ``c`` and ``s`` are the parts by which
+    rows of equal variants (id and content) and equal names (id, color and size) are told apart.
     """
-    rows = _variant_rows(products, vocab)
-    key = [*_scope(rows), *VARIANT]
-    shared = (
-        rows.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id_key").alias("low"), F.max("id_key").alias("high"))
-        .where(F.col("low") != F.col("high"))
-        .select(*key, "n")
-    )
-    rows = salted_join(rows, shared, key)
-    counted = {"n_id": ["id_key"], "n_content": ["content"], "n_both": ["id_key", "content"]}
-    small = rows.where(F.col("n") <= limit).withColumns(
-        {name: F.count(F.lit(1)).over(Window.partitionBy(*key, *extra)) for name, extra in counted.items()}
-    )
-    same_content = F.when(F.col("content") != NO_CONTENT, F.col("n_content") - F.col("n_both")).otherwise(0)
-    other = F.col("n") - F.col("n_id") - same_content > 0
-    if not has_larger(shared, "n", limit):
-        return small.where(other).drop(*counted)
-    large = rows.where(F.col("n") > limit)
-    # All counts of large buckets come from one aggregate per cell (id, content).
-    cell = ["id_key", "content"]
-    cells = large.groupBy(*key, *cell).agg(F.count(F.lit(1)).alias("n_both"), F.first("n").alias("n"))
-    by_id = cells.groupBy(*key, "id_key").agg(F.sum("n_both").alias("n_id"))
-    by_content = cells.groupBy(*key, "content").agg(F.sum("n_both").alias("n_content"))
-    cells = salted_join(cells, by_id, [*key, "id_key"], row_id="content")
-    cells = salted_join(cells, by_content, [*key, "content"], row_id="id_key")
-    picked = salted_join(large, cells.where(other).select(*key, *cell), [*key, *cell])
-    return small.where(other).select(*picked.columns).unionByName(picked)
-
-
-def duplicate_variants(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
-    flagged = _flagged_variants(products, vocab, limit)
-    group = member_window([*_scope(flagged), *VARIANT], F.col("n"), limit)
-    flagged = flagged.withColumn("ids", F.array_distinct(F.collect_list("id_key").over(group)))
-    body = F.to_json(
-        F.struct(
-            F.col("group_key").alias("product_group_id"), F.col("color_key").alias("color"),
-            F.col("size_key").alias("size"), F.col("ids").alias("product_ids"),
-        )
-    )
-    inline = F.col("n") <= limit
-    message = F.when(inline, F.concat(F.lit("duplicate_variant_combination:"), body)).otherwise(
-        say("duplicate_variant_combination in a bucket of {} rows", F.col("n"))
-    )
-    quoted = F.array_join(F.transform("ids", lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", ")
-    return _issues(
-        flagged, "duplicate_variant_combination", "error", 3, message,
-        {
-            "group": F.col("group_key"), "color": F.col("color_key"), "size": F.col("size_key"),
-            "ids": F.when(inline, quoted), "count": F.col("n"),
-        },
-    )
-
-
-# --- duplicate product name ---
-
-
-def _name_rows(products: DataFrame) -> DataFrame:
-    rows = products.where(keys.has_name_key(F.col("product_name"))).select(
-        *_scope(products), "row_index", "product_id", "product_group_id", "product_name",
-        keys.name_key(F.col("product_name")).alias("name_key"),
-        keys.option_key(F.col("product_group_id")).alias("group_opt"),
-        keys.option_key(F.col("product_id")).alias("id_opt"),
-        keys.option_key(F.col("color")).alias("color_opt"),
-        keys.option_key(F.col("size")).alias("size_opt"),
-    )
-    return rows
-
-
-def _flagged_names(products: DataFrame, limit: int = INLINE_MEMBERS) -> DataFrame:
-    """Rows with an equal-named row that is not merely another option of the same product.
-
-    Two rows are options of one product when they share a filled group, have different filled ids, and differ in a
-    color or size that both state. In a bucket of equal names that spans several groups, or has a blank group or id,
-    or a row without color and size, every row has a partner that is no option. In the remaining buckets a row has one
-    iff its id repeats or some other row agrees with it, or is blank, in both color and size; counts per color, per
-    size and per combination decide that.
-    """
-    rows = _name_rows(products)
-    key = [*_scope(rows), "name_key"]
-    no_color, no_size = F.col("color_opt") == "", F.col("size_opt") == ""
-    same_name = (
-        rows.groupBy(*key)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("row_index").alias("lead"),
-            F.min("group_opt").alias("low_group"),
-            F.max("group_opt").alias("high_group"),
-            F.min("id_opt").alias("low_id"),
-            F.count_if(no_color).alias("n_no_color"),
-            F.count_if(no_size).alias("n_no_size"),
-            F.count_if(no_color & no_size).alias("n_bare"),
-        )
-        .where(F.col("n") > 1)
-    )
-    all_flagged = (
-        (F.col("low_group") != F.col("high_group")) | (F.col("low_group") == "") | (F.col("low_id") == "")
-        | (F.col("n_bare") > 0)
-    )
-    buckets = same_name.select(*key, "n", "n_no_color", "n_no_size", "lead", all_flagged.alias("all_flagged"))
-    rows = salted_join(rows, buckets, key)
-    one = F.lit(1)
-    small = rows.where(F.col("n") <= limit).withColumns(
-        {
-            "n_id": F.count(one).over(Window.partitionBy(*key, "id_opt")),
-            "n_option": F.count(one).over(Window.partitionBy(*key, "color_opt", "size_opt")),
-            "n_color": F.count(one).over(Window.partitionBy(*key, "color_opt")),
-            "n_color_bare": F.count_if(no_size).over(Window.partitionBy(*key, "color_opt")),
-            "n_size": F.count(one).over(Window.partitionBy(*key, "size_opt")),
-            "n_size_bare": F.count_if(no_color).over(Window.partitionBy(*key, "size_opt")),
-        }
-    )
-    # A full row meets its twins, rows of its color without size and rows of its size without color. A row without
-    # size meets every row of its color and every row without color; likewise the other way round.
-    clash = (
-        F.when(no_size, (F.col("n_color") > 1) | (F.col("n_no_color") > 0))
-        .when(no_color, (F.col("n_size") > 1) | (F.col("n_no_size") > 0))
-        .otherwise((F.col("n_option") > 1) | (F.col("n_color_bare") > 0) | (F.col("n_size_bare") > 0))
-    )
-    meets = F.col("all_flagged") | (F.col("n_id") > 1) | clash
-    if not has_larger(same_name, "n", limit):
-        return small.where(meets).select(*rows.columns)
-    large = rows.where(F.col("n") > limit)
-    # All counts of large buckets come from one aggregate per cell (id, color, size).
-    cell = ["id_opt", "color_opt", "size_opt"]
-    cells = large.groupBy(*key, *cell, "n_no_color", "n_no_size", "all_flagged").agg(F.count(one).alias("n_cell"))
-
-    def cells_with(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, F.col("n_cell"))), F.lit(0))
-
-    by_id = cells.groupBy(*key, "id_opt").agg(F.sum("n_cell").alias("n_id"))
-    by_option = cells.groupBy(*key, "color_opt", "size_opt").agg(F.sum("n_cell").alias("n_option"))
-    by_color = cells.groupBy(*key, "color_opt").agg(
-        F.sum("n_cell").alias("n_color"), cells_with(no_size).alias("n_color_bare")
-    )
-    by_size = cells.groupBy(*key, "size_opt").agg(
-        F.sum("n_cell").alias("n_size"), cells_with(no_color).alias("n_size_bare")
-    )
-    cells = salted_join(cells, by_id, [*key, "id_opt"], row_id=["color_opt", "size_opt"])
-    cells = salted_join(cells, by_option, [*key, "color_opt", "size_opt"], row_id="id_opt")
-    cells = salted_join(cells, by_color, [*key, "color_opt"], row_id=["id_opt", "size_opt"])
-    cells = salted_join(cells, by_size, [*key, "size_opt"], row_id=["id_opt", "color_opt"])
-    picked = salted_join(large, cells.where(meets).select(*key, *cell), [*key, *cell])
-    return small.where(meets).select(*picked.columns).unionByName(picked)
-
-
-def duplicate_names(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
-    flagged = _flagged_names(products, limit)
-    group = member_window([*_scope(flagged), "name_key"], F.col("n"), limit)
-    flagged = flagged.withColumn(
-        "members",
-        F.collect_list(
-            F.struct(_row_number().alias("number"), F.col("product_id").alias("id"), F.lit(0).alias("_"))
-        ).over(group),
-    )
-    inline = F.col("n") <= limit
-    ids = F.filter(F.col("members.id"), lambda v: v != "")
-    id_text = F.when(F.size(ids) > 0, F.array_join(ids, ", ")).otherwise(F.lit(NO_ID_TEXT))
-    row_text = _listed(F.col("members.number"))
-    message = F.when(
-        inline,
-        say(
-            "product_name '{}' normalized to '{}' duplicates rows {} with product_ids '{}'",
-            F.col("product_name"), F.col("name_key"), row_text, id_text,
+    c = F.col
+    none = F.lit(None).cast("string")
+    filled = lambda *fields: [c(field) != "" for field in fields]
+
+    def entry(rule: str, key: list[Column], *when: Column, a: Column = none, i: Column = none, p: Column = none,
+              s: Column = none) -> Column:
+        test = F.lit(True)
+        for condition in when:
+            test = test & condition
+        made = F.struct(F.lit(rule).alias("rule"), F.array(*key).alias("key"), a.alias("a"), i.alias("i"), p.alias("c"), s.alias("s"))
+        return F.when(test, made)
+
+    system = keys.size_system(c("size"), vocab)
+    has_size = (c("size") != "") | c("category").isin(*vocab.size_optional)
+    made = {
+        SAME_ID: lambda: entry(SAME_ID, [c("product_id")], *filled("product_id")),
+        MIXED_CATEGORIES: lambda: entry(
+            MIXED_CATEGORIES, [c("product_group_id")], *filled("product_group_id", "category"),
+            a=keys.category_key(c("category"), vocab),
         ),
-    ).otherwise(
-        say(
-            "product_name '{}' normalized to '{}' duplicates among {} rows",
-            F.col("product_name"), F.col("name_key"), F.col("n"),
-        )
-    )
-    return _issues(
-        flagged, "duplicate_product_name", "warning", 4, message,
-        {
-            "value": F.col("product_name"), "name_key": F.col("name_key"),
-            "rows": F.when(inline, row_text), "ids": F.when(inline, id_text), "count": F.col("n"),
-        },
-        lead_row=F.col("lead"),
-    )
-
-
-# --- duplicate content ---
-
-
-def _content_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
-    rows = products.where(keys.comparable(vocab))
-    return rows.select(*_scope(rows), "row_index", "product_id", "product_group_id", keys.content_key(vocab).alias("content"))
-
-
-def duplicate_content(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
-    rows = _content_rows(products, vocab)
-    key = [*_scope(rows), "content"]
-    repeated = (
-        rows.groupBy(*key)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("row_index", "product_id", "product_group_id")).alias("first"),
-        )
-        .where(F.col("n") > 1)
-        .select(*key, "first")
-    )
-    later = salted_join(rows, repeated, key).where(F.col("row_index") > F.col("first.row_index"))
-    first_id, first_group = F.col("first.product_id"), F.col("first.product_group_id")
-    message = say(
-        "product_id '{}' in group '{}' duplicates product_id '{}' in group '{}' "
-        "with same product_name, category, color, size, and price",
-        F.col("product_id"), F.col("product_group_id"), first_id, first_group,
-    )
-    return _issues(
-        later, "duplicate_product_content", "error", 5, message,
-        {
-            "id": F.col("product_id"), "group": F.col("product_group_id"),
-            "first_id": first_id, "first_group": first_group,
-        },
+        MIXED_SIZES: lambda: entry(
+            MIXED_SIZES, [c("product_group_id")], *filled("product_group_id", "size"), system.isNotNull(), a=system
+        ),
+        SAME_VARIANT: lambda: entry(
+            SAME_VARIANT,
+            [c("product_group_id"), keys.color_key(c("color"), vocab), keys.variant_size_key(c("category"), c("size"), vocab)],
+            *filled("product_group_id", "product_id", "color"), has_size,
+            a=c("product_id"), i=c("product_id"), p=c("_content"),
+        ),
+        SAME_NAME: lambda: entry(
+            SAME_NAME, [keys.name_key(c("product_name"))], keys.has_name_key(c("product_name")),
+            a=keys.option_key(c("product_group_id")), i=keys.option_key(c("product_id")),
+            p=keys.option_key(c("color")), s=keys.option_key(c("size")),
+        ),
+        SAME_CONTENT: lambda: entry(SAME_CONTENT, [c("_content")], c("_content").isNotNull()),
+    }
+    shown = [*_scope(products), "row_index", "product_id", "product_group_id", "product_name"]
+    derived = products.withColumn("_content", keys.content_key(vocab))
+    listed = F.array_compact(F.array(*[made[name]() for name in names]))
+    return derived.select(*shown, F.explode(listed).alias("entry")).select(*shown, "entry.*")
+
+
+def _broken(entries: DataFrame, key: list[str]) -> DataFrame:
+    """The keys that break their rule, with totals."""
+    is_name = F.col("rule") == SAME_NAME
+    no_color, no_size = is_name & (F.col("c") == ""), is_name & (F.col("s") == "")
+    totals = entries.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("a").alias("low"), F.max("a").alias("high"), F.min("i").alias("low_id"),
+        F.min(F.struct("row_index", "product_id", "product_group_id")).alias("first"),
+        F.count_if(no_color).alias("n_no_color"), F.count_if(no_size).alias("n_no_size"),
+        F.count_if(no_color & no_size).alias("n_bare"),
+    )
+    varies = F.col("low") != F.col("high")
+    # In a bucket of equal names that spans several groups, or has a blank group or id, or a row without color and
+    # size, every row has a partner that is not merely another option of the same product.
+    every = varies | (F.col("low") == "") | (F.col("low_id") == "") | (F.col("n_bare") > 0)
+    broken = F.when(F.col("rule").isin(SAME_ID, SAME_NAME, SAME_CONTENT), F.col("n") > 1).otherwise(varies)
+    sure = F.when(F.col("rule") == SAME_NAME, every).otherwise(F.col("rule") != SAME_VARIANT)
+    return totals.where(broken).withColumn("sure", sure).drop("low_id", "n_bare")
+
+
+def _parts() -> Column:
+    """The parts of its key by which an unsure row is counted: (kind, value, bare)."""
+    def part(kind: str, bare: Column, *value: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.array(*value).alias("value"), bare.alias("bare"))
+
+    never = F.lit(False)
+    by_variant = F.array(part("id", never, "i"), part("content", never, "c"), part("both", never, "i", "c"))
+    by_name = F.array(
+        part("id", never, "i"), part("option", never, "c", "s"), part("color", F.col("s") == "", "c"),
+        part("size", F.col("c") == "", "s"),
+    )
+    return F.when(F.col("rule") == SAME_VARIANT, by_variant).otherwise(by_name)
+
+
+def _weight() -> Column:
+    """What a counted part says of its row: rows it covers (variants) or a partner found (names)."""
+    kind, n = F.col("kind"), F.col("n_part")
+    no_color, no_size = F.col("c") == "", F.col("s") == ""
+    # rows of the same id, and rows of the same content (where it can be compared), less those of both
+    covered = F.when(kind == "id", n).when(F.col("c").isNull(), 0).when(kind == "content", n).otherwise(-n)
+    # A full row meets its twins, rows of its color without size and rows of its size without color. A row without
+    # size meets every row of its color (and every row without color); likewise the other way round.
+    meets = (
+        F.when(kind == "id", n > 1)
+        .when(kind == "option", ~no_color & ~no_size & (n > 1))
+        .when(kind == "color", F.when(no_size, n > 1).otherwise(~no_color & (F.col("n_bare_part") > 0)))
+        .otherwise(F.when(no_color, n > 1).otherwise(~no_size & (F.col("n_bare_part") > 0)))
+    )
+    return F.when(F.col("rule") == SAME_VARIANT, covered).otherwise(meets.cast("bigint"))
+
+
+def flagged(products: DataFrame, vocab: Vocabulary = DEFAULT, names: Iterable[str] = COMPARED) -> DataFrame:
+    """Rows that break a comparing rule: rule, key, the key's totals, and the row."""
+    names = [name for name in COMPARED if name in set(names)]
+    entries = _entries(products, vocab, names)
+    scope = _scope(products)
+    key = [*scope, "rule", "key"]
+    rows = salted_join(entries, _broken(entries, key), key)
+    rows = rows.where((F.col("rule") != SAME_CONTENT) | (F.col("row_index") > F.col("first.row_index")))
+    if not {SAME_VARIANT, SAME_NAME} & set(names):
+        return rows
+    counted = [*key, "kind", "value"]
+    unsure = rows.where(~F.col("sure")).withColumn("part", F.explode(_parts())).select("*", "part.*").drop("part")
+    counts = unsure.groupBy(*counted).agg(F.count(F.lit(1)).alias("n_part"), F.count_if("bare").alias("n_bare_part"))
+    # unknown content is equal to none, so nulls must not be joined: they count as covering nothing
+    known = unsure.withColumn("value", F.transform("value", lambda v: F.coalesce(v, F.lit(""))))
+    counts = counts.withColumn("value", F.transform("value", lambda v: F.coalesce(v, F.lit(""))))
+    weighed = salted_join(known, counts, counted).withColumn("weight", _weight())
+    kept = [name for name in rows.columns if name not in (*scope, "rule", "row_index")]
+    decided = weighed.groupBy(*scope, "rule", "row_index").agg(
+        F.sum("weight").alias("weight"), F.any_value(F.struct(*kept)).alias("row")
+    ).select(*scope, "rule", "row_index", "weight", "row.*")
+    blank = ((F.col("s") == "") & (F.col("n_no_color") > 0)) | ((F.col("c") == "") & (F.col("n_no_size") > 0))
+    breaks = F.when(F.col("rule") == SAME_VARIANT, F.col("n") > F.col("weight")).otherwise((F.col("weight") > 0) | blank)
+    return rows.where("sure").unionByName(decided.where(breaks).select(*rows.columns))
+
+
+def group_issues(products: DataFrame, vocab: Vocabulary = DEFAULT, names: Iterable[str] = COMPARED) -> DataFrame:
+    """Issues of the comparing rules."""
+    rule, key, n = F.col("rule"), F.col("key"), F.col("n")
+    first_row = _row_number(F.col("first.row_index"))
+    group, color, size = F.get(key, F.lit(0)), F.get(key, F.lit(1)), F.get(key, F.lit(2))
+    value = F.when(rule == SAME_NAME, F.col("product_name")).otherwise(group)
+    mixed = F.to_json(F.struct(
+        group.alias("product_group_id"), F.array("low", "high").alias("categories"), n.alias("count"), first_row.alias("first_row")
+    ))
+    variant = F.to_json(F.struct(
+        group.alias("product_group_id"), color.alias("color"), size.alias("size"), n.alias("count"), first_row.alias("first_row")
+    ))
+    message = (
+        F.when(rule == SAME_ID, say("product_id '{}' is used in {} rows, first in row {}", group, n, first_row))
+        .when(rule == MIXED_CATEGORIES, F.concat(F.lit(f"{MIXED_CATEGORIES}:"), mixed))
+        .when(rule == MIXED_SIZES, F.lit("product group mixes alpha and numeric size systems"))
+        .when(rule == SAME_VARIANT, F.concat(F.lit(f"{SAME_VARIANT}:"), variant))
+        .when(rule == SAME_NAME, say(
+            "product_name '{}' normalized to '{}' is used in {} rows, first in row {}", value, group, n, first_row
+        ))
+        .otherwise(say(
+            "product_id '{}' in group '{}' duplicates product_id '{}' in group '{}' "
+            "with same product_name, category, color, size, and price",
+            F.col("product_id"), F.col("product_group_id"), F.col("first.product_id"), F.col("first.product_group_id"),
+        ))
+    )
+    totals = {"count": n, "first_row": first_row}
+    arguments = (
+        F.when(rule == SAME_ID, _arguments({"value": value, **totals}))
+        .when(rule == SAME_NAME, _arguments({"value": value, "name_key": group, **totals}))
+        .when(rule == MIXED_CATEGORIES, _arguments({
+            "group": group, "categories": say("'{}', '{}'", F.col("low"), F.col("high")), **totals
+        }))
+        .when(rule == SAME_VARIANT, _arguments({"group": group, "color": color, "size": size, **totals}))
+        .when(rule == SAME_CONTENT, _arguments({
+            "id": F.col("product_id"), "group": F.col("product_group_id"), "first_id": F.col("first.product_id"),
+            "first_group": F.col("first.product_group_id"),
+        }))
+        .otherwise(F.create_map().cast("map<string,string>"))
+    )
+    of_rule = lambda what: F.element_at(
+        F.create_map(*[F.lit(x) for r in GROUP_RULES for x in (r.name, getattr(r, what))]), rule
+    )
+    lead = F.when(rule.isin(SAME_ID, SAME_NAME), F.col("first.row_index")).otherwise(F.col("row_index"))
+    return flagged(products, vocab, names).select(
+        *_scope(products), "rule", of_rule("severity").alias("severity"), "product_id", "product_group_id",
+        arguments.alias("args"), message.alias("message"), of_rule("position").alias("rule_ord"), lead.alias("lead_row"),
+        "row_index", F.lit(0).alias("sub_ord"),
+    )
+
+
+def _arguments(values: dict[str, Column]) -> Column:
+    return F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value.cast("string"))])
+
+
+def group_members(products: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """Whole membership of every flagged group: (rule, group, row_number, product_id)."""
+    members = flagged(products, vocab, (SAME_ID, MIXED_CATEGORIES, SAME_VARIANT, SAME_NAME))
+    return members.select(
+        *_scope(products), "rule", F.array_join("key", keys.PART_SEPARATOR).alias("group"),
+        _row_number(F.col("row_index")).alias("row_number"), "product_id",
     )
 
 
@@ -430,70 +263,43 @@ def _priced_rows(products: DataFrame, vocab: Vocabulary) -> DataFrame:
     )
 
 
-# Distinct values of one key that may be ordered in one task.
-ORDERED_VALUES = 1 << 20
-
+def exact_medians(rows: DataFrame, key: list[str], value: str, at_least: int = 1) -> DataFrame:
+    """Exact median of BIGINTs per key: (key, n, median).
 
-def exact_medians(rows: DataFrame, key: list[str], value: str, at_least: int = 1,
-                  ordered_values: int = ORDERED_VALUES) -> DataFrame:
-    """Exact median of positive BIGINTs per key: (key, n, median).
-
-    Equal values are counted first, so the rest works on distinct values. Keys with few of them are ordered directly;
-    for keys with more, the two middle ranks are located digit by digit, so no task ever orders more than
-    ``ordered_values`` or 2**21 entries of one key.
+    Equal values are counted first. The middle values are then found from the top by pieces of the value: 21 bits at a
+    time, so no task orders more than 2**21 entries of one key, whatever the number of rows or distinct values.
     """
-    counts = rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = (
-        counts.groupBy(*key)
-        .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("values"))
-        .where(F.col("total") >= at_least)
-    )
-    few = totals.where(F.col("values") <= ordered_values).select(*key, "total")
-    running = F.sum("n").over(Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ordered = counts.join(few, key).withColumn("upto", running)
-
-    def holds(rank: Column) -> Column:
-        return (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-
-    direct = ordered.where(holds(F.expr("(total - 1) div 2")) | holds(F.expr("total div 2"))).select(
-        *key, "total", F.col(value).alias("middle")
-    )
-    middles = direct
-    if has_larger(totals, "values", ordered_values):
-        many = totals.where(F.col("values") > ordered_values).select(*key, "total")
-        inside = counts.join(many.select(*key), key, "left_semi")
-        middles = direct.unionByName(_middles_by_digit(inside, many, key, value))
-    return middles.groupBy(*key).agg(
-        F.first("total").alias("n"),
-        ((F.min("middle").cast("double") + F.max("middle").cast("double")) / 2).alias("median"),
-    )
-
-
-def _middles_by_digit(counts: DataFrame, totals: DataFrame, key: list[str], value: str) -> DataFrame:
-    """The middle values per key, found by three digits of 21 bits from the top: (key, total, middle)."""
     bits, mask = 21, (1 << 21) - 1
-    found = totals.select(
-        *key, "total", F.explode(F.array(F.expr("(total - 1) div 2"), F.expr("total div 2"))).alias("rank"),
-        F.lit(0).cast("bigint").alias("prefix"),
-    ).distinct()
-    within = Window.partitionBy(*key, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("n"))
+    found = None
     for level in (2, 1, 0):
         shift = level * bits
-        above = F.shiftright(value, shift + bits) if level < 2 else F.lit(0).cast("bigint")
-        by_digit = counts.groupBy(
-            *key, above.alias("prefix"), F.shiftright(value, shift).bitwiseAND(mask).alias("digit")
-        ).agg(F.sum("n").alias("n"))
-        wanted = by_digit.join(found.select(*key, "prefix").distinct(), [*key, "prefix"], "left_semi")
-        running = wanted.withColumn("upto", F.sum("n").over(within))
-        found = (
-            found.join(running, [*key, "prefix"])
-            .where((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-            .select(
-                *key, "total", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"),
-                F.shiftleft("prefix", bits).bitwiseOR(F.col("digit")).alias("prefix"),
-            )
+        digit = F.shiftright(value, shift).bitwiseAND(mask)
+        if found is None:
+            by_digit = counts.groupBy(*key, digit.alias("digit")).agg(F.sum("n").alias("n"))
+            within = Window.partitionBy(*key)
+            running = by_digit.withColumns({
+                "total": F.sum("n").over(within),
+                "upto": F.sum("n").over(within.orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)),
+            }).where(F.col("total") >= at_least)
+            ranks = F.explode(F.array_distinct(F.array(F.expr("(total - 1) div 2"), F.expr("total div 2"))))
+            ranked = running.withColumn("rank", ranks).withColumn("prefix", F.lit(0).cast("bigint"))
+        else:
+            above = F.shiftright(value, shift + bits)
+            by_digit = counts.withColumn("prefix", above).join(found, [*key, "prefix"]).groupBy(
+                *key, "prefix", "rank", "total", digit.alias("digit")
+            ).agg(F.sum("n").alias("n"))
+            within = Window.partitionBy(*key, "prefix", "rank").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+            ranked = by_digit.withColumn("upto", F.sum("n").over(within))
+        inside = (F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto"))
+        found = ranked.where(inside).select(
+            *key, "total", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"),
+            F.shiftleft("prefix", bits).bitwiseOR(F.col("digit")).alias("prefix"),
         )
-    return found.select(*key, "total", F.col("prefix").alias("middle"))
+    return found.groupBy(*key).agg(
+        F.first("total").alias("n"),
+        ((F.min("prefix").cast("double") + F.max("prefix").cast("double")) / 2).alias("median"),
+    )
 
 
 def category_medians(products: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -510,12 +316,13 @@ def plain_number(value: Column) -> Column:
     )
 
 
-def price_outliers(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_MEMBERS) -> DataFrame:
+def price_outliers(products: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """Issues of the price rule."""
     rows = _priced_rows(products, vocab)
     key = [*_scope(rows), "category_key"]
     medians = category_medians(products, vocab).select(*key, "median")
     price, median = F.col("price"), F.col("median")
-    flagged = salted_join(rows, medians, key).where(
+    far = salted_join(rows, medians, key).where(
         (price < median * LOW_RATIO) | (price > median * HIGH_RATIO)
     )
     ratio = price / median
@@ -523,41 +330,9 @@ def price_outliers(products: DataFrame, vocab: Vocabulary, limit: int = INLINE_M
         "price {} in category '{}' has median {} and ratio {}",
         price, F.col("shown"), plain_number(median), plain_number(ratio),
     )
-    return _issues(
-        flagged, "category_price_anomaly", "warning", 13, message,
-        {"price": price, "category": F.col("shown"), "median": plain_number(median), "ratio": plain_number(ratio)},
-    )
-
-
-GROUP_RULES = (
-    GroupRule("duplicate_product_id", 0, duplicate_ids),
-    GroupRule("inconsistent_group_category", 1, group_categories),
-    GroupRule("inconsistent_group_size_system", 2, group_sizes),
-    GroupRule("duplicate_variant_combination", 3, duplicate_variants),
-    GroupRule("duplicate_product_name", 4, duplicate_names),
-    GroupRule("duplicate_product_content", 5, duplicate_content),
-    GroupRule("category_price_anomaly", 13, price_outliers),
-)
-
-
-def group_members(products: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Whole membership of every flagged group as a long table: (rule, group, row_number, product_id).
-
-    The companion of the inline lists: it scales to groups of any size.
-    """
-    ids = _id_rows(products)
-    scope = _scope(ids)
-    repeated = ids.groupBy(*scope, "id_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    by_id = salted_join(ids, repeated, [*scope, "id_key"])
-
-    def members(rows: DataFrame, rule: str, group: Column) -> DataFrame:
-        return rows.select(
-            *scope, F.lit(rule).alias("rule"), group.alias("group"), _row_number().alias("row_number"), "product_id"
-        )
-
-    variant = F.concat_ws(keys.PART_SEPARATOR, *VARIANT)
-    return (
-        members(by_id, "duplicate_product_id", F.col("id_key"))
-        .unionByName(members(_flagged_variants(products, vocab), "duplicate_variant_combination", variant))
-        .unionByName(members(_flagged_names(products), "duplicate_product_name", F.col("name_key")))
+    arguments = {"price": price, "category": F.col("shown"), "median": plain_number(median), "ratio": plain_number(ratio)}
+    return far.select(
+        *_scope(products), F.lit(PRICE).alias("rule"), F.lit("warning").alias("severity"), "product_id", "product_group_id",
+        _arguments(arguments).alias("args"), message.alias("message"), F.lit(13).alias("rule_ord"),
+        F.col("row_index").alias("lead_row"), "row_index", F.lit(0).alias("sub_ord"),
     )

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalake.functions.vocabulary import DEFAULT, Vocabulary
-from catalake.operators.group_rules import GROUP_RULES, GroupRule
+from catalake.operators.group_rules import COMPARED, GROUP_RULES, PRICE, GroupRule, group_issues, price_outliers
 from catalake.operators.row_rules import ROW_RULES, RowRule, run_row_rules
-from catalake.operators.skew import INLINE_MEMBERS
 
 RULES: tuple[RowRule | GroupRule, ...] = tuple(sorted((*ROW_RULES, *GROUP_RULES), key=lambda rule: rule.position))
 # Columns that put issues in discovery order: rule, group of the rule, row, place within the row.
@@ -21,13 +20,15 @@ def inspect(
     products: DataFrame,
     vocab: Vocabulary = DEFAULT,
     rules: tuple[RowRule | GroupRule, ...] = RULES,
-    inline_members: int = INLINE_MEMBERS,
 ) -> DataFrame:
     """All issues of a typed catalog (see ``load_catalog``), unordered; sort by ``DISCOVERY_ORDER`` to list them.
 
-    Row rules share one scan. Each group rule reads only the columns it compares.
+    Row rules share one scan, and so do all rules that compare products, whatever the size of a group.
     """
-    parts = [rule.issues(products, vocab, inline_members) for rule in rules if isinstance(rule, GroupRule)]
+    names = {rule.name for rule in rules if isinstance(rule, GroupRule)}
+    parts = [group_issues(products, vocab, names)] if names & set(COMPARED) else []
+    if PRICE in names:
+        parts.append(price_outliers(products, vocab))
     row_rules = tuple(rule for rule in rules if isinstance(rule, RowRule))
     if row_rules:
         parts.append(run_row_rules(products, row_rules, vocab))

@@ -56,7 +56,7 @@ def short_number(value: Column) -> Column:
 def reason_text() -> Column:
     """Sentence for the reader, written from the rule and its arguments."""
     field = F.coalesce(lookup_in(FIELD_LABELS, _arg("field")), _arg("field"))
-    value, count = _arg("value"), _arg("count")
+    value, count, first_row = _arg("value"), _arg("count"), _arg("first_row")
     median = F.format_number(F.bround(_arg("median").cast("double"), 0), 0)
     shown_size = F.when(_arg("size") == "", F.lit(NO_SIZE)).otherwise(say("'{}'", _arg("size")))
     sentences = {
@@ -66,24 +66,21 @@ def reason_text() -> Column:
         "resident_registration_number": say("{}에 주민등록번호 형식 '{}'이 포함되어 있습니다.", field, value),
         "suspected_bank_account": say("{}에 계좌번호로 의심되는 값 '{}'이 포함되어 있습니다.", field, value),
         "duplicate_product_id": say(
-            "동일한 상품 ID '{}'가 여러 상품에 사용되었습니다. 중복 행: {}.", value, F.coalesce(_arg("rows"), count)
+            "동일한 상품 ID '{}'가 여러 상품에 사용되었습니다. 중복 행: {}개, 첫 행: {}.", value, count, first_row
         ),
         "duplicate_product_name": say(
-            "상품명 '{}'이 다른 상품과 동일하거나 정리 후 같은 값으로 확인되었습니다. 중복 후보 상품 ID: {}. 중복 행: {}.",
-            value, F.coalesce(_arg("ids"), count), F.coalesce(_arg("rows"), count),
+            "상품명 '{}'이 다른 상품과 동일하거나 정리 후 같은 값으로 확인되었습니다. 같은 이름의 행: {}개, 첫 행: {}.",
+            value, count, first_row,
         ),
-        "inconsistent_group_category": F.coalesce(
-            say(
-                "상품 그룹 '{}'에 서로 다른 카테고리 {}가 함께 등록되어 있습니다.", _arg("group"), _arg("categories")
-            ),
-            F.lit("상품 그룹의 카테고리 값이 서로 다릅니다."),
+        "inconsistent_group_category": say(
+            "상품 그룹 '{}'에 서로 다른 카테고리 {}가 함께 등록되어 있습니다.", _arg("group"), _arg("categories")
         ),
         "inconsistent_group_size_system": say(
             "상품 그룹 '{}'에서 문자형 사이즈와 숫자형 사이즈가 함께 사용되고 있습니다.", F.col("product_group_id")
         ),
         "duplicate_variant_combination": say(
-            "상품 그룹 '{}'에서 색상 '{}', 사이즈 {} 조합이 상품 ID {}에 중복되어 있습니다.",
-            _arg("group"), _arg("color"), shown_size, F.coalesce(_arg("ids"), count),
+            "상품 그룹 '{}'에서 색상 '{}', 사이즈 {} 조합이 여러 상품 ID에 중복되어 있습니다. 조합의 행: {}개, 첫 행: {}.",
+            _arg("group"), _arg("color"), shown_size, count, first_row,
         ),
         "missing_required_field": say("필수 항목 '{}' 값이 누락되었습니다.", _arg("field")),
         "non_standard_color": say("색상 '{}'은 표준값 '{}'으로 통일하는 것이 좋습니다.", value, _arg("standard")),

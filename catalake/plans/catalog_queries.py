@@ -148,27 +148,20 @@ def _say(rule: str, severity: str, message: str, tail: str, product_id: str = "p
 
 VIEWS["v_dup_id"] = _say(
     "duplicate_product_id", "error",
-    "'product_id ''' || product_id || ''' is duplicated in rows ' || numbers",
+    "'product_id ''' || product_id || ''' is used in ' || n || ' rows, first in row ' || first_row",
     """FROM v_products JOIN (
-      SELECT product_id, string_agg(CAST(row_index + 2 AS VARCHAR), ', ' ORDER BY row_index) AS numbers
+      SELECT product_id, count(*) AS n, min(row_index) + 2 AS first_row
       FROM v_products WHERE product_id <> '' GROUP BY product_id HAVING count(*) > 1) USING (product_id)""",
 )
-VIEWS["v_cat_parts"] = """
-SELECT product_group_id, cat_key, min(row_index) AS lead, arg_min(category, row_index) AS shown
-FROM v_keyed WHERE product_group_id <> '' AND cat_key <> '' GROUP BY ALL
-"""
-VIEWS["v_cat_ids"] = """
-SELECT product_group_id, cat_key, string_agg(CAST(to_json(product_id) AS VARCHAR), ',' ORDER BY place0) AS ids FROM (
-  SELECT product_group_id, cat_key, product_id, min(row_index) AS place0 FROM v_keyed
-  WHERE product_group_id <> '' AND cat_key <> '' GROUP BY ALL) GROUP BY ALL
+VIEWS["v_mixed_groups"] = """
+SELECT product_group_id, min(cat_key) AS low, max(cat_key) AS high, count(*) AS n, min(row_index) + 2 AS first_row
+FROM v_keyed WHERE product_group_id <> '' AND cat_key <> '' GROUP BY product_group_id HAVING count(DISTINCT cat_key) > 1
 """
 VIEWS["v_group_cat"] = _say(
-    "inconsistent_group_category", "error", "body",
-    """FROM v_keyed JOIN (
-      SELECT product_group_id, 'inconsistent_group_category:{"product_group_id":' || CAST(to_json(product_group_id) AS VARCHAR) || ',"categories":['
-        || string_agg('{"display_value":' || CAST(to_json(shown) AS VARCHAR) || ',"product_ids":[' || ids || ']}', ',' ORDER BY lead) || ']}' AS body
-      FROM v_cat_parts JOIN v_cat_ids USING (product_group_id, cat_key) GROUP BY product_group_id HAVING count(*) > 1
-    ) USING (product_group_id) WHERE cat_key <> ''""",
+    "inconsistent_group_category", "error",
+    """'inconsistent_group_category:{"product_group_id":' || CAST(to_json(product_group_id) AS VARCHAR) || ',"categories":['
+      || CAST(to_json(low) AS VARCHAR) || ',' || CAST(to_json(high) AS VARCHAR) || '],"count":' || n || ',"first_row":' || first_row || '}'""",
+    "FROM v_keyed JOIN v_mixed_groups USING (product_group_id) WHERE cat_key <> ''",
 )
 VIEWS["v_group_size"] = _say(
     "inconsistent_group_size_system", "warning", "'product group mixes alpha and numeric size systems'",
@@ -182,14 +175,15 @@ WHERE a.product_group_id <> '' AND a.product_id <> '' AND a.color_key IS NOT NUL
   SELECT 1 FROM v_keyed b WHERE b.product_group_id = a.product_group_id AND b.color_key = a.color_key AND b.size_key = a.size_key
     AND b.product_id <> '' AND b.product_id <> a.product_id AND NOT coalesce(b.content = a.content, FALSE))
 """
+VIEWS["v_variant_sizes"] = """
+SELECT product_group_id, color_key, size_key, count(*) AS n, min(row_index) + 2 AS first_row FROM v_keyed
+WHERE product_group_id <> '' AND product_id <> '' AND color_key IS NOT NULL AND size_key IS NOT NULL GROUP BY ALL
+"""
 VIEWS["v_dup_variant"] = _say(
-    "duplicate_variant_combination", "error", "body",
-    """FROM v_variant_rows JOIN (
-      SELECT product_group_id, color_key, size_key,
-        'duplicate_variant_combination:{"product_group_id":' || CAST(to_json(product_group_id) AS VARCHAR) || ',"color":' || CAST(to_json(color_key) AS VARCHAR)
-        || ',"size":' || CAST(to_json(size_key) AS VARCHAR) || ',"product_ids":[' || string_agg(CAST(to_json(product_id) AS VARCHAR), ',' ORDER BY place0) || ']}' AS body
-      FROM (SELECT product_group_id, color_key, size_key, product_id, min(row_index) AS place0 FROM v_variant_rows GROUP BY ALL) GROUP BY 1, 2, 3
-    ) USING (product_group_id, color_key, size_key)""",
+    "duplicate_variant_combination", "error",
+    """'duplicate_variant_combination:{"product_group_id":' || CAST(to_json(product_group_id) AS VARCHAR) || ',"color":' || CAST(to_json(color_key) AS VARCHAR)
+      || ',"size":' || CAST(to_json(size_key) AS VARCHAR) || ',"count":' || n || ',"first_row":' || first_row || '}'""",
+    "FROM v_variant_rows JOIN v_variant_sizes USING (product_group_id, color_key, size_key)",
 )
 VIEWS["v_name_rows"] = """
 SELECT a.* FROM v_keyed a WHERE a.name_key <> '' AND EXISTS (
@@ -201,11 +195,9 @@ SELECT a.* FROM v_keyed a WHERE a.name_key <> '' AND EXISTS (
 """
 VIEWS["v_dup_name"] = _say(
     "duplicate_product_name", "warning",
-    "'product_name ''' || product_name || ''' normalized to ''' || name_key || ''' duplicates rows ' || numbers || ' with product_ids ''' || coalesce(ids, '없음') || ''''",
-    """FROM v_name_rows JOIN (
-      SELECT name_key, string_agg(CAST(row_index + 2 AS VARCHAR), ', ' ORDER BY row_index) AS numbers,
-        string_agg(product_id, ', ' ORDER BY row_index) FILTER (WHERE product_id <> '') AS ids
-      FROM v_name_rows GROUP BY name_key) USING (name_key)""",
+    "'product_name ''' || product_name || ''' normalized to ''' || name_key || ''' is used in ' || n || ' rows, first in row ' || first_row",
+    """FROM v_name_rows JOIN (SELECT name_key, count(*) AS n, min(row_index) + 2 AS first_row FROM v_keyed GROUP BY name_key)
+      USING (name_key)""",
 )
 VIEWS["v_dup_content"] = _say(
     "duplicate_product_content", "error",
@@ -391,6 +383,7 @@ def _category_medians(spark, sf_dir):
 
 @query("group_members", """
 SELECT 'duplicate_product_id' AS rule, product_id AS "group", row_index + 2 AS row_number, product_id FROM v_dup_id
+UNION ALL SELECT 'inconsistent_group_category', product_group_id, row_index + 2, product_id FROM v_group_cat
 UNION ALL SELECT 'duplicate_variant_combination', concat_ws(chr(31), product_group_id, color_key, size_key), row_index + 2, product_id FROM v_variant_rows
 UNION ALL SELECT 'duplicate_product_name', name_key, row_index + 2, product_id FROM v_name_rows
 """)

@@ -68,7 +68,8 @@ SELECT rule, product_id, row_index, CASE rule
   WHEN 'phone_number' THEN {_FIELD} || '에 전화번호 ''' || {_V} || '''이 포함되어 있습니다.'
   WHEN 'resident_registration_number' THEN {_FIELD} || '에 주민등록번호 형식 ''' || {_V} || '''이 포함되어 있습니다.'
   WHEN 'suspected_bank_account' THEN {_FIELD} || '에 계좌번호로 의심되는 값 ''' || {_V} || '''이 포함되어 있습니다.'
-  WHEN 'duplicate_product_id' THEN '동일한 상품 ID ''' || product_id || '''가 여러 상품에 사용되었습니다. 중복 행: ' || regexp_extract(message, ' in rows ([0-9, ]+)$', 1) || '.'
+  WHEN 'duplicate_product_id' THEN '동일한 상품 ID ''' || product_id || '''가 여러 상품에 사용되었습니다. 중복 행: ' || regexp_extract(message, ' is used in ([0-9]+) rows, first in row ([0-9]+)$', 1)
+    || '개, 첫 행: ' || regexp_extract(message, ' is used in ([0-9]+) rows, first in row ([0-9]+)$', 2) || '.'
   WHEN 'inconsistent_group_size_system' THEN '상품 그룹 ''' || product_group_id || '''에서 문자형 사이즈와 숫자형 사이즈가 함께 사용되고 있습니다.'
   WHEN 'missing_required_field' THEN '필수 항목 ' || regexp_extract(message, '^(''.*'') is missing$', 1) || ' 값이 누락되었습니다.'
   WHEN 'non_standard_color' THEN '색상 ''' || {_captures("^color ''(.*)'' should be standardized to ''(.*)''$", 1)[0]} || '''은 표준값 ''' || {_captures("^color ''(.*)'' should be standardized to ''(.*)''$", 2)[0]} || '''으로 통일하는 것이 좋습니다.'
@@ -87,16 +88,14 @@ SELECT rule, product_id, row_index, CASE rule
   WHEN 'product_category_mismatch' THEN '상품명에서 ''' || {_KW} || '''가 확인되어 ' || {_IMP} || ' 상품으로 추정되지만 현재 카테고리는 ''' || {_CUR} || '''입니다.'
   END AS reason
 FROM v_issues WHERE rule NOT IN ('duplicate_product_name', 'duplicate_variant_combination', 'inconsistent_group_category')
-UNION ALL SELECT 'duplicate_product_name', product_id, row_index, '상품명 ''' || product_name || '''이 다른 상품과 동일하거나 정리 후 같은 값으로 확인되었습니다. 중복 후보 상품 ID: '
-  || coalesce(string_agg(nullif(product_id, ''), ', ') OVER w, '없음') || '. 중복 행: ' || string_agg(CAST(row_index + 2 AS VARCHAR), ', ') OVER w || '.'
-FROM v_name_rows WINDOW w AS (PARTITION BY name_key ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+UNION ALL SELECT 'duplicate_product_name', product_id, row_index, '상품명 ''' || product_name || '''이 다른 상품과 동일하거나 정리 후 같은 값으로 확인되었습니다. 같은 이름의 행: '
+  || n || '개, 첫 행: ' || first_row || '.'
+FROM v_name_rows JOIN (SELECT name_key, count(*) AS n, min(row_index) + 2 AS first_row FROM v_keyed GROUP BY name_key) USING (name_key)
 UNION ALL SELECT 'duplicate_variant_combination', product_id, row_index, '상품 그룹 ''' || product_group_id || '''에서 색상 ''' || color_key || ''', 사이즈 '
-  || CASE WHEN size_key = '' THEN '없음' ELSE '''' || size_key || '''' END || ' 조합이 상품 ID ' || quoted_ids || '에 중복되어 있습니다.'
-FROM v_variant_rows JOIN (SELECT product_group_id, color_key, size_key, string_agg('''' || product_id || '''', ', ' ORDER BY lead0) AS quoted_ids
-  FROM (SELECT product_group_id, color_key, size_key, product_id, min(row_index) AS lead0 FROM v_variant_rows GROUP BY ALL) GROUP BY 1, 2, 3) USING (product_group_id, color_key, size_key)
-UNION ALL SELECT 'inconsistent_group_category', product_id, row_index, '상품 그룹 ''' || product_group_id || '''에 서로 다른 카테고리 ' || shown_all || '가 함께 등록되어 있습니다.'
-FROM v_keyed JOIN (SELECT product_group_id, string_agg('''' || shown || '''', ', ' ORDER BY lead) AS shown_all FROM v_cat_parts GROUP BY 1 HAVING count(*) > 1) USING (product_group_id)
-WHERE cat_key <> ''
+  || CASE WHEN size_key = '' THEN '없음' ELSE '''' || size_key || '''' END || ' 조합이 여러 상품 ID에 중복되어 있습니다. 조합의 행: ' || n || '개, 첫 행: ' || first_row || '.'
+FROM v_variant_rows JOIN v_variant_sizes USING (product_group_id, color_key, size_key)
+UNION ALL SELECT 'inconsistent_group_category', product_id, row_index, '상품 그룹 ''' || product_group_id || '''에 서로 다른 카테고리 ''' || low || ''', ''' || high || '''가 함께 등록되어 있습니다.'
+FROM v_keyed JOIN v_mixed_groups USING (product_group_id) WHERE cat_key <> ''
 """
 
 

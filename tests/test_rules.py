@@ -1,4 +1,4 @@
-"""Group rules against their pairwise definitions, for small and for oversized groups."""
+"""Group rules against their pairwise definitions, and on large groups."""
 
 import itertools
 import json
@@ -88,15 +88,15 @@ def flagged_names(products):
     return out
 
 
-@pytest.mark.parametrize("limit", [10_000, 1])
-def test_pair_rules_equal_the_pairwise_definition(spark, limit):
-    """Limit 1 sends every group through the path for oversized groups."""
+def flagged_rows(products, rule):
+    return sorted(r.row_index for r in rule_issues(products, rule).select("row_index").collect())
+
+
+def test_pair_rules_equal_the_pairwise_definition(spark):
     products = catalog(spark, random_rows(400, 3)).cache()
     local = products.collect()
-    variants = group_rules.duplicate_variants(products, DEFAULT, limit).select("row_index").collect()
-    assert sorted(r.row_index for r in variants) == sorted(flagged_variants(local))
-    names = group_rules.duplicate_names(products, DEFAULT, limit).select("row_index").collect()
-    assert sorted(r.row_index for r in names) == sorted(flagged_names(local))
+    assert flagged_rows(products, "duplicate_variant_combination") == sorted(flagged_variants(local))
+    assert flagged_rows(products, "duplicate_product_name") == sorted(flagged_names(local))
 
 
 def test_option_pairs_in_one_product(spark):
@@ -108,10 +108,7 @@ def test_option_pairs_in_one_product(spark):
         for i in range(150)
     ]
     products = catalog(spark, rows).cache()
-    expected = sorted(flagged_names(products.collect()))
-    for limit in (10_000, 1):
-        found = group_rules.duplicate_names(products, DEFAULT, limit).select("row_index").collect()
-        assert sorted(r.row_index for r in found) == expected
+    assert flagged_rows(products, "duplicate_product_name") == sorted(flagged_names(products.collect()))
 
 
 def test_messages(spark):
@@ -120,29 +117,40 @@ def test_messages(spark):
         dict(product_id="B", color="블랙", size="medium", price="200"), dict(product_id="C", size="95", category="BAG"),
     ]
     found = {(r.rule, r.row_index): r.message for r in inspect(catalog(spark, rows)).collect()}
-    assert found["duplicate_product_id", 0] == "product_id 'A' is duplicated in rows 2, 3"
-    assert found["duplicate_product_name", 1] == "product_name 'red-shirt' normalized to 'redshirt' duplicates rows 2, 3 with product_ids 'A, A'"
+    assert found["duplicate_product_id", 0] == "product_id 'A' is used in 2 rows, first in row 2"
+    assert found["duplicate_product_name", 1] == "product_name 'red-shirt' normalized to 'redshirt' is used in 2 rows, first in row 2"
     variant = found["duplicate_variant_combination", 2].removeprefix("duplicate_variant_combination:")
-    assert json.loads(variant) == {"product_group_id": "G1", "color": "BLACK", "size": "M", "product_ids": ["A", "B"]}
+    assert json.loads(variant) == {"product_group_id": "G1", "color": "BLACK", "size": "M", "count": 2, "first_row": 2}
     mixed = found["inconsistent_group_category", 3].removeprefix("inconsistent_group_category:")
-    assert json.loads(mixed) == {
-        "product_group_id": "G1",
-        "categories": [
-            {"display_value": "TOP", "product_ids": ["A", "B"]},
-            {"display_value": "BAG", "product_ids": ["C"]},
-        ],
-    }
+    assert json.loads(mixed) == {"product_group_id": "G1", "categories": ["가방", "상의"], "count": 4, "first_row": 2}
     assert found["inconsistent_group_size_system", 3] == "product group mixes alpha and numeric size systems"
     assert found["non_standard_color", 2] == "color '블랙' should be standardized to 'BLACK'"
     assert found["invalid_category", 1] == "category 'tops' is not one of ['BAG', 'BOTTOM', 'OUTER', 'SHOES', 'TOP']"
 
 
-def test_oversized_groups_count_instead_of_listing(spark):
-    rows = [dict(product_id="A") for _ in range(6)]
-    issues = group_rules.duplicate_ids(catalog(spark, rows), DEFAULT, limit=3).collect()
-    assert {i.message for i in issues} == {"product_id 'A' is duplicated in 6 rows"} and len(issues) == 6
-    members = group_rules.group_members(catalog(spark, rows), DEFAULT).where("rule = 'duplicate_product_id'")
-    assert sorted(r.row_number for r in members.collect()) == [2, 3, 4, 5, 6, 7]
+def test_output_is_linear_in_the_size_of_a_group(spark):
+    """One key of 50,000 rows: an issue per row, all of one short length, and the members once in the long table."""
+    rows = spark.range(50_000).select(
+        F.col("id").alias("row_index"), *[F.lit(x).alias(name) for name, x in (
+            ("product_group_id", "G"), ("product_id", "A"), ("product_name", "Shirt"), ("category", "TOP"), ("color", "BLACK"),
+            ("size", "M"), ("stock", "5"), ("price", "100"), ("image_path", "x.jpg"), ("sale_price", ""), ("description", ""),
+            ("seller", ""))],
+    )
+    products = load_catalog(rows)
+    found = rule_issues(products, "duplicate_product_id").agg(
+        F.count("*").alias("n"), F.max(F.length("message")).alias("longest"), F.count_distinct("message").alias("messages")
+    ).first()
+    assert (found["n"], found["messages"]) == (50_000, 1) and found["longest"] < 80
+    members = group_rules.group_members(products, DEFAULT).where("rule = 'duplicate_product_id'")
+    assert members.count() == 50_000
+
+
+def test_plan_of_all_rules_needs_no_job(spark):
+    products = catalog(spark, random_rows(20, 1))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    plan = inspect(products)._jdf.queryExecution().executedPlan().toString()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+    assert plan.count("Exchange hashpartitioning") <= 28
 
 
 def test_many_catalogs_at_once_equal_one_at_a_time(spark):
