@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 from catalake.functions.text import WS, fold, squash, strip
 from catalake.functions.vocabulary import DEFAULT, Vocabulary
 
-# What counts as an address or number. (?U) gives \d its Unicode meaning. "No digit before" is tested
-# after the leading zero instead of before it, so a scan stops at zeros only.
+# What counts as an address or number. (?U) gives \d its Unicode meaning.
 _SEP = "[-" + WS[1:]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-MOBILE = rf"(?U)0(?<!\d0)1[016789]{_SEP}?\d{{3,4}}{_SEP}?\d{{4}}(?!\d)"
-LANDLINE = rf"(?U)0(?<!\d0)(?:2|[3-6]\d){_SEP}?\d{{3,4}}{_SEP}?\d{{4}}(?!\d)"
+MOBILE = rf"(?U)(?<!\d)01[016789]{_SEP}?\d{{3,4}}{_SEP}?\d{{4}}(?!\d)"
+LANDLINE = rf"(?U)(?<!\d)0(?:2|[3-6]\d){_SEP}?\d{{3,4}}{_SEP}?\d{{4}}(?!\d)"
 RESIDENT = r"(?U)(?<!\d)\d{6}-[1-4]\d{6}(?!\d)"
 ACCOUNT = rf"(?U)(?<![\d-])(?:\d{_SEP}?){{9,13}}\d(?!{_SEP}?\d)"
 
@@ -74,37 +73,64 @@ def hits(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+_BLOCK = 256
+
+
+def running_totals(values: Column) -> Column:
+    """Sums of the first 1, 2, ... elements of an array of INT.
+
+    A fold copies the array it builds at every step, so it runs over blocks, and the sums of blocks are folded once.
+    """
+    def fold(block: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def step(acc: Column, value: Column) -> Column:
+            at = acc["at"] + value
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(block, first, step, lambda acc: acc["out"])
+
+    def whole(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda at, value: at + value))
+        ends = fold(sums, F.lit(0))
+        pairs = F.arrays_zip(blocks.alias("block"), ends.alias("stop"), sums.alias("total"))
+        return F.flatten(F.transform(pairs, lambda x: fold(x["block"], x["stop"] - x["total"])))
+
+    last = F.floor((F.size(values) - 1) / _BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * _BLOCK + 1, F.lit(_BLOCK)))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(bind(blocks, whole))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Hits of a pattern with their offsets, in text order."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, cut: Column) -> Column:
-        begin = acc["at"] + F.length(cut["gap"])
-        end = begin + F.coalesce(F.length(cut["hit"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("stop"), cut["hit"].alias("value"))
-        return F.struct(
-            end.alias("at"),
-            F.when(cut["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"),
+    def placed(cuts: Column) -> Column:
+        lengths = F.transform(cuts, lambda cut: F.length(cut["gap"]) + F.coalesce(F.length(cut["hit"]), F.lit(0)))
+        stops = bind(lengths, running_totals)
+        made = F.transform(
+            F.arrays_zip(cuts.alias("cut"), stops.alias("stop")),
+            lambda x: F.struct(
+                (x["stop"] - F.coalesce(F.length(x["cut"]["hit"]), F.lit(0))).alias("start"), x["stop"].alias("stop"),
+                x["cut"]["hit"].alias("value"),
+            ),
         )
+        return F.filter(made, lambda span: span["value"].isNotNull())
 
-    found = F.aggregate(_cuts(text, pattern), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), bind(_cuts(text, pattern), placed)).otherwise(F.array().cast(SPAN))
 
 
 def first_by_key(values: Column, element_type: str, key) -> Column:
-    """The first element per key, order kept."""
-    keyed = F.transform(values, lambda v: F.struct(key(v).alias("key"), v.alias("value")))
-    empty = F.array().cast(f"array<struct<key:string,value:{element_type}>>")
+    """The first element per key, order kept: sorted by key and place, the first of each run, in order of place."""
+    keyed = F.transform(values, lambda v, i: F.struct(key(v).alias("key"), i.alias("place"), v.alias("value")))
 
-    def step(acc: Column, item: Column) -> Column:
-        known = F.exists(acc, lambda seen: seen["key"] == item["key"])
-        return F.when(known, acc).otherwise(F.concat(acc, F.array(item)))
+    def firsts(ordered: Column) -> Column:
+        first = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["key"] != x["key"]))
+        return F.array_sort(F.transform(first, lambda x: F.struct(x["place"].alias("place"), x["value"].alias("value"))))
 
-    return F.transform(F.aggregate(keyed, empty, step), lambda item: item["value"])
+    return F.transform(bind(F.array_sort(keyed), firsts), lambda item: item["value"]).cast(f"array<{element_type}>")
 
 
 def _needles(terms: tuple[str, ...]) -> list[tuple[str, str]]:
-    flat = [(term, " ".join(term.split()).casefold()) for term in terms]
+    flat = [(term, " ".join(term.split()).lower()) for term in terms]
     return [(term, needle) for term, needle in flat if needle]
 
 

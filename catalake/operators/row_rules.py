@@ -151,7 +151,7 @@ def _implied_categories(vocab: Vocabulary) -> dict[str, Column]:
     for category, words in vocab.category_keywords.items():
         chain = F
         for word in words:
-            needle = word.casefold().translate({ord(ch): None for ch in "-_/ "})
+            needle = word.lower().translate({ord(ch): None for ch in "-_/ "})
             hit = F.struct(F.lit(category).alias("category"), F.lit(word).alias("keyword"))
             chain = chain.when(F.contains(F.col("_joined_name"), F.lit(needle)), hit)
         first_hits.append(chain)
