@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from catalake.llm.components import components
 from catalake.llm.native import bit_table, may_occur
 from catalake.llm.shared import written
-from catalake.llm.wordsets import mix, shingle_sets
+from catalake.llm.wordsets import mix, shingle_sets, slices
 
 WIDTH = 5
-VALUES = 288
+VALUES = 432
 MISS = 3e-5
 #: Signatures agreeing less than the threshold by so many standard deviations are not confirmed.
-DEVIATIONS = 4.5
+DEVIATIONS = 4.0
 #: Classes of a bucket that one side of a cell holds.
 BLOCK = 256
 #: Longs in the table of wanted texts.
@@ -64,10 +64,17 @@ def _sketches(width: int, rows: int):
     places = mix(np.arange(1, rows + 1, dtype=np.uint64))
     numbers = mix(np.arange(1001, 1001 + bands, dtype=np.uint64))
 
-    def sketch(batches):
+    def parts(batches):
         for batch in batches:
+            done = 0
+            for texts in slices(batch.column(1)):
+                yield batch.column(0).slice(done, len(texts)), texts
+                done += len(texts)
+
+    def sketch(batches):
+        for row, texts in parts(batches):
             sizes, one, two, keys, short = [], [], [], [], []
-            for s in shingle_sets(batch.column(1), width):
+            for s in shingle_sets(texts, width):
                 sizes.append(len(s))
                 if not len(s):
                     one.append(None), two.append(None), keys.append([]), short.append(b"")
@@ -80,7 +87,7 @@ def _sketches(width: int, rows: int):
                 keys.append(mix(banded ^ numbers).view(np.int64))
                 short.append(values.astype(np.uint8).tobytes())
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                [row, pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
                 names=["id", "n", "one", "two", "keys", "signature"],
             )

@@ -44,23 +44,29 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) for runs of rows of about PIECE bytes; a null text counts as empty."""
+def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
+    """Runs of rows of about PIECE bytes, never cutting a text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    if len(column) == 0:
-        return
-    _, places, data = column.buffers()
-    offsets = np.frombuffer(places, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
-        yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        done = ends[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(ends, done + PIECE, side="right")))
+        yield column.slice(row, end - row)
         row = end
 
 
+def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of runs of rows; a null text counts as empty."""
+    for part in slices(column):
+        part = pc.fill_null(part, "").cast(pa.large_string())
+        _, places, data = part.buffers()
+        offsets = np.frombuffer(places, dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+        yield data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word in order, and for each text the index of its first word (one more at the end)."""
     if not len(data):
@@ -74,10 +80,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     end = word.copy()
     end[:-1] &= ~word[1:] | cut[1:-1]
     begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return span_hashes(data, begin, end), np.searchsorted(begin, offsets)
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span; equal spans have equal hashes wherever they are."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
-    hashes = (sums[end] - sums[begin]) * _power(_INVERSE, len(data))[begin]
-    return mix(hashes + (end - begin).astype(np.uint64)), np.searchsorted(begin, offsets)
+    hashes = (sums[end] - sums[begin]) * _power(_INVERSE, len(data) + 1)[begin]
+    return mix(hashes + (end - begin).astype(np.uint64))
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +110,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a column, in row order."""
-    for _, data, offsets in pieces(column):
+    for data, offsets in pieces(column):
         values, start = shingle_hashes(*word_hashes(data, offsets), width)
         for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
             part = np.sort(values[a:b])
