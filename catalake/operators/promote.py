@@ -1,7 +1,8 @@
 """Compare a batch with the catalog, promote it into a new snapshot, roll a promotion back.
 
 A product is identified by (supplier_key, external_product_id); the catalog is never updated in place: every change
-yields a new snapshot and appends to a change log. All functions work on any number of batches at once.
+yields a new snapshot and appends to a change log. All functions work on any number of batches at once, also several of
+one supplier; where approved batches change the same product, the newest batch counts.
 """
 
 from __future__ import annotations
@@ -69,18 +70,13 @@ def changed_fields(before: str, after: str) -> Column:
     return F.map_from_entries(F.array_compact(F.array(*entries)))
 
 
-def _matched(staging: DataFrame, catalog: DataFrame, how: str) -> DataFrame:
-    """Batch rows joined with the catalog: identity, load_run_id, before, after (structs, NULL when absent)."""
-    after = comparable_staging(staging).select(*IDENTITY, "load_run_id", _product("").alias("after"))
-    before = catalog.select(*IDENTITY, _product("").alias("before"))
-    return after.join(before, IDENTITY, how)
-
-
 def reconcile(staging: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(supplier_key, external_product_id, status, changed_fields) for every supplier with a comparable batch."""
-    suppliers = comparable_staging(staging).select("supplier_key").distinct()
-    own = salted_join(catalog, suppliers, ["supplier_key"], row_id="external_product_id", how="left_semi")
-    joined = _matched(staging, own, "full_outer")
+    """(load_run_id, supplier_key, external_product_id, status, changed_fields) for every comparable batch."""
+    batches = comparable_staging(staging).select("supplier_key", "load_run_id").distinct()
+    own = salted_join(catalog, batches, ["supplier_key"], row_id="external_product_id")
+    after = comparable_staging(staging).select(*IDENTITY, "load_run_id", _product("").alias("after"))
+    before = own.select(*IDENTITY, "load_run_id", _product("").alias("before"))
+    joined = after.join(before, [*IDENTITY, "load_run_id"], "full_outer")
     status = (
         F.when(F.col("before").isNull(), F.lit("new"))
         .when(F.col("after").isNull(), F.lit("not_observed_in_batch"))
@@ -91,7 +87,7 @@ def reconcile(staging: DataFrame, catalog: DataFrame) -> DataFrame:
     fields = F.when(both, changed_fields("before", "after")).otherwise(F.map_from_entries(F.array().cast(
         "array<struct<key:string,value:struct<before:string,after:string>>>"
     )))
-    return joined.withColumn("fields", fields).select(*IDENTITY, status.alias("status"), F.col("fields").alias("changed_fields"))
+    return joined.withColumn("fields", fields).select("load_run_id", *IDENTITY, status.alias("status"), F.col("fields").alias("changed_fields"))
 
 
 def status_order(status: Column) -> Column:
@@ -99,14 +95,14 @@ def status_order(status: Column) -> Column:
 
 
 def reconcile_counts(items: DataFrame) -> DataFrame:
-    return items.groupBy("supplier_key", "status").agg(F.count(F.lit(1)).alias("n"))
+    return items.groupBy("load_run_id", "supplier_key", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def field_changes(items: DataFrame) -> DataFrame:
-    """Changed products per field, in field order."""
-    names = items.select("supplier_key", F.explode(F.map_keys("changed_fields")).alias("field"))
-    counts = names.groupBy("supplier_key", "field").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy("supplier_key", F.array_position(F.lit(list(COMPARED_FIELDS)), F.col("field")))
+    """Changed products per batch and field, in field order."""
+    names = items.select("load_run_id", "supplier_key", F.explode(F.map_keys("changed_fields")).alias("field"))
+    counts = names.groupBy("load_run_id", "supplier_key", "field").agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy("load_run_id", "supplier_key", F.array_position(F.lit(list(COMPARED_FIELDS)), F.col("field")))
 
 
 # --- promotion ---
@@ -114,7 +110,8 @@ def field_changes(items: DataFrame) -> DataFrame:
 
 def preview(staging: DataFrame, catalog: DataFrame) -> DataFrame:
     """What promoting each batch would do: action, changed_fields, before, after."""
-    joined = _matched(staging, catalog, "left")
+    after = comparable_staging(staging).select(*IDENTITY, "load_run_id", _product("").alias("after"))
+    joined = after.join(catalog.select(*IDENTITY, _product("").alias("before")), IDENTITY, "left")
     with_fields = joined.withColumn(
         "changed_fields", F.when(F.col("before").isNotNull(), changed_fields("before", "after"))
     )
@@ -138,13 +135,13 @@ def _canonical(item: str) -> Column:
     return F.when(F.col(item).isNull(), F.lit("none")).otherwise(F.concat_ws("|", *fields))
 
 
-def preview_hash(items: DataFrame) -> DataFrame:
+def preview_hash(items: DataFrame, target: str = "after", current: str = "before") -> DataFrame:
     """(load_run_id, supplier_key, preview_hash): changes when any target or current product of the batch does.
 
     Product digests are added lane by lane (eight lanes of 32 bits), which is independent of order and combines in
     partial aggregates; the digest of the sums is the hash. No list of products is built.
     """
-    digest = F.sha2(F.concat_ws("\n", _canonical("after"), _canonical("before")), 256)
+    digest = F.sha2(F.concat_ws("\n", _canonical(target), _canonical(current)), 256)
     lanes = [
         F.sum(F.conv(F.substr(F.col("_digest"), F.lit(8 * i + 1), F.lit(8)), 16, 10).cast("decimal(20,0)")).cast("string")
         for i in range(8)
@@ -214,12 +211,35 @@ def outcomes(eligible: DataFrame, hashes: DataFrame, requests: DataFrame, succee
     )
 
 
-def apply_promotion(catalog: DataFrame, items: DataFrame) -> DataFrame:
-    """The next catalog snapshot: inserts and updates overlaid, everything else as it was.
+def applicable(items: DataFrame, ready: DataFrame) -> DataFrame:
+    """What the batches of ``ready`` (load_run_id) change, once per product: as the newest of them has it."""
+    chosen = items.where(F.col("action") != "unchanged").join(ready.select("load_run_id").distinct(), "load_run_id", "left_semi")
+    newest = chosen.groupBy(*IDENTITY).agg(F.max("load_run_id").alias("load_run_id"))
+    return chosen.join(newest, [*IDENTITY, "load_run_id"], "left_semi")
+
+
+def run_promotions(items: DataFrame, outcome: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, changes) of resolved requests (see ``outcomes``).
+
+    Only requests that go ahead now change the catalog; ``runs`` has every request with the number of products its
+    batch inserted and updated, none where it was blocked or had succeeded before.
+    """
+    ahead = outcome.where("created and status = 'succeeded'").select(F.col("id").alias("load_run_id"))
+    changes = applicable(items, ahead)
+    done = changes.groupBy(F.col("load_run_id").alias("id")).agg(
+        F.count_if(F.col("action") == "insert").alias("inserted_count"), F.count_if(F.col("action") == "update").alias("updated_count")
+    )
+    zero = {"inserted_count": 0, "updated_count": 0}
+    return outcome.join(done, "id", "left").fillna(zero, list(zero)), changes
+
+
+def apply_promotion(catalog: DataFrame, changes: DataFrame) -> DataFrame:
+    """The next catalog snapshot: ``changes`` (see ``applicable``) overlaid, everything else as it was.
 
-    The batch is noted only on rows it changed. Other suppliers' rows pass through.
+    The batch is noted only on rows it changed. Other suppliers' rows pass through. Changes hold a product once, so the
+    snapshot does if the catalog did.
     """
-    changes = items.where(F.col("action") != "unchanged").select(*IDENTITY, "load_run_id", "after")
+    changes = changes.select(*IDENTITY, "load_run_id", "after")
     joined = catalog.join(changes, IDENTITY, "full_outer")
     touched = F.col("after").isNotNull()
     return joined.select(
@@ -239,7 +259,7 @@ def _all_fields(item: str, before: bool) -> Column:
 
 
 def change_log(items: DataFrame) -> DataFrame:
-    """One entry per insert (all fields, before NULL) and update (changed fields only)."""
+    """Log of applied changes: one entry per insert (all fields, before NULL) and update (changed fields only)."""
     logged = items.where(F.col("action") != "unchanged")
     return logged.select(
         "load_run_id", *IDENTITY, "action",
@@ -308,8 +328,36 @@ def rollback_eligibility(promotions: DataFrame, changes: DataFrame, items: DataF
     ).withColumn("eligible", F.size("reasons") == 0)
 
 
+def run_rollbacks(items: DataFrame, eligible: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, items) of rollback requests (load_run_id, expected_hash).
+
+    A promotion is rolled back whole or not at all: with any reason against it, one conflict included, it is blocked;
+    with a hash that no longer is that of the preview it is stale. ``items`` keeps what may be applied.
+    """
+    hashes = preview_hash(items, "restore", "current")
+    joined = requests.join(eligible, "load_run_id", "left").join(
+        hashes.groupBy("load_run_id").agg(F.max("preview_hash").alias("preview_hash")), "load_run_id", "left"
+    )
+    blocked = ~F.coalesce("eligible", F.lit(False)) | F.col("preview_hash").isNull()
+    stale = ~F.col("expected_hash").eqNullSafe(F.col("preview_hash"))
+    counts = items.groupBy("load_run_id").agg(
+        F.count_if(F.col("rollback_action") == "restore").alias("restored"), F.count_if(F.col("rollback_action") == "delete").alias("deleted")
+    )
+    goes = ~(blocked | stale)
+    runs = joined.join(counts, "load_run_id", "left").select(
+        "load_run_id", F.when(goes, F.lit("succeeded")).otherwise(F.lit("blocked")).alias("status"),
+        F.when(blocked, F.lit("rollback_blocked")).when(stale, F.lit("preview_stale")).alias("failure_code"),
+        F.when(goes, F.col("restored")).otherwise(0).alias("restored_count"),
+        F.when(goes, F.col("deleted")).otherwise(0).alias("deleted_count"),
+    )
+    return runs, items.join(runs.where("status = 'succeeded'").select("load_run_id"), "load_run_id", "left_semi")
+
+
 def apply_rollback(catalog: DataFrame, items: DataFrame) -> DataFrame:
-    """The next snapshot: inserted products gone, updated ones as before. The noted batch stays as it is."""
+    """The next snapshot: inserted products gone, updated ones as before. The noted batch stays as it is.
+
+    ``items`` are those of promotions that may be rolled back (see ``run_rollbacks``).
+    """
     restored = items.select(*IDENTITY, "rollback_action", "restore")
     joined = catalog.join(restored, IDENTITY, "left")
     back = F.col("restore").isNotNull()

@@ -14,7 +14,7 @@ from catalake.plans import ducksql as d
 from catalake.plans.fixtures import BATCHES, CATALOG, FEED_A, FEED_B, FIXTURES, LOAD_RUNS, STAGING
 from catalake.plans.registry import VIEWS, query
 from catalake.sources import feeds, lineage
-from catalake.sources.staged import staged_table
+from catalake.sources.recorded import recorded
 from catalake.streaming import landing
 
 PLACE = ["file_id", "source_row_number"]
@@ -22,8 +22,7 @@ PLACE = ["file_id", "source_row_number"]
 
 def _conformed(spark, sf_dir, which: str = "a") -> DataFrame:
     fixture, profile = (FEED_A, FASHION) if which == "a" else (FEED_B, MARKETPLACE)
-    rows = staged_table(spark, f"feed_{which}", sf_dir, lambda: fixture.frame(spark, sf_dir))
-    return cf.conform(rows, profile, PLACE)
+    return cf.conform(fixture.frame(spark, sf_dir), profile, PLACE)
 
 
 def _duck_conform(fixture: str, profile) -> str:
@@ -213,42 +212,54 @@ def _reject_flat(spark, sf_dir):
 _HEADER = [c for c in FASHION.sources]
 
 
+_LIMITS = feeds.Limits(max_bytes=400_000, max_rows=500)
+
+
 def _files(spark, sf_dir) -> DataFrame:
-    """Feed files put together from the feed rows (at most 500 rows a file), some of them damaged."""
-    rows = staged_table(spark, "feed_a", sf_dir, lambda: FEED_A.frame(spark, sf_dir))
+    """Feed files put together from the feed rows (at most 500 rows a file); twelve of forty are damaged in some way."""
     quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     line = F.concat_ws(",", *[quote(F.col(name)) for name in _HEADER])
-    body = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("source_row_number", line.alias("line")))).alias("lines"))
-    k, names = F.col("file_id"), ",".join(_HEADER)
+    body = FEED_A.frame(spark, sf_dir).groupBy("file_id").agg(
+        F.array_sort(F.collect_list(F.struct("source_row_number", line.alias("line")))).alias("lines")
+    )
+    k, names = F.col("file_id") % 40, ",".join(_HEADER)
     header = (
-        F.when(k % 10 == 3, F.lit(names.replace("colour", " ")))
-        .when(k % 10 == 4, F.lit(names.replace("colour", "Item_Name")))
-        .when(k % 10 == 5, F.lit(names.replace("colour", "tint")))
+        F.when(k == 3, F.lit(names.replace("colour", " ")))
+        .when(k == 4, F.lit(names.replace("colour", "Item_Name")))
+        .when(k == 5, F.lit(names.replace("colour", "tint")))
         .otherwise(F.lit(names))
     )
-    text = F.concat(header, F.lit("\n"), F.array_join("lines.line", "\n"), F.when(k % 10 == 6, F.lit("\n1,2")).otherwise(F.lit("\n,,\n")))
-    text = F.when(k % 10 == 7, header).when(k % 10 == 8, F.lit(" \n")).when(k % 10 == 9, F.concat(text, F.lit("\x00"))).otherwise(text)
-    content = F.when(k % 10 == 1, F.lit("").cast("binary")).otherwise(F.encode(text, "UTF-8"))
-    path = F.concat(F.lit("/landing/feed-"), k.cast("string"), F.when(k % 10 == 2, F.lit(".txt")).otherwise(F.lit(".CSV")))
+    text = F.concat(header, F.lit("\n"), F.array_join("lines.line", "\n"), F.when(k == 6, F.lit("\n1,2")).otherwise(F.lit("\n,,\n")))
+    text = F.when(k == 7, header).when(k == 8, F.lit(" \n")).when(k == 9, F.concat(text, F.lit("\x00"))).otherwise(text)
+    many = F.concat(header, F.lit("\n"), F.array_join(F.array_repeat(F.lit(",".join(["1"] * len(_HEADER))), 501), "\n"))
+    content = (
+        F.when(k == 1, F.lit("").cast("binary")).when(k == 10, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("FFFEFF80"))))
+        .when(k == 11, F.encode(many, "UTF-8"))
+        .when(k == 12, F.encode(F.concat(text, F.repeat(F.lit(" "), 400_000)), "UTF-8")).otherwise(F.encode(text, "UTF-8"))
+    )
+    path = F.concat(F.lit("/landing/feed-"), F.col("file_id").cast("string"), F.when(k == 2, F.lit(".txt")).otherwise(F.lit(".CSV")))
     return body.select(path.alias("path"), F.length(content).cast("bigint").alias("length"), content.alias("content"))
 
 
-_VERDICT = "CASE file_id % 10 " + " ".join(
+_VERDICT = "CASE file_id % 40 " + " ".join(
     f"WHEN {i} THEN '{s}'" for i, s in enumerate(
-        ("ok", "empty_file", "bad_extension", "blank_header", "duplicate_header", "missing_columns", "ragged_row", "no_rows", "blank_text", "nul_byte"))
-) + " END"
+        ("empty_file", "bad_extension", "blank_header", "duplicate_header", "missing_columns", "ragged_row", "no_rows",
+         "blank_text", "nul_byte", "undecodable", "too_many_rows", "too_large"), start=1)
+) + " ELSE 'ok' END"
+_DETAIL = """CASE file_id % 40 WHEN 4 THEN 'item_name' WHEN 5 THEN 'colour' WHEN 6 THEN CAST(n + 2 AS VARCHAR) WHEN 11 THEN '501' ELSE '' END"""
 
 
 @query("admit_feeds", f"""
-SELECT '/landing/feed-' || file_id || CASE WHEN file_id % 10 = 2 THEN '.txt' ELSE '.CSV' END AS path, {_VERDICT} AS status FROM (SELECT DISTINCT file_id FROM fx_feed_a)
+SELECT '/landing/feed-' || file_id || CASE WHEN file_id % 40 = 2 THEN '.txt' ELSE '.CSV' END AS path, {_VERDICT} AS status, {_DETAIL} AS detail
+FROM (SELECT file_id, count(*) AS n FROM fx_feed_a GROUP BY 1)
 """)
 def _admit_feeds(spark, sf_dir):
-    return feeds.admit_feeds(_files(spark, sf_dir), FASHION.required).select("path", "status")
+    return feeds.admit_feeds(_files(spark, sf_dir), FASHION.required, _LIMITS)
 
 
-@query("feed_rows", "SELECT '/landing/feed-' || file_id || '.CSV' AS path, source_row_number, vendor_sku, item_name, list_price FROM fx_feed_a WHERE file_id % 10 = 0")
+@query("feed_rows", "SELECT '/landing/feed-' || file_id || '.CSV' AS path, source_row_number, vendor_sku, item_name, list_price FROM fx_feed_a WHERE file_id % 40 NOT BETWEEN 1 AND 12")
 def _feed_rows(spark, sf_dir):
-    rows = feeds.feed_rows(_files(spark, sf_dir), FASHION.required)
+    rows = feeds.feed_rows(_files(spark, sf_dir), FASHION.required, _LIMITS)
     return feeds.widened(rows, ("vendor_sku", "item_name", "list_price"), ["path", "source_row_number"])
 
 
@@ -285,11 +296,11 @@ def _source_lineage(spark, sf_dir):
 
 
 def _staging(spark, sf_dir) -> DataFrame:
-    return staged_table(spark, "staging", sf_dir, lambda: STAGING.frame(spark, sf_dir))
+    return STAGING.frame(spark, sf_dir)
 
 
 def _catalog(spark, sf_dir) -> DataFrame:
-    return staged_table(spark, "catalog", sf_dir, lambda: CATALOG.frame(spark, sf_dir))
+    return CATALOG.frame(spark, sf_dir)
 
 
 VIEWS["v_dup_identity"] = "SELECT load_run_id, product_id AS external_product_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM fx_staging GROUP BY 1, 2 HAVING count(*) > 1"
@@ -316,9 +327,10 @@ SELECT s.supplier_key, s.external_product_id, s.load_run_id, c.external_product_
 FROM v_staged s LEFT JOIN fx_catalog c USING (supplier_key, external_product_id)
 """
 VIEWS["v_reconcile"] = """
-SELECT supplier_key, external_product_id, CASE WHEN NOT known THEN 'new' WHEN len(diffs) > 0 THEN 'changed' ELSE 'unchanged' END AS status, diffs FROM v_items
-UNION ALL SELECT supplier_key, external_product_id, 'not_observed_in_batch', [] FROM fx_catalog c
-WHERE supplier_key IN (SELECT supplier_key FROM v_staged) AND NOT EXISTS (SELECT 1 FROM v_staged s WHERE s.supplier_key = c.supplier_key AND s.external_product_id = c.external_product_id)
+SELECT load_run_id, supplier_key, external_product_id, CASE WHEN NOT known THEN 'new' WHEN len(diffs) > 0 THEN 'changed' ELSE 'unchanged' END AS status, diffs FROM v_items
+UNION ALL SELECT b.load_run_id, c.supplier_key, c.external_product_id, 'not_observed_in_batch', []
+FROM fx_catalog c JOIN (SELECT DISTINCT supplier_key, load_run_id FROM v_staged) b ON b.supplier_key = c.supplier_key
+WHERE NOT EXISTS (SELECT 1 FROM v_staged s WHERE s.load_run_id = b.load_run_id AND s.supplier_key = c.supplier_key AND s.external_product_id = c.external_product_id)
 """
 
 
@@ -326,28 +338,28 @@ def _items(spark, sf_dir) -> DataFrame:
     return promote.reconcile(_staging(spark, sf_dir), _catalog(spark, sf_dir))
 
 
-@query("reconcile_items", "SELECT supplier_key, external_product_id, status, array_to_string(list_sort(list_transform(diffs, lambda x: x.field)), ',') AS fields FROM v_reconcile")
+@query("reconcile_items", "SELECT load_run_id, supplier_key, external_product_id, status, array_to_string(list_sort(list_transform(diffs, lambda x: x.field)), ',') AS fields FROM v_reconcile")
 def _reconcile_items(spark, sf_dir):
     fields = F.array_join(F.array_sort(F.map_keys("changed_fields")), ",")
-    return _items(spark, sf_dir).select(*promote.IDENTITY, "status", fields.alias("fields"))
+    return _items(spark, sf_dir).select("load_run_id", *promote.IDENTITY, "status", fields.alias("fields"))
 
 
-@query("reconcile_counts", "SELECT supplier_key, status, count(*) AS n FROM v_reconcile GROUP BY 1, 2")
+@query("reconcile_counts", "SELECT load_run_id, supplier_key, status, count(*) AS n FROM v_reconcile GROUP BY ALL")
 def _reconcile_counts(spark, sf_dir):
     return promote.reconcile_counts(_items(spark, sf_dir))
 
 
-@query("reconcile_fields", "SELECT supplier_key, x.field AS field, count(*) AS n FROM (SELECT supplier_key, unnest(diffs) AS x FROM v_reconcile) GROUP BY 1, 2")
+@query("reconcile_fields", "SELECT load_run_id, supplier_key, x.field AS field, count(*) AS n FROM (SELECT load_run_id, supplier_key, unnest(diffs) AS x FROM v_reconcile) GROUP BY ALL")
 def _reconcile_fields(spark, sf_dir):
     return promote.field_changes(_items(spark, sf_dir))
 
 
 @query("reconcile_page", """
-SELECT external_product_id, status FROM v_reconcile WHERE supplier_key = 'Brand#12'
+SELECT external_product_id, status FROM v_reconcile WHERE load_run_id = 12
 ORDER BY CASE status WHEN 'new' THEN 0 WHEN 'changed' THEN 1 WHEN 'unchanged' THEN 2 ELSE 3 END, external_product_id LIMIT 50 OFFSET 10
 """)
 def _reconcile_page(spark, sf_dir):
-    own = _items(spark, sf_dir).where("supplier_key = 'Brand#12'")
+    own = _items(spark, sf_dir).where("load_run_id = 12")
     order = [promote.status_order(F.col("status")), F.col("external_product_id")]
     return history.page(own, 50, 10, order).select("external_product_id", "status")
 
@@ -444,13 +456,26 @@ def _promotion_eligibility(spark, sf_dir):
     return _eligible(spark, sf_dir).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query("promotion_outcome", """
+VIEWS["v_outcome"] = """
 SELECT b.id, CASE WHEN b.id % 9 = 0 THEN 'succeeded' WHEN len(e.reasons) > 0 OR h.preview_hash IS NULL OR b.id % 5 = 0 THEN 'blocked' ELSE 'succeeded' END AS status,
   b.id % 9 <> 0 AS created, CASE WHEN b.id % 9 = 0 THEN NULL WHEN len(e.reasons) > 0 OR h.preview_hash IS NULL THEN 'promotion_blocked' WHEN b.id % 5 = 0 THEN 'preview_stale' END AS failure_code,
   CASE WHEN b.id % 9 <> 0 AND (len(e.reasons) > 0 OR h.preview_hash IS NULL OR b.id % 5 = 0) THEN e.staged_rows ELSE 0 END AS blocked_count
 FROM fx_batches b JOIN v_eligible e ON e.id = b.id LEFT JOIN v_hashes h ON h.load_run_id = b.id
-""")
-def _promotion_outcome(spark, sf_dir):
+"""
+VIEWS["v_chosen"] = """
+SELECT * FROM v_items WHERE (NOT known OR len(diffs) > 0) AND load_run_id IN (SELECT id FROM v_outcome WHERE created AND status = 'succeeded')
+QUALIFY row_number() OVER (PARTITION BY supplier_key, external_product_id ORDER BY load_run_id DESC) = 1
+"""
+_KEPT = ", ".join(f"CASE WHEN a.supplier_key IS NOT NULL THEN s.{n} ELSE c.{n} END AS {n}" for n in v.COMPARED_FIELDS)
+VIEWS["v_applied"] = f"""
+SELECT coalesce(c.supplier_key, a.supplier_key) AS supplier_key, coalesce(c.external_product_id, a.external_product_id) AS external_product_id, {_KEPT},
+  CASE WHEN a.supplier_key IS NOT NULL THEN a.load_run_id ELSE c.source_load_run_id END AS source_load_run_id
+FROM fx_catalog c FULL JOIN v_chosen a ON a.supplier_key = c.supplier_key AND a.external_product_id = c.external_product_id
+LEFT JOIN v_staged s ON s.supplier_key = a.supplier_key AND s.external_product_id = a.external_product_id AND s.load_run_id = a.load_run_id
+"""
+
+
+def _outcome(spark, sf_dir) -> DataFrame:
     """Every batch is requested with its current hash, every fifth with an old one; every ninth succeeded before."""
     batches, hashes = BATCHES.frame(spark, sf_dir), promote.preview_hash(_preview(spark, sf_dir))
     requests = batches.select("id").join(hashes.select(F.col("load_run_id").alias("id"), "preview_hash"), "id", "left").select(
@@ -459,69 +484,88 @@ def _promotion_outcome(spark, sf_dir):
     return promote.outcomes(_eligible(spark, sf_dir), hashes, requests, batches.where("id % 9 = 0"))
 
 
-_KEPT = ", ".join(f"CASE WHEN a.supplier_key IS NOT NULL THEN s.{n} ELSE c.{n} END AS {n}" for n in v.COMPARED_FIELDS)
-VIEWS["v_applied"] = f"""
-SELECT coalesce(c.supplier_key, a.supplier_key) AS supplier_key, coalesce(c.external_product_id, a.external_product_id) AS external_product_id, {_KEPT},
-  CASE WHEN a.supplier_key IS NOT NULL THEN a.load_run_id ELSE c.source_load_run_id END AS source_load_run_id
-FROM fx_catalog c FULL JOIN (SELECT * FROM v_items WHERE NOT known OR len(diffs) > 0) a ON a.supplier_key = c.supplier_key AND a.external_product_id = c.external_product_id
-LEFT JOIN v_staged s ON s.supplier_key = a.supplier_key AND s.external_product_id = a.external_product_id
-"""
+@query("promotion_outcome", "SELECT * FROM v_outcome")
+def _promotion_outcome(spark, sf_dir):
+    return _outcome(spark, sf_dir)
+
+
+_resolved: dict[tuple[str, str], DataFrame] = {}
+
+
+def _promotion(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The outcome rows are recorded before anything is applied, as a promotion service does; they hold one row a batch."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _resolved:
+        _resolved[key] = recorded(_outcome(spark, sf_dir), "outcomes")
+    return promote.run_promotions(_preview(spark, sf_dir), _resolved[key])
+
+
+@query("promotion_run", """
+SELECT o.*, coalesce(c.inserted, 0)::BIGINT AS inserted_count, coalesce(c.updated, 0)::BIGINT AS updated_count FROM v_outcome o
+LEFT JOIN (SELECT load_run_id AS id, count_if(NOT known) AS inserted, count_if(known) AS updated FROM v_chosen GROUP BY 1) c USING (id)
+""")
+def _promotion_run(spark, sf_dir):
+    """Requests resolved and carried out: only what passes changes the catalog."""
+    return _promotion(spark, sf_dir)[0]
 
 
 @query("promotion_apply", "SELECT * FROM v_applied")
 def _promotion_apply(spark, sf_dir):
-    return promote.apply_promotion(_catalog(spark, sf_dir), _preview(spark, sf_dir))
+    return promote.apply_promotion(_catalog(spark, sf_dir), _promotion(spark, sf_dir)[1])
 
 
 _INSERTED = " UNION ALL ".join(
-    f"SELECT s.load_run_id, s.supplier_key, s.external_product_id, 'insert' AS action, '{n}' AS field, NULL AS before, CAST(s.{n} AS VARCHAR) AS after FROM v_staged s JOIN v_items i USING (supplier_key, external_product_id) WHERE NOT i.known"
+    f"SELECT s.load_run_id, s.supplier_key, s.external_product_id, 'insert' AS action, '{n}' AS field, NULL AS before, CAST(s.{n} AS VARCHAR) AS after FROM v_staged s JOIN v_chosen i USING (load_run_id, supplier_key, external_product_id) WHERE NOT i.known"
     for n in v.COMPARED_FIELDS
 )
 VIEWS["v_log"] = f"""
-SELECT load_run_id, supplier_key, external_product_id, 'update' AS action, x.field AS field, x.before AS before, x.after AS after FROM (SELECT *, unnest(diffs) AS x FROM v_items WHERE known)
+SELECT load_run_id, supplier_key, external_product_id, 'update' AS action, x.field AS field, x.before AS before, x.after AS after FROM (SELECT *, unnest(diffs) AS x FROM v_chosen WHERE known)
 UNION ALL {_INSERTED}
 """
 
 
+def _log(spark, sf_dir) -> DataFrame:
+    return promote.change_log(_promotion(spark, sf_dir)[1])
+
+
 @query("promotion_changelog", "SELECT * FROM v_log")
 def _promotion_changelog(spark, sf_dir):
-    log = promote.change_log(_preview(spark, sf_dir))
-    return promote.flat_changes(log, ["load_run_id", *promote.IDENTITY])
+    return promote.flat_changes(_log(spark, sf_dir), ["load_run_id", *promote.IDENTITY])
 
 
-@query("promotion_changes", "SELECT DISTINCT supplier_key, external_product_id, action FROM v_log WHERE load_run_id = 12 ORDER BY external_product_id DESC LIMIT 20")
+@query("promotion_changes", "SELECT DISTINCT supplier_key, external_product_id, action FROM v_log WHERE load_run_id IN (2, 22) ORDER BY external_product_id DESC, supplier_key LIMIT 20")
 def _promotion_changes(spark, sf_dir):
-    log = promote.change_log(_preview(spark, sf_dir)).where("load_run_id = 12")
-    return history.page(log, 20, 0, [F.desc("external_product_id")]).select(*promote.IDENTITY, "action")
+    log = _log(spark, sf_dir).where("load_run_id in (2, 22)")
+    return history.page(log, 20, 0, [F.desc("external_product_id"), F.col("supplier_key")]).select(*promote.IDENTITY, "action")
 
 
 @query("promotion_changes_flat", "SELECT load_run_id, external_product_id, action, field, coalesce(before, '-') AS before, coalesce(after, '-') AS after FROM v_log")
 def _promotion_changes_flat(spark, sf_dir):
-    flat = promote.flat_changes(promote.change_log(_preview(spark, sf_dir)), ["load_run_id", "external_product_id"])
+    flat = promote.flat_changes(_log(spark, sf_dir), ["load_run_id", "external_product_id"])
     return flat.withColumns({side: F.coalesce(side, F.lit("-")) for side in ("before", "after")})
 
 
-# --- rollback: the promoted catalog, edited later on (k % 11) and partly deleted (k % 17) ---
+# --- rollback: the promoted catalog, in some batches edited later on (k % 11) and partly deleted (k % 17) ---
+
+_MOVED = "source_load_run_id % 17 = 0 AND source_load_run_id > 0"
 
 
 def _later_catalog(spark, sf_dir) -> DataFrame:
-    applied = promote.apply_promotion(_catalog(spark, sf_dir), _preview(spark, sf_dir))
-    k = F.substr("external_product_id", F.lit(2)).cast("bigint")
-    edited = applied.where(k % 17 != 0).withColumn("price", F.col("price") + F.when(k % 11 == 0, 1).otherwise(0))
-    return edited
+    applied = promote.apply_promotion(_catalog(spark, sf_dir), _promotion(spark, sf_dir)[1])
+    k, moved = F.substr("external_product_id", F.lit(2)).cast("bigint"), F.expr(_MOVED)
+    return applied.where(~(moved & (k % 17 == 0))).withColumn("price", F.col("price") + F.when(moved & (k % 11 == 0), 1).otherwise(0))
 
 
-VIEWS["v_later"] = "SELECT * REPLACE (price + CASE WHEN CAST(substr(external_product_id, 2) AS BIGINT) % 11 = 0 THEN 1 ELSE 0 END AS price) FROM v_applied WHERE CAST(substr(external_product_id, 2) AS BIGINT) % 17 <> 0"
+VIEWS["v_later"] = f"SELECT * REPLACE (price + CASE WHEN {_MOVED} AND CAST(substr(external_product_id, 2) AS BIGINT) % 11 = 0 THEN 1 ELSE 0 END AS price) FROM v_applied WHERE NOT ({_MOVED} AND CAST(substr(external_product_id, 2) AS BIGINT) % 17 = 0)"
 VIEWS["v_rollback"] = """
 SELECT i.load_run_id, i.supplier_key, i.external_product_id, CASE WHEN i.known THEN 'restore' ELSE 'delete' END AS rollback_action, l.external_product_id IS NOT NULL AS present,
-  CAST(substr(i.external_product_id, 2) AS BIGINT) % 11 = 0 OR CAST(substr(i.external_product_id, 2) AS BIGINT) % 17 = 0 AS conflict
-FROM v_items i LEFT JOIN v_later l USING (supplier_key, external_product_id) WHERE NOT i.known OR len(i.diffs) > 0
+  i.load_run_id % 17 = 0 AND (CAST(substr(i.external_product_id, 2) AS BIGINT) % 11 = 0 OR CAST(substr(i.external_product_id, 2) AS BIGINT) % 17 = 0) AS conflict
+FROM v_chosen i LEFT JOIN v_later l USING (supplier_key, external_product_id)
 """
 
 
 def _rollback_items(spark, sf_dir) -> DataFrame:
-    log = promote.change_log(_preview(spark, sf_dir))
-    return promote.rollback_preview(log, _later_catalog(spark, sf_dir))
+    return promote.rollback_preview(_log(spark, sf_dir), _later_catalog(spark, sf_dir))
 
 
 @query("rollback_preview", "SELECT load_run_id, supplier_key, external_product_id, rollback_action, conflict FROM v_rollback")
@@ -529,51 +573,83 @@ def _rollback_preview(spark, sf_dir):
     return _rollback_items(spark, sf_dir).drop("current", "restore")
 
 
-@query("rollback_eligibility", """
+VIEWS["v_rollback_eligible"] = """
 SELECT b.id AS load_run_id, array_to_string(list_filter([CASE WHEN b.id % 7 = 0 THEN 'promotion_not_succeeded' END, CASE WHEN b.id % 10 = 1 THEN 'already_rolled_back' END,
   CASE WHEN r.n IS NULL THEN 'audit_missing' END, CASE WHEN r.c > 0 THEN 'rollback_conflict' END], lambda x: x IS NOT NULL), ',') AS reasons, coalesce(r.c, 0)::BIGINT AS conflicts,
   b.id % 7 <> 0 AND b.id % 10 <> 1 AND r.n IS NOT NULL AND r.c = 0 AS eligible
 FROM fx_batches b LEFT JOIN (SELECT load_run_id, count(*) AS n, count_if(conflict) AS c FROM v_rollback GROUP BY 1) r ON r.load_run_id = b.id
-""")
-def _rollback_eligibility(spark, sf_dir):
+"""
+
+
+def _rollback_eligible(spark, sf_dir) -> DataFrame:
     ids = BATCHES.frame(spark, sf_dir).select(F.col("id").alias("load_run_id"))
     promotions = ids.withColumn("status", F.when(F.col("load_run_id") % 7 == 0, F.lit("blocked")).otherwise(F.lit("succeeded")))
-    log = promote.change_log(_preview(spark, sf_dir))
-    found = promote.rollback_eligibility(
-        promotions, log, _rollback_items(spark, sf_dir), ids.where("load_run_id % 10 = 1")
+    return promote.rollback_eligibility(
+        promotions, _log(spark, sf_dir), _rollback_items(spark, sf_dir), ids.where("load_run_id % 10 = 1")
     )
-    return found.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("rollback_eligibility", "SELECT * FROM v_rollback_eligible")
+def _rollback_eligibility(spark, sf_dir):
+    return _rollback_eligible(spark, sf_dir).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def _rollback(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every promotion is asked to be rolled back, every fifth with an old hash."""
+    items = _rollback_items(spark, sf_dir)
+    hashes = promote.preview_hash(items, "restore", "current").select("load_run_id", "preview_hash")
+    ids = BATCHES.frame(spark, sf_dir).select(F.col("id").alias("load_run_id"))
+    requests = ids.join(hashes, "load_run_id", "left").select(
+        "load_run_id", F.when(F.col("load_run_id") % 5 == 0, F.lit("old")).otherwise(F.col("preview_hash")).alias("expected_hash")
+    )
+    return promote.run_rollbacks(items, _rollback_eligible(spark, sf_dir), requests)
+
+
+VIEWS["v_rollback_runs"] = """
+SELECT load_run_id, CASE WHEN eligible AND load_run_id % 5 <> 0 THEN 'succeeded' ELSE 'blocked' END AS status,
+  CASE WHEN NOT eligible THEN 'rollback_blocked' WHEN load_run_id % 5 = 0 THEN 'preview_stale' END AS failure_code
+FROM v_rollback_eligible
+"""
+VIEWS["v_rolled"] = "SELECT r.* FROM v_rollback r JOIN v_rollback_runs g ON g.load_run_id = r.load_run_id AND g.status = 'succeeded'"
+
+
+@query("rollback_run", """
+SELECT g.*, coalesce(r.restored, 0)::BIGINT AS restored_count, coalesce(r.deleted, 0)::BIGINT AS deleted_count FROM v_rollback_runs g
+LEFT JOIN (SELECT load_run_id, count_if(rollback_action = 'restore') AS restored, count_if(rollback_action = 'delete') AS deleted FROM v_rolled GROUP BY 1) r
+ON r.load_run_id = g.load_run_id
+""")
+def _rollback_run(spark, sf_dir):
+    return _rollback(spark, sf_dir)[0]
 
 
 VIEWS["v_back"] = f"""
 SELECT l.supplier_key, l.external_product_id, {", ".join(f"CASE WHEN r.rollback_action = 'restore' THEN c.{n} ELSE l.{n} END AS {n}" for n in v.COMPARED_FIELDS)}, l.source_load_run_id
-FROM v_later l LEFT JOIN (SELECT * FROM v_rollback WHERE NOT conflict) r USING (supplier_key, external_product_id) LEFT JOIN fx_catalog c USING (supplier_key, external_product_id)
+FROM v_later l LEFT JOIN v_rolled r USING (supplier_key, external_product_id) LEFT JOIN fx_catalog c USING (supplier_key, external_product_id)
 WHERE coalesce(r.rollback_action, '') <> 'delete'
 """
 
 
 @query("rollback_apply", "SELECT * FROM v_back")
 def _rollback_apply(spark, sf_dir):
-    """Roll back every change that has no conflict."""
-    items = _rollback_items(spark, sf_dir).where("NOT conflict")
-    return promote.apply_rollback(_later_catalog(spark, sf_dir), items)
+    """Whole promotions go back; one conflict keeps a promotion as it is."""
+    return promote.apply_rollback(_later_catalog(spark, sf_dir), _rollback(spark, sf_dir)[1])
 
 
 _ROLLBACK_LOG = """
 SELECT r.load_run_id, r.external_product_id, r.rollback_action AS action, g.field, g.after AS before, CASE WHEN r.rollback_action = 'restore' THEN g.before END AS after
-FROM v_rollback r JOIN v_log g ON g.supplier_key = r.supplier_key AND g.external_product_id = r.external_product_id WHERE NOT r.conflict
+FROM v_rolled r JOIN v_log g ON g.load_run_id = r.load_run_id AND g.supplier_key = r.supplier_key AND g.external_product_id = r.external_product_id
 """
 
 
 @query("rollback_changelog", _ROLLBACK_LOG)
 def _rollback_changelog(spark, sf_dir):
-    log = promote.rollback_log(_rollback_items(spark, sf_dir).where("NOT conflict"))
+    log = promote.rollback_log(_rollback(spark, sf_dir)[1])
     return promote.flat_changes(log, ["load_run_id", "external_product_id"])
 
 
 @query("rollback_changes_flat", f"SELECT load_run_id, external_product_id, action, field, coalesce(before, '-') AS before, CASE WHEN action = 'delete' THEN '삭제됨' ELSE coalesce(after, '-') END AS after FROM ({_ROLLBACK_LOG})")
 def _rollback_changes_flat(spark, sf_dir):
-    log = promote.rollback_log(_rollback_items(spark, sf_dir).where("NOT conflict"))
+    log = promote.rollback_log(_rollback(spark, sf_dir)[1])
     flat = promote.flat_changes(log, ["load_run_id", "external_product_id"])
     gone = (F.col("action") == "delete") & F.col("after").isNull()
     return flat.withColumns({

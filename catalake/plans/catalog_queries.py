@@ -13,18 +13,16 @@ from catalake.plans import ducksql as d
 from catalake.plans.fixtures import PRODUCTS
 from catalake.plans.registry import VIEWS, query
 from catalake.sources.catalog import load_catalog
-from catalake.sources.staged import staged_table
 
 ISSUE_COLUMNS = ("rule", "severity", "product_id", "product_group_id", "message", "row_index")
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed catalog as a table, as a user would keep it."""
-    return staged_table(spark, "products", sf_dir, lambda: load_catalog(supplier_table(spark, sf_dir)))
+    return load_catalog(supplier_table(spark, sf_dir))
 
 
 def supplier_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged_table(spark, "supplier_table", sf_dir, lambda: PRODUCTS.frame(spark, sf_dir))
+    return PRODUCTS.frame(spark, sf_dir)
 
 
 _TEXTS = ("product_group_id", "product_id", "product_name", "category", "color", "size", "image_path", "description", "seller")

@@ -284,6 +284,9 @@ INSPECTION_RESULTS = Fixture("orders", (
 # --- staging, catalog ---
 
 _BATCH = "CAST(substr(p_brand, 7) AS BIGINT)"
+# A supplier has several batches; odd batches hold rows with errors.
+_SUPPLIER = f"'S' || {text(_BATCH + ' % 3')}"
+_ODD = f"{_BATCH} % 2 = 1"
 
 
 def _item(kind: str) -> tuple[tuple[str, ...], ...]:
@@ -291,11 +294,11 @@ def _item(kind: str) -> tuple[tuple[str, ...], ...]:
     price = f"CAST(floor(p_retailprice) AS BIGINT) * 100"
     newer = f"CASE WHEN {k} % 4 = 0 THEN 500 ELSE 0 END" if staged else "0"
     return (
-        ("product_group_id", f"'G' || {text(div(k, 4))}"),
+        ("product_group_id", f"CASE WHEN {_ODD} THEN 'G' || {text(div(k, 4))} ELSE 'G' || {text(k)} END"),
         ("product_name", f"p_name || CASE WHEN {k} % 6 = 1 AND {'TRUE' if staged else 'FALSE'} THEN ' II' ELSE '' END"),
         ("category", pick(f"{k} % 5", *quoted("TOP", "BOTTOM", "OUTER", "SHOES", "BAG"))),
         ("color", "'BLACK'"),
-        ("size", pick(f"{k} % 9", *quoted("M", "95", "S-M", "s-m", " S-M ", "free size", "One/Two", "L", ""))),
+        ("size", f"CASE WHEN NOT ({_ODD}) AND {k} % 9 = 8 THEN 'XL' ELSE " + pick(f"{k} % 9", *quoted("M", "95", "S-M", "s-m", " S-M ", "free size", "One/Two", "L", "")) + " END"),
         ("stock", f"CAST({k} % 50 AS BIGINT)"),
         ("price", f"{price} + {newer}"),
         ("sale_price", f"CASE WHEN {k} % 3 = 0 THEN NULL ELSE {price} - 100 END"),
@@ -308,14 +311,14 @@ def _item(kind: str) -> tuple[tuple[str, ...], ...]:
 STAGING = Fixture("part", (
     ("id", "p_partkey"),
     ("load_run_id", _BATCH),
-    ("supplier_key", "p_brand"),
-    ("product_id", f"CASE WHEN p_partkey % 17 = 1 AND p_partkey > 1 THEN 'P' || {text('p_partkey - 1')} ELSE 'P' || {text('p_partkey')} END"),
+    ("supplier_key", _SUPPLIER),
+    ("product_id", f"CASE WHEN (p_partkey % 17 = 1 AND {_ODD} OR p_partkey % 13 = 2) AND p_partkey > 1 THEN 'P' || {text('p_partkey - 1')} ELSE 'P' || {text('p_partkey')} END"),
     *_item("staging"),
 ), "p_partkey % 7 <> 0")
 
 CATALOG = Fixture("part", (
     ("id", "p_partkey + 1000000"),
-    ("supplier_key", "p_brand"),
+    ("supplier_key", _SUPPLIER),
     ("external_product_id", f"'P' || {text('p_partkey')}"),
     *_item("catalog"),
     ("source_load_run_id", "CAST(0 AS BIGINT)"),

@@ -2,7 +2,8 @@
 
 Files arrive as rows of the ``binaryFile`` source (path, length, content). One file is one record of that source, so
 it is decoded and parsed as a whole inside a task; files are the unit of parallel work. Everything that can be said
-without parsing is said by columns, and Python sees only the bytes of files that passed.
+without parsing is said by columns, and Python sees only the bytes of files that passed. One pass gives both the
+verdict on a file and its records. No file is refused for its size unless the caller sets a limit.
 """
 
 from __future__ import annotations
@@ -18,20 +19,18 @@ from pyspark.sql import functions as F
 
 from catalake.functions.text import leaf_name
 
-# Encodings in the order they are tried, and the default limits.
+# Encodings in the order they are tried.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949")
-MAX_BYTES = 5 * 1024 * 1024
-MAX_ROWS = 10_000
 FEED_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 ADMITTED = "ok"
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Admission limits; None switches one off."""
+    """Admission limits; None means none."""
 
-    max_bytes: int | None = MAX_BYTES
-    max_rows: int | None = MAX_ROWS
+    max_bytes: int | None = None
+    max_rows: int | None = None
 
 
 def scan_feeds(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -111,65 +110,64 @@ def _bytes_verdict(limits: Limits):
     return checks.when(F.expr("position(X'00' IN content)") > 0, "nul_byte")
 
 
-def admit_feeds(files: DataFrame, required: tuple[str, ...], limits: Limits = Limits()) -> DataFrame:
-    """(path, status, detail): 'ok' or the first failing check of each file."""
-    judged = files.select("path", "content", _bytes_verdict(limits).alias("status"))
-    quick = judged.where("status IS NOT NULL").select("path", "status", F.lit("").alias("detail"))
-    max_rows = limits.max_rows
+PARSED = "path string, status string, detail string, source_row_number bigint, values map<string,string>"
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    _records(bytes(content), required, max_rows)
-                    out.append((path, ADMITTED, ""))
-                except _Refused as refusal:
-                    out.append((path, refusal.status, refusal.detail))
-            yield pd.DataFrame(out, columns=["path", "status", "detail"])
 
-    parsed = judged.where("status IS NULL").select("path", "content").mapInPandas(
-        judge, "path string, status string, detail string"
-    )
-    return quick.unionByName(parsed)
+def parse_feeds(files: DataFrame, required: tuple[str, ...], limits: Limits = Limits(), with_rows: bool = True) -> DataFrame:
+    """Verdicts and records of files in one pass.
 
+    A verdict row has the status ('ok' or the first failing check), its detail and no row number; record rows follow
+    for admitted files, with ``values`` from source column to text.
+    """
+    judged = files.select("path", "content", _bytes_verdict(limits).alias("status"))
+    no_record = [F.lit(None).cast("bigint").alias("source_row_number"), F.lit(None).cast("map<string,string>").alias("values")]
+    quick = judged.where("status IS NOT NULL").select("path", "status", F.lit("").alias("detail"), *no_record)
+    max_rows, chunk = limits.max_rows, 5_000  # rows handed to Spark at a time, so a large file is never held twice
 
-def feed_rows(files: DataFrame, required: tuple[str, ...], limits: Limits = Limits()) -> DataFrame:
-    """(path, source_row_number, values) of admitted files; ``values`` maps source column to text."""
-    max_rows = limits.max_rows
-    chunk = 5_000  # rows handed to Spark at a time, so a large file is never held twice
+    def verdict(path: str, status: str, detail: str) -> pd.DataFrame:
+        row = {"path": path, "status": status, "detail": detail, "source_row_number": None, "values": None}
+        return pd.DataFrame([row]).astype({"source_row_number": "Int64"})
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     names, rows = _records(bytes(content), required, max_rows)
-                except _Refused:
+                except _Refused as refusal:
+                    yield verdict(path, refusal.status, refusal.detail)
                     continue
-                for start in range(0, len(rows), chunk):
+                yield verdict(path, ADMITTED, "")
+                for start in range(0, len(rows) if with_rows else 0, chunk):
                     part = rows[start : start + chunk]
                     yield pd.DataFrame(
                         {
-                            "path": path,
+                            "path": path, "status": ADMITTED, "detail": "",
                             "source_row_number": [number for number, _ in part],
                             "values": [dict(zip(names, cells, strict=True)) for _, cells in part],
                         }
                     )
 
-    kept = files.where(_bytes_verdict(limits).isNull()).select("path", "content")
-    return kept.mapInPandas(extract, "path string, source_row_number bigint, values map<string,string>")
+    return quick.unionByName(judged.where("status IS NULL").select("path", "content").mapInPandas(parse, PARSED))
 
 
-def widened(rows: DataFrame, columns: tuple[str, ...], keep: list[str]) -> DataFrame:
-    """Source columns of the ``values`` map as columns of their own."""
-    return rows.select(*keep, *[F.try_element_at("values", F.lit(name)).alias(name) for name in columns])
+def verdicts_of(parsed: DataFrame) -> DataFrame:
+    """(path, status, detail) of parsed files."""
+    return parsed.where("source_row_number IS NULL").select("path", "status", "detail")
 
 
-def split_large_feed(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Rows of one very large CSV file, split over tasks by Spark's reader.
+def records_of(parsed: DataFrame) -> DataFrame:
+    """(path, source_row_number, values) of admitted files."""
+    return parsed.where("source_row_number IS NOT NULL").select("path", "source_row_number", "values")
 
-    Row numbers need the record order of the file, which a split read does not keep; rows carry ``row_id`` (unique,
-    increasing within a split) instead.
-    """
-    reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "FAILFAST")
-    return reader.csv(path).withColumn("row_id", F.monotonically_increasing_id())
+
+def admit_feeds(files: DataFrame, required: tuple[str, ...], limits: Limits = Limits()) -> DataFrame:
+    return verdicts_of(parse_feeds(files, required, limits, with_rows=False))
+
+
+def feed_rows(files: DataFrame, required: tuple[str, ...], limits: Limits = Limits()) -> DataFrame:
+    return records_of(parse_feeds(files, required, limits))
+
+
+def widened(rows: DataFrame, columns: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """Source columns of the ``values`` map as columns of their own."""
+    return rows.select(*keep, *[F.try_element_at("values", F.lit(name)).alias(name) for name in columns])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,7 +10,7 @@ from catalake.functions.profiles import Profile
 from catalake.operators.conform import accepted, batch_summary, conform, rejected
 from catalake.operators.identity import new_arrivals
 from catalake.operators.scan import mask_source_map
-from catalake.sources.feeds import FEED_SCHEMA, Limits, admit_feeds, feed_rows, widened
+from catalake.sources.feeds import FEED_SCHEMA, Limits, parse_feeds, records_of, verdicts_of, widened
 from catalake.sources.lineage import content_sha256
 from catalake.sources.store import Store
 
@@ -54,50 +53,52 @@ def latest_status(events: DataFrame) -> DataFrame:
     )
 
 
-def load_wave(files: DataFrame, profile: Profile, store: Store, wave: str, limits: Limits = Limits()) -> bool:
-    """Load one wave of files as a unit; False when the wave was loaded before.
+def load_wave(files: DataFrame, profile: Profile, store: Store, limits: Limits = Limits()) -> bool:
+    """Load the files whose content this profile version has not loaded yet; False when there are none.
 
-    Files whose content was loaded earlier, or repeats within the wave, are recorded but not loaded again.
+    A wave is named by profile, version and the contents it holds, so files of another profile or a fresh checkpoint on
+    an old target never meet a name that is taken. Content that was loaded earlier, or repeats within the wave, is left
+    out by its hash; work that was begun but not committed has the same name and is written again.
     """
-    hashed = files.select("path", "length", "content", content_sha256(F.col("content")).alias("input_sha256"))
-    slim = hashed.select("path", "input_sha256")
+    hashed = files.select("path", content_sha256(F.col("content")).alias("input_sha256"))
     known = store.spark.createDataFrame([], "input_sha256 string")
     if not store.manifest().where(F.startswith("entry", F.lit("batch:"))).isEmpty():
         known = store.batches("runs").where(
             (F.col("profile_name") == profile.name) & (F.col("profile_version") == profile.version)
         ).select("input_sha256")
-    fresh = new_arrivals(slim, known, ["input_sha256"], ["path"]).select("path", "input_sha256")
-    work = hashed.join(fresh, ["path", "input_sha256"], "left_semi")
-    verdicts = admit_feeds(work, profile.required, limits)
-    rows = widened(feed_rows(work, profile.required, limits), profile.sources, ["path", "source_row_number"])
+    fresh = new_arrivals(hashed, known, ["input_sha256"], ["path"]).select("path", "input_sha256")
+    content = F.xxhash64("input_sha256")
+    n, mark = fresh.agg(F.count(F.lit(1)), F.bit_xor(content)).first()
+    if not n:
+        return False
+    work = files.select("path", "length", "content").join(fresh.select("path"), "path", "left_semi")
+    parsed = parse_feeds(work, profile.required, limits).persist()  # parsed once for all tables of the wave
+    verdicts = verdicts_of(parsed).join(fresh, "path")
+    rows = widened(records_of(parsed), profile.sources, ["path", "source_row_number"])
     conformed = conform(rows, profile, ["path", "source_row_number"])
-    summary = (
-        batch_summary(conformed, ["path"]).join(fresh, "path")
-        .withColumns({"profile_name": F.lit(profile.name), "profile_version": F.lit(profile.version)})
-    )
+    named = {"profile_name": F.lit(profile.name), "profile_version": F.lit(profile.version)}
+    # a refused file is a run too: its content is known, and its status says why nothing was loaded
+    runs = verdicts.join(batch_summary(conformed, ["path"]), "path", "left").withColumns(named)
     refused = rejected(conformed, ["path", "source_row_number"]).withColumn("source", mask_source_map(F.col("source")))
-    return store.append_batch(
-        wave,
-        {"staging": accepted(conformed), "rejects": refused.drop("errors"), "verdicts": verdicts, "runs": summary},
-        note=profile.name,
-    )
+    try:
+        return store.append_batch(
+            f"{profile.name}-{profile.version}-{n}-{mark & (2**64 - 1):016x}",
+            {"staging": accepted(conformed), "rejects": refused.drop("errors"), "verdicts": verdicts, "runs": runs},
+            note=profile.name,
+        )
+    finally:
+        parsed.unpersist()
 
 
 def stream_load(spark: SparkSession, landing: str, profile: Profile, store_path: str, checkpoint: str,
                 limits: Limits = Limits(), glob: str = "*.csv") -> StreamingQuery:
-    """Load everything that has arrived, then stop. Restarts and repeated files add nothing.
-
-    The micro-batch number names the wave, so a replayed micro-batch finds its wave committed.
-    """
-    store = Store(spark, store_path)
+    """Load everything that has arrived, then stop. Restarts and repeated files add nothing."""
     stream = feed_stream(spark, landing, glob)
 
     def write(batch: DataFrame, number: int) -> None:
-        load_wave(batch, profile, Store(batch.sparkSession, store.root), f"wave-{number}", limits)
+        load_wave(batch, profile, Store(batch.sparkSession, store_path), limits)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
-
-

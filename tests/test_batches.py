@@ -5,7 +5,7 @@ from catalake.functions.profiles import FASHION, MARKETPLACE, PROFILES, PUBLISHE
 from catalake.functions.vocabulary import COMPARED_FIELDS
 from catalake.operators import conform as cf
 from catalake.operators import promote
-from catalake.sources.feeds import Limits, admit_feeds, feed_rows
+from catalake.sources.feeds import Limits, admit_feeds, feed_rows, scan_feeds
 from catalake.sources.store import StaleVersion, Store
 from catalake.streaming.landing import stream_load
 
@@ -129,6 +129,39 @@ def test_stream_loads_each_content_once(spark, tmp_path):
     assert rejected.source["image_link"] == "010-****-5678"
 
 
+def test_two_profiles_in_one_store_and_a_fresh_checkpoint(spark, tmp_path):
+    head, row = line(*HEADER), line(*[GOOD[c].replace(",", "") for c in HEADER])
+    market = dict(zip(MARKETPLACE.sources, ["x"] * len(MARKETPLACE.sources))) | {
+        "sku_code": "9", "category_code": "BAG", "regular_price": "10", "promo_price": "", "available_qty": "1"}
+    for name, text in (("a", f"{head}\n{row}\n"), ("b", f"{line(*market)}\n{line(*market.values())}\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "one.csv").write_text(text)
+    (tmp_path / "a" / "broken.csv").write_text("nothing,known\n1,2\n")
+
+    def run(folder, profile, checkpoint):
+        stream_load(spark, str(tmp_path / folder), profile, str(tmp_path / "store"), str(tmp_path / checkpoint)).awaitTermination()
+        kept = Store(spark, str(tmp_path / "store"))
+        return kept.batches("runs").count(), kept.batches("staging").count()
+
+    assert run("a", FASHION, "cp1") == (2, 1)
+    assert run("b", MARKETPLACE, "cp2") == (3, 2)
+    assert run("a", FASHION, "cp3") == (3, 2)  # an old target with a fresh checkpoint: all contents are known
+    (tmp_path / "a" / "two.csv").write_text(f"{head}\n{row.replace('0007', '0009')}\n")
+    assert run("a", FASHION, "cp4") == (4, 3)
+    status = {r["path"].rsplit("/", 1)[1]: r["status"] for r in Store(spark, str(tmp_path / "store")).batches("runs").collect()
+              if "/a/" in r["path"]}
+    assert status == {"one.csv": "ok", "two.csv": "ok", "broken.csv": "missing_columns"}
+
+
+def test_files_of_a_folder_are_admitted_without_limits(spark, tmp_path):
+    head, row = line(*HEADER), line(*[GOOD[c].replace(",", "") for c in HEADER])
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "large.csv").write_text(head + "\n" + (row + "\n") * 12_000)
+    files_found = scan_feeds(spark, str(tmp_path), "*.csv")
+    assert [r["status"] for r in admit_feeds(files_found, FASHION.required).collect()] == ["ok"]
+    assert feed_rows(files_found, FASHION.required).count() == 12_000
+
+
 def test_store_refuses_stale_writers_and_ignores_uncommitted(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     first = spark.range(3)
@@ -161,10 +194,11 @@ def test_promote_then_roll_back_gives_the_old_catalog_but_for_the_batch(spark):
     ).withColumn("id", F.monotonically_increasing_id())
     items = promote.preview(staging, catalog)
     assert {r.external_product_id: r.action for r in items.collect()} == {"a": "unchanged", "b": "update", "c": "insert"}
-    new = promote.apply_promotion(catalog, items)
+    changes = promote.applicable(items, staging)
+    new = promote.apply_promotion(catalog, changes)
     state = {(r.supplier_key, r.external_product_id): (r.seller, r.source_load_run_id) for r in new.collect()}
     assert state == {("S", "a"): (None, 1), ("S", "b"): (None, 2), ("S", "c"): (None, 2), ("S", "gone"): (None, 1), ("T", "a"): (None, 9)}
-    log = promote.change_log(items)
+    log = promote.change_log(changes)
     entries = {r.external_product_id: r.changed_fields for r in log.collect()}
     assert set(entries) == {"b", "c"} and set(entries["c"]) == set(COMPARED_FIELDS)
     assert entries["b"] == {"seller": ("x", None)}
@@ -177,6 +211,22 @@ def test_promote_then_roll_back_gives_the_old_catalog_but_for_the_batch(spark):
     assert all(r.conflict for r in promote.rollback_preview(log, moved).collect())
 
 
+def test_two_batches_of_a_supplier_change_a_product_once(spark):
+    catalog = spark.createDataFrame(
+        [product("S", "a", 1), product("S", "b", 1)], SHAPE.format(id="external_product_id", run="source_load_run_id")
+    )
+    rows = [product("S", "a", 2, price=200), product("S", "a", 3, price=300), product("S", "c", 2), product("S", "c", 3, price=5),
+            product("S", "b", 4, price=9)]
+    staging = spark.createDataFrame(rows, SHAPE.format(id="product_id", run="load_run_id")).withColumn("id", F.monotonically_increasing_id())
+    items = promote.preview(staging, catalog)
+    ready = spark.createDataFrame([(2,), (3,)], "load_run_id bigint")
+    new = {r.external_product_id: (r.price, r.source_load_run_id) for r in promote.apply_promotion(catalog, promote.applicable(items, ready)).collect()}
+    assert new == {"a": (300, 3), "b": (100, 1), "c": (5, 3)}
+    seen = sorted((r.load_run_id, r.external_product_id, r.status) for r in promote.reconcile(staging, catalog).collect())
+    assert seen == [(2, "a", "changed"), (2, "b", "not_observed_in_batch"), (2, "c", "new"), (3, "a", "changed"),
+                    (3, "b", "not_observed_in_batch"), (3, "c", "new"), (4, "a", "not_observed_in_batch"), (4, "b", "changed")]
+
+
 def test_preview_hash_sees_every_change_and_ignores_order(spark):
     catalog = spark.createDataFrame([product("S", "a", 1)], SHAPE.format(id="external_product_id", run="source_load_run_id"))
 
