@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 5
-_BLANK = " \t\n\x0b\x0c\r"
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
     """Lower-case words between white space; no words for a null or blank text."""
-    clean = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(_BLANK))
+    clean = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(BLANK))
     return F.when(clean == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(clean, "[ \t\n\x0b\x0c\r]+"))
 
 
