@@ -2,9 +2,9 @@
 
 A turn's content is an array of parts of kind text, image, audio or document. A visitor goes over the parts in order:
 text is escaped, any other part becomes a numbered placeholder, and its reference and the number of tokens it expands to
-are recorded. A formatted turn is ``<|turn|>role``, a line break, the content and ``<|end|>``. Escaping puts a backslash
-before every backslash, ``<``, ``[`` and ``]`` of roles and texts (and line breaks of roles), so no control string can come from a text, and taking
-the backslashes away gives the text back.
+are recorded. A formatted turn is ``<|turn|>role``, a line break, the content and ``<|end|>``. Escaping writes every
+backslash, ``<``, ``[`` and ``]`` of roles and texts (and line breaks of roles) as a backslash and a letter, so no control
+string, of this template or another's, is left in a text, and reading the pairs gives the text back.
 
 All of it is column expressions of one row per turn. A conversation is read back by streaming its turns in order through
 one task with running digests, so the memory needed does not depend on the length of a conversation.
@@ -23,16 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TURN, END = "<|turn|>", "<|end|>"
-ESCAPED = r"([\\<\[\]])"
+#: What a backslash and this letter stand for.
+LETTERS = {"b": "\\", "l": "<", "o": "[", "c": "]", "n": "\n"}
 #: Tokens for each unit of an attachment: image tiles, seconds of audio, pages of a document.
 TOKENS = {"image": 256, "audio": 25, "document": 640}
 PART = "struct<kind: string, text: string, ref: string, units: double>"
-_ROLE = re.compile(r"((?:[^\\\n]|\\.)*)\n", re.S)
-_UNESCAPE = re.compile(r"\\(.)", re.S)
+_PAIR = re.compile(r"\\([blocn])")
 
 
-def escaped(text: F.Column) -> F.Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), ESCAPED, r"\\$1")
+def escaped(text: F.Column, also: str = "") -> F.Column:
+    """``also`` names further letters of LETTERS whose characters are escaped."""
+    out = F.coalesce(text, F.lit(""))
+    for letter in "bloc" + also:
+        out = F.replace(out, F.lit(LETTERS[letter]), F.lit("\\" + letter))
+    return out
 
 
 def text_part(text: F.Column) -> F.Column:
@@ -73,7 +77,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             x["part"]["ref"].alias("ref"), _tokens(x["part"]).alias("tokens"),
         ),
     )
-    role = F.regexp_replace(escaped(F.col("role")), "\n", "\\\\\n")
+    role = escaped(F.col("role"), also="n")
     return (
         turns.withColumn("formatted", F.concat(F.lit(TURN), role, F.lit("\n"), F.array_join(flat, ""), F.lit(END)))
         .withColumn("attachments", attachments)
@@ -85,8 +89,9 @@ def read_turn(formatted: str) -> tuple[str, str]:
     """(role, text) of a formatted turn; placeholders stay as they are."""
     if not (formatted.startswith(TURN) and formatted.endswith(END)):
         raise ValueError("not a formatted turn")
-    head = _ROLE.match(formatted, len(TURN))
-    return _UNESCAPE.sub(r"\1", head[1]), _UNESCAPE.sub(r"\1", formatted[head.end() : -len(END)])
+    role, _, content = formatted[len(TURN) : -len(END)].partition("\n")
+    plain = lambda text: _PAIR.sub(lambda pair: LETTERS[pair[1]], text)
+    return plain(role), plain(content)
 
 
 def loss_text(role: str, text: str) -> str:
