@@ -25,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalake.llm.wordsets import slices
+
 META = "▁"
-MEMO = 200_000
-PIECE_BYTES = 1 << 21
+#: Words and pairs of pieces that a task remembers.
+MEMO = 800_000
+PAIRS = 700_000
 
 
 class Transducer:
@@ -45,7 +48,6 @@ class Transducer:
         self.cost = {p: -model.get_score(i) for p, i in self.arcs.items()}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.names) if byte[i]}
         self.unknown = model.unk_id()
-        self.longest = max(map(len, self.arcs), default=1)
         self.by_word = not any(META in p.lstrip(META) for p in self.arcs)
         spelled = [
             b"" if special[i] else bytes([int(p[3:5], 16)]) if byte[i] else p.replace(META, " ").encode()
@@ -55,8 +57,17 @@ class Transducer:
         self.lengths = np.array([len(s) for s in spelled], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, bytes] = {}
+        # arcs as a tree of characters: a node is (piece or None, next nodes); a piece that merging never makes has
+        # infinite weight and is left out
+        self.tree: dict[str, list] = {}
+        for piece in self.arcs:
+            if len(piece) == 1 or self._merged(piece) == [piece]:
+                below, node = self.tree, []
+                for char in piece:
+                    node = below.setdefault(char, [None, {}])
+                    below = node[1]
+                node[0] = piece
 
     def _merged(self, text: str) -> list[str]:
         """Pieces of a short string by merging the cheapest neighbouring pair first; defines the pair weights."""
@@ -71,39 +82,44 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _reachable(self, piece: str) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = self._merged(piece) == [piece]
-        return known
-
     def _stays(self, left: str, right: str) -> bool:
         """Weight zero of the pair acceptor."""
-        if len(self.pairs) > 4 * MEMO:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        known = self.pairs.get((left, right))
-        if known is None:
-            known = self.pairs[left, right] = self._merged(left + right) == [left, right]
+        known = self.pairs[left, right] = self._merged(left + right) == [left, right]
         return known
 
     def shortest(self, text: str) -> list[str]:
         """The pieces on the shortest path through the composition with a normalised string."""
-        last: list[str] = [""] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = text[start:end]
-                if end - start > 1 and (piece not in self.arcs or not self._reachable(piece)):
-                    continue
-                if start == 0 or self._stays(last[start], piece):
-                    last[end] = piece
+        size = len(text)
+        last: list[str | None] = [None] * (size + 1)
+        tree, pairs, stays = self.tree, self.pairs, self._stays
+        for start in range(size):
+            left, below, end = last[start], tree, start
+            if left is None and start:
+                left = last[start] = text[start - 1]  # a character without a piece is an arc of its own
+            for char in text[start:]:
+                node = below.get(char)
+                if node is None:
                     break
-        path, end = [], len(text)
+                piece, below = node
+                end += 1
+                if piece is not None and last[end] is None:
+                    if left is None:
+                        last[end] = piece
+                    else:
+                        zero = pairs.get((left, piece))
+                        if zero or zero is None and stays(left, piece):
+                            last[end] = piece
+        if size and last[size] is None:
+            last[size] = text[size - 1]
+        path, end = [], size
         while end:
             path.append(last[end])
             end -= len(last[end])
         return path[::-1]
 
-    def _ids(self, word: str) -> np.ndarray:
+    def _ids(self, word: str) -> bytes:
         known = self.memo.get(word)
         if known is None:
             ids: list[int] = []
@@ -116,7 +132,7 @@ class Transducer:
                     ids.append(self.unknown)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            known = np.array(ids, np.int32)
+            known = np.array(ids, np.int32).tobytes()
             if len(word) <= 64:
                 self.memo[word] = known
         return known
@@ -153,9 +169,9 @@ class Transducer:
         known = coded.dictionary.to_pylist()
         rows = [self._ids(META + w.replace(" ", META)) for w in known]
         codes = np.asarray(coded.indices, dtype=np.int64)
-        size = np.array([len(r) for r in rows], np.int64)
+        size = np.array([len(r) // 4 for r in rows], np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        flat = np.frombuffer(b"".join(rows), np.int32)
         # an empty text is one empty word: it has no pieces
         empty = np.repeat(np.asarray(pc.equal(pc.binary_length(texts), 0)), np.diff(start))
         n = np.where(empty, 0, size[codes])
@@ -182,17 +198,6 @@ def compiled(path: str) -> Transducer:
     return Transducer(path)
 
 
-def text_pieces(column: pa.Array):
-    """Runs of rows of about PIECE_BYTES bytes, as arrays."""
-    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
-    row = 0
-    while row < len(column):
-        done = sizes[row - 1] if row else 0
-        end = max(row + 1, int(np.searchsorted(sizes, done + PIECE_BYTES, side="right")))
-        yield column.slice(row, end - row)
-        row = end
-
-
 def decoded_texts(machine: Transducer, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     data, places = machine.decode(ids, offsets)
     raw = data.tobytes()
@@ -211,7 +216,7 @@ def _encoder(path: str):
         for batch in batches:
             column = batch.schema.get_field_index("text")
             done = 0
-            for texts in text_pieces(batch.column(column)):
+            for texts in slices(batch.column(column)):
                 ids, offsets = machine.encode(texts)
                 back = decoded_texts(machine, ids, offsets)
                 rows = batch.slice(done, len(texts))
