@@ -5,19 +5,23 @@ of the earlier categories. While fitting, those probabilities come from models t
 models fitted to all rows predict. ``labels.toxic`` is the only label given, so the two earlier categories are
 weak labels: the document is toxic and has a word of the category's family.
 
-Fitting takes at most ``SAMPLE`` labelled documents, those of the lowest id hash; the words that serve as features are
-the ``FEATURES`` words or beginnings of words that tell toxic from other labelled documents best, none of them the
-beginning of another. Every document is then scored on its whole
-text, in one pass without a shuffle.
+Features are the counts of all words and of all beginnings of words, as 32-bit hashes; no feature has to pass a hurdle, so
+the feature space follows from the labelled texts alone, however few they are. A ridge penalty that is weaker where
+presence tells the classes apart does the selection. Fitting takes at most ``SAMPLE`` labelled documents: all of the
+rarer class (up to half of SAMPLE), the others of the lowest id hash, weighted so that the classes keep their shares.
+The driver holds eight bytes, and about four times that while fitting, for each distinct feature of each of them. Every
+document is then scored on its whole text, in one pass without a shuffle.
 
 Defined results: a null or empty text scores as a text without feature words; label rows with a null in id or label are
-not used, several labels of one id count as the highest; with no usable label nothing is toxic; other columns are kept,
-and columns of the added names give way.
+not used, several labels of one id count as the highest; with no usable label, or usable labels of one class only, nothing
+is toxic and a warning says so; other columns are kept, and columns of the added names give way.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
+import zlib
 from collections import Counter
 
 import ahocorasick
@@ -27,18 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalake.llm.linear import fit_logistic, folds_of, sigmoid
+from catalake.llm.linear import SparseRows, fit_sparse, folds_of, sigmoid
 from catalake.llm.shared import written
+from catalake.llm.wordsets import slices
 
 SAMPLE = 20_000
-FEATURES = 40
-LEAST_DOCS = 8
-#: Lengths of word beginnings that may serve as features, and the mark of a whole word.
+#: Lengths of word beginnings that serve as features, and the mark of a whole word.
 STEMS = (4, 5, 6)
 WHOLE = "$"
 FOLDS = 5
-CLIP = 4.0
-PENALTY = 0.05
+PENALTY = 0.1
 THRESHOLD = 0.5
 # The word families of the two weak categories.
 FAMILIES = {
@@ -49,42 +51,44 @@ CHAIN = (*FAMILIES, "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _word_counts(batches):
-    """Documents with each word, by label: partial counts per batch."""
-    for batch in batches:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(_WORD.findall((text or "").lower()))
-            seen[toxic].update({w + WHOLE for w in words}.union(*({w[:n] for w in words if len(w) > n} for n in STEMS)))
-        words = sorted(set(seen[0]) | set(seen[1]))
-        yield pa.record_batch(
-            [pa.array(words, pa.string()), pa.array([seen[0][w] for w in words], pa.int64()),
-             pa.array([seen[1][w] for w in words], pa.int64())],
-            names=["word", "clean", "toxic"],
-        )
-
-
-def _feature_words(sample: DataFrame) -> list[str]:
-    """The words and beginnings whose presence tells most about the label, from counts over the whole sample."""
-    totals = sample.groupBy("toxic").count().collect()
-    of = {r["toxic"]: r["count"] for r in totals}
-    if not of.get(0) or not of.get(1):
-        return []
-    counts = (
-        sample.select("text", "toxic").mapInArrow(_word_counts, "word string, clean long, toxic long")
-        .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter(F.col("clean") + F.col("toxic") >= LEAST_DOCS)
-    )
-    p, q = F.col("toxic") / F.lit(of[1]), F.col("clean") / F.lit(of[0])
-    apart = (p - q) / F.sqrt((p + q) * (2 - p - q) / 4 * (1 / of[0] + 1 / of[1]) + 1e-12)
-    best = counts.withColumn("z", F.round(apart, 6)).filter("z > 5")
-    best = best.orderBy(F.desc("z"), F.desc(F.length("word")), "word").limit(20 * FEATURES)
-    chosen: list[str] = []
-    for unit in (r["word"] for r in best.select("word").collect()):
-        stem = unit.rstrip(WHOLE)
-        if not any(stem.startswith(c.rstrip(WHOLE)) or c.startswith(stem) for c in chosen):
-            chosen.append(unit)
-    return chosen[:FEATURES]
+class Words(dict):
+    """Numbers of the words of some texts, in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many distinct words each text has, their numbers, and the logarithms of one more than their counts."""
+        sizes, numbers, times = [], [], []
+        for text in texts:
+            found = Counter(_WORD.findall((text or "").lower()))
+            sizes.append(len(found))
+            numbers.extend([self[w] for w in found])
+            times.extend(found.values())
+        return np.array(sizes, np.int64), np.array(numbers, np.int64), np.log1p(np.array(times, np.float64))
+
+    def units(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many features each word has, and their hashes."""
+        units = [[zlib.crc32((w + WHOLE).encode()), *[zlib.crc32(w[:n].encode()) for n in STEMS if len(w) > n]] for w in self]
+        return np.array([len(u) for u in units], np.int64), np.array([h for u in units for h in u], np.uint32)
+
+
+def unit_counts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text, the hashes of its features in order, and their counts (sums over words, on a log scale)."""
+    words = Words()
+    sizes, numbers, times = words.of(texts)
+    many, hashes = words.units()
+    starts = np.cumsum(many) - many
+    out, at = [], 0
+    for size in sizes.tolist():
+        here, count = numbers[at : at + size], times[at : at + size]
+        runs = many[here]
+        places = np.repeat(starts[here] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+        cells, where = np.unique(hashes[places], return_inverse=True)
+        out.append((cells, np.bincount(where, np.repeat(count, runs), len(cells)).astype(np.float32)))
+        at += size
+    return out
 
 
 def counter(words: list[str]):
@@ -109,73 +113,103 @@ def counter(words: list[str]):
     return counts
 
 
-def inputs(counts: np.ndarray) -> np.ndarray:
-    """Model inputs: a constant, clipped counts, and how many feature words there are in all."""
-    total = counts.sum(axis=1, keepdims=True)
-    return np.concatenate(
-        [np.ones((len(counts), 1)), np.minimum(counts, CLIP), np.minimum(total, CLIP), np.log1p(total)], axis=1
-    )
-
-
-def fit_chain(counts: np.ndarray, targets: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-    """One weight vector per category; later ones also weigh the earlier categories' probabilities."""
-    folds = folds_of(ids, FOLDS)
-    x, models = inputs(counts), []
+def fit_chain(
+    counts: np.ndarray | SparseRows, targets: np.ndarray, ids: np.ndarray, weight: np.ndarray | None = None
+) -> list[np.ndarray]:
+    """One weight vector per category (constant, features); later ones also weigh the earlier categories' probabilities."""
+    folds, x, models = folds_of(ids, FOLDS), SparseRows.of(counts), []
+    weight = np.ones(len(ids)) if weight is None else weight
+    earlier = np.zeros((len(ids), 0))
     for place in range(targets.shape[1]):
         y = targets[:, place]
-        models.append(fit_logistic(x, y, penalty=PENALTY))
-        unseen = np.zeros(len(x))
+        models.append(fit_sparse(x, earlier, y, weight, PENALTY))
+        if place + 1 == targets.shape[1]:
+            break
+        unseen = np.zeros(len(ids))
         for fold in range(FOLDS):
             out = folds == fold
             if out.any():
-                unseen[out] = sigmoid(x[out] @ fit_logistic(x[~out], y[~out], penalty=PENALTY))
-        x = np.concatenate([x, unseen[:, None]], axis=1)
+                w = fit_sparse(x, earlier, y, weight * ~out, PENALTY, models[-1])
+                unseen[out] = sigmoid(_margins(w, x) + earlier @ w[x.shape[1] + 1 :])[out]
+        earlier = np.concatenate([earlier, unseen[:, None]], axis=1)
     return models
 
 
-def chain_scores(models: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+def _margins(w: np.ndarray, x: SparseRows) -> np.ndarray:
+    return w[0] + x.times(w[1 : x.shape[1] + 1])
+
+
+def _chained(margins: list[np.ndarray], tails: list[np.ndarray]) -> np.ndarray:
+    """Probabilities from what the features say and the weights of the earlier categories' probabilities."""
+    found = np.zeros((len(margins[0]), 0))
+    for margin, tail in zip(margins, tails, strict=True):
+        found = np.concatenate([found, sigmoid(margin + found @ tail)[:, None]], axis=1)
+    return found
+
+
+def chain_scores(models: list[np.ndarray], counts: np.ndarray | SparseRows) -> np.ndarray:
     """Probability of every category, in chain order."""
-    x = inputs(counts)
-    for w in models:
-        x = np.concatenate([x, sigmoid(x @ w)[:, None]], axis=1)
-    return x[:, x.shape[1] - len(models) :]
+    x = SparseRows.of(counts)
+    return _chained([_margins(w, x) for w in models], [w[x.shape[1] + 1 :] for w in models])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[np.ndarray]]:
+def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The documents to fit to, and how many usable labels each class has."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
         .dropna().filter("toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    )  # at most SAMPLE rows of 12 bytes: small enough to send to every task
-    sample = written(
-        docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id"), "labelled"
+        .join(docs.select(F.col("doc_id").cast("long").alias("id")), "id", "left_semi")
     )
-    words = _feature_words(sample)
-    if not words:
-        return [], []
-    families = [np.array([w.rstrip(WHOLE) in FAMILIES[name] for w in words]) for name in FAMILIES]
-    width = len(words)
+    known = written(known, "known")
+    of = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    rare = int(of[1] <= of[0])
+    taken = min(of[rare], SAMPLE // 2)
+    lowest = lambda c, n: known.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(n)
+    # at most SAMPLE rows of 12 bytes: small enough to send to every task
+    chosen = lowest(rare, taken).union(lowest(1 - rare, SAMPLE - taken))
+    sample = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
+    return written(sample, "labelled"), of
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of the features in order, and the models of the chain; none without labels of both classes."""
+    sample, of = _labelled(docs, labels)
+    if not of[0] or not of[1]:
+        warnings.warn(f"no toxicity model: {of[1]} toxic and {of[0]} other labelled documents", stacklevel=3)
+        return np.zeros(0, np.uint32), []
 
     def count(batches):
-        counts = counter(words)
+        families = [counter([w + WHOLE for w in words]) for words in FAMILIES.values()]
         for batch in batches:
-            rows = counts(batch.column(1).to_pylist())
-            flat = pa.array(rows.astype(np.float32).ravel())
+            texts = batch.column(1).to_pylist()
+            units = unit_counts(texts)
+            weak = np.stack([f(texts).sum(axis=1) > 0 for f in families], axis=1)
             yield pa.record_batch(
-                [batch.column(0), batch.column(2),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), flat)],
-                names=["id", "toxic", "counts"],
+                [batch.column(0), batch.column(2), pa.array(weak.tolist(), pa.list_(pa.bool_())),
+                 pa.array([c.tobytes() for c, _ in units], pa.binary()), pa.array([v.tobytes() for _, v in units], pa.binary())],
+                names=["id", "toxic", "weak", "cells", "counts"],
             )
 
-    # bounded: SAMPLE rows (more only where ids repeat, hence the limit) of FEATURES numbers
-    rows = (
-        sample.select("id", "text", "toxic").mapInArrow(count, "id long, toxic int, counts array<float>")
-        .orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    counted = sample.select("id", "text", "toxic").mapInArrow(
+        count, "id long, toxic int, weak array<boolean>, cells binary, counts binary"
     )
-    counts = np.array([r["counts"] for r in rows], dtype=float)
-    toxic = np.array([r["toxic"] for r in rows], dtype=float)
-    weak = [toxic * (counts[:, own].sum(axis=1) > 0) for own in families]
-    return words, fit_chain(counts, np.stack([*weak, toxic], axis=1), np.array([r["id"] for r in rows], np.int64))
+    # bounded: SAMPLE labelled ids (several rows only where ids repeat)
+    rows = sorted(written(counted, "units").toLocalIterator(), key=lambda r: (r["id"], r["cells"], r["counts"]))
+    ids = np.array([r["id"] for r in rows], np.int64)
+    toxic = np.array([r["toxic"] for r in rows], float)
+    weak = np.array([r["weak"] for r in rows], float).reshape(len(rows), -1)
+    sizes = np.array([len(r["cells"]) // 4 for r in rows], np.int64)
+    cells = np.frombuffer(b"".join(r["cells"] for r in rows), np.uint32)
+    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.float32)
+    del rows
+    known = np.unique(cells)
+    columns = np.searchsorted(known, cells).astype(np.int32)
+    del cells
+    x = SparseRows(sizes, columns, counts, len(known))
+    del columns, counts
+    share = np.array([of[0], of[1]]) / (of[0] + of[1])
+    weight = np.where(toxic > 0, share[1] / toxic.mean(), share[0] / (1 - toxic).mean())
+    return known, fit_chain(x, np.concatenate([weak * toxic[:, None], toxic[:, None]], axis=1), ids, weight)
 
 
 ADDED = tuple(f"p_{name}" for name in CHAIN)
@@ -183,17 +217,31 @@ ADDED = tuple(f"p_{name}" for name in CHAIN)
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with a probability for each category of the chain."""
-    words, models = fit(docs, labels)
+    known, models = fit(docs, labels)
     names = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     if not models:
         return rows.select("*", *[F.lit(0.0).alias(c) for c in ADDED])
+    width = len(known)
+    first, tails = [w[0] for w in models], [w[width + 1 :] for w in models]
+    weights = np.stack([w[1 : width + 1] for w in models], axis=1).astype(np.float32)
+
+    def margins(texts: list[str | None]) -> list[np.ndarray]:
+        words = Words()
+        sizes, numbers, times = words.of(texts)
+        many, hashes = words.units()
+        place = np.searchsorted(known, hashes).clip(0, max(width - 1, 0))
+        says = np.where((known[place] == hashes)[:, None], weights[place], 0) if width else np.zeros((len(hashes), len(models)))
+        x = SparseRows(sizes, numbers, times, len(words))
+        unit_of = np.repeat(np.arange(len(words)), many)
+        return [first[i] + x.times(np.bincount(unit_of, says[:, i], len(words))) for i in range(len(models))]
 
     def predict(batches):
-        counts = counter(words)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            found = chain_scores(models, counts(texts.to_pylist()))
+            if not batch.num_rows:
+                continue
+            parts = slices(batch.column(batch.schema.get_field_index("text")))
+            found = np.concatenate([_chained(margins(part.to_pylist()), tails) for part in parts])
             yield pa.record_batch(
                 [*batch.columns, *[pa.array(found[:, i]) for i in range(len(ADDED))]],
                 names=[*batch.schema.names, *ADDED],

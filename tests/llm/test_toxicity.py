@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from catalake.llm.toxicity import ADDED, chain_scores, counter, fit_chain, score, without_toxic
 from tests.llm.corpora import SCHEMA, prose, rows
@@ -69,3 +70,18 @@ def test_chain_feeds_earlier_probabilities():
     models = fit_chain(counts, np.stack([first, second], axis=1), np.arange(400))
     assert len(models[1]) == len(models[0]) + 1
     assert ((chain_scores(models, counts) >= 0.5) == np.stack([first, second], axis=1)).mean() > 0.95
+
+
+@pytest.mark.parametrize("folder, toxic, least", [("sf0.001", 11, 11), ("sf0.01", 51, 50)])
+def test_recall_with_few_labels(spark, folder, toxic, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = {r["doc_id"]: r["p_toxic"] >= 0.5 for r in score(docs.select("doc_id", "text"), labels).collect()}
+    known = [(r["toxic"], found[r["doc_id"]]) for r in labels.collect() if r["doc_id"] in found]
+    assert sum(t for t, _ in known) == toxic
+    assert sum(t and f for t, f in known) >= least and sum(f and not t for t, f in known) <= 1
+
+
+def test_labels_of_one_class_give_a_warning(spark):
+    docs = spark.createDataFrame([(1, "you idiot moron")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="1 toxic and 0 other"):
+        assert without_toxic(docs, spark.createDataFrame([(1, 1, 1)], LABELS)).count() == 1
