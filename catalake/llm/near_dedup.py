@@ -150,7 +150,8 @@ def _alike(n: str, m: str, percent: int):
 def _within_cells(percent: int, rows: int):
     """Pairs of each cell that agree often enough, are in different groups and meet in no earlier band.
 
-    Rows come sorted by cell: key, x, y, band, id, n, label, block, signature.
+    Bands are compared by their 64-bit keys, those of the buckets: a band whose short values agree need not be shared.
+    Rows come sorted by cell: key, x, y, band, id, n, label, block, signature, keys.
     """
     least, bands = _least_agreement(percent), VALUES // rows
 
@@ -158,6 +159,8 @@ def _within_cells(percent: int, rows: int):
         x, y, band = (cell.column(c)[0].as_py() for c in ("x", "y", "band"))
         ids, n, label, block = (cell.column(c).to_numpy() for c in ("id", "n", "label", "block"))
         s = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint8).reshape(-1, VALUES)
+        # the keys of this band and of those before it, one row for each class
+        keys = cell.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, bands)[:, : band + 1]
         for i in range(len(ids) - 1):
             apart = label[i + 1 :] != label[i]
             apart &= np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent
@@ -166,9 +169,8 @@ def _within_cells(percent: int, rows: int):
             other = np.flatnonzero(apart) + i + 1
             if not len(other):
                 continue
-            same = s[other] == s[i]
-            first = same[:, : bands * rows].reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == band
-            for j in other[(same.sum(axis=1) >= least) & first].tolist():
+            other = other[(s[other] == s[i]).sum(axis=1) >= least]
+            for j in other[(keys[other] == keys[i]).argmax(axis=1) == band].tolist():
                 yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(batches):
@@ -223,10 +225,10 @@ def _links(sketches: DataFrame, texts: DataFrame, percent: int, width: int, rows
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
     cells = (
         placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .join(sketches.select("id", "signature"), "id")
+        .join(sketches.select("id", "signature", "keys"), "id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "band", "id", "n",
-                "label", "block", "signature")
+                "label", "block", "signature", "keys")
         .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     )
     pairs = cells.mapInArrow(_within_cells(percent, rows), "a long, b long")

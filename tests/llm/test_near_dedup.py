@@ -6,7 +6,9 @@ import pyarrow as pa
 import pytest
 
 from catalake.llm.components import components
-from catalake.llm.near_dedup import VALUES, band_rows, near_duplicates, signature, without_near_duplicates
+from catalake.llm.near_dedup import (
+    VALUES, _within_cells, band_rows, near_duplicates, signature, without_near_duplicates,
+)
 from catalake.llm.wordsets import shingle_sets
 from tests.llm.corpora import SCHEMA, family_corpus, rows
 
@@ -72,3 +74,19 @@ def test_components_of_chains_and_stars(spark):
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert found == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} | {300: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_first_shared_band_is_found_on_whole_keys():
+    """Band 0 agrees in the short values only, so the pair meets in the bucket of band 1."""
+    length = band_rows(80)
+    bands = VALUES // length
+    keys = [[10 * k, *range(1, bands)] for k in (1, 2)]
+    cell = pa.table({
+        "key": [1, 1], "x": [0, 0], "y": [0, 0], "band": [1, 1], "id": [5, 3], "n": [9, 9], "label": [5, 3],
+        "block": [0, 0], "signature": pa.array([bytes(VALUES)] * 2, pa.binary()),
+        "keys": pa.array(keys, pa.list_(pa.int64())),
+    })
+    found = [p for b in _within_cells(80, length)(cell.to_batches()) for p in b.to_pylist()]
+    assert found == [{"a": 3, "b": 5}]
+    later = cell.set_column(3, "band", pa.array([2, 2]))
+    assert not list(_within_cells(80, length)(later.to_batches()))
