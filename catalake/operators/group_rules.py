@@ -248,6 +248,30 @@ def group_members(products: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame
     )
 
 
+def group_categories(products: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """Every category of every mixed group: (product_group_id, category_key, shown, n, first_row).
+
+    ``shown`` is the category as written in the first of its ``n`` rows.
+    """
+    rows = products.where((F.col("product_group_id") != "") & (F.col("category") != ""))
+    group = [*_scope(products), "product_group_id"]
+    parts = rows.groupBy(*group, keys.category_key(F.col("category"), vocab).alias("category_key")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("row_index", F.col("category").alias("shown"))).alias("first")
+    )
+    mixed = parts.groupBy(*group).agg(F.count(F.lit(1)).alias("n_keys")).where("n_keys > 1").drop("n_keys")
+    return salted_join(parts, mixed, group, "category_key").select(
+        *group, "category_key", F.col("first.shown").alias("shown"), "n", _row_number(F.col("first.row_index")).alias("first_row")
+    )
+
+
+def group_category_members(products: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """The rows of every category of every mixed group: (product_group_id, category_key, row_number, product_id)."""
+    return flagged(products, vocab, (MIXED_CATEGORIES,)).select(
+        *_scope(products), "product_group_id", F.col("a").alias("category_key"),
+        _row_number(F.col("row_index")).alias("row_number"), "product_id",
+    )
+
+
 # --- price against the median of its category ---
 
 MIN_PRICES = 5

@@ -389,6 +389,23 @@ def _group_members(spark, sf_dir):
     return group_rules.group_members(products(spark, sf_dir), v.DEFAULT)
 
 
+@query("group_categories", """
+SELECT product_group_id, cat_key AS category_key, arg_min(category, row_index) AS shown, count(*) AS n,
+  min(row_index) + 2 AS first_row
+FROM v_keyed JOIN v_mixed_groups USING (product_group_id) WHERE cat_key <> '' GROUP BY product_group_id, cat_key
+""")
+def _group_categories(spark, sf_dir):
+    return group_rules.group_categories(products(spark, sf_dir), v.DEFAULT)
+
+
+@query("group_category_members", """
+SELECT product_group_id, cat_key AS category_key, row_index + 2 AS row_number, product_id
+FROM v_keyed JOIN v_mixed_groups USING (product_group_id) WHERE cat_key <> ''
+""")
+def _group_category_members(spark, sf_dir):
+    return group_rules.group_category_members(products(spark, sf_dir), v.DEFAULT)
+
+
 # --- text search and masking ---
 
 

@@ -128,6 +128,21 @@ def test_messages(spark):
     assert found["invalid_category", 1] == "category 'tops' is not one of ['BAG', 'BOTTOM', 'OUTER', 'SHOES', 'TOP']"
 
 
+def test_no_category_of_a_mixed_group_is_lost(spark):
+    shown = ["TOP", "bag", "Odd ", "BAG", "tops", "zebra"]
+    rows = [dict(product_id=f"P{i}", category=c) for i, c in enumerate(shown)]
+    rows += [dict(product_id="Q", product_group_id="G2", category="TOP")]
+    products = catalog(spark, rows)
+    found = group_rules.group_categories(products, DEFAULT).collect()
+    assert {r["product_group_id"] for r in found} == {"G1"}
+    assert sorted((r["shown"].strip(), r["n"], r["first_row"]) for r in found) == [
+        ("Odd", 1, 4), ("TOP", 2, 2), ("bag", 2, 3), ("zebra", 1, 7)]
+    members = group_rules.group_category_members(products, DEFAULT).collect()
+    keys_of = {r["first_row"]: r["category_key"] for r in found}
+    assert sorted((r["row_number"], r["category_key"]) for r in members) == sorted(
+        (row, keys_of[first]) for row, first in [(2, 2), (3, 3), (4, 4), (5, 3), (6, 2), (7, 7)])
+
+
 def test_output_is_linear_in_the_size_of_a_group(spark):
     """One key of 50,000 rows: an issue per row, all of one short length, and the members once in the long table."""
     rows = spark.range(50_000).select(
