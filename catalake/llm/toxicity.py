@@ -3,7 +3,8 @@
 The categories form a chain: insult, contempt, toxic. A linear model per category sees word counts and the probabilities
 of the earlier categories. While fitting, those probabilities come from models that did not see the row (out of fold);
 models fitted to all rows predict. ``labels.toxic`` is the only label given, so the two earlier categories are
-weak labels: the document is toxic and has a word of the category's family.
+weak labels: the document is toxic and has a word of the category's family. Families are an argument; a category without
+a positive row is reported by a warning, as the chain then says nothing about it.
 
 Features are the counts of all words and of all beginnings of words, as 32-bit hashes; no feature has to pass a hurdle, so
 the feature space follows from the labelled texts alone, however few they are. A ridge penalty that is weaker where
@@ -42,7 +43,7 @@ WHOLE = "$"
 FOLDS = 5
 PENALTY = 0.1
 THRESHOLD = 0.5
-# The word families of the two weak categories.
+# The word families of the two weak categories, where the caller gives no others.
 FAMILIES = {
     "insult": ("idiot", "moron", "loser", "clown", "stupid", "fool"),
     "contempt": ("pathetic", "worthless", "disgusting", "trash", "scum", "garbage"),
@@ -171,7 +172,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int,
     return written(sample, "labelled"), of
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+def fit(docs: DataFrame, labels: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES) -> tuple[np.ndarray, list[np.ndarray]]:
     """Hashes of the features in order, and the models of the chain; none without labels of both classes."""
     sample, of = _labelled(docs, labels)
     if not of[0] or not of[1]:
@@ -179,11 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.ndarray
         return np.zeros(0, np.uint32), []
 
     def count(batches):
-        families = [counter([w + WHOLE for w in words]) for words in FAMILIES.values()]
+        counters = [counter([w + WHOLE for w in words]) for words in families.values()]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             units = unit_counts(texts)
-            weak = np.stack([f(texts).sum(axis=1) > 0 for f in families], axis=1)
+            weak = np.stack([f(texts).sum(axis=1) > 0 for f in counters], axis=1)
             yield pa.record_batch(
                 [batch.column(0), batch.column(2), pa.array(weak.tolist(), pa.list_(pa.bool_())),
                  pa.array([c.tobytes() for c, _ in units], pa.binary()), pa.array([v.tobytes() for _, v in units], pa.binary())],
@@ -207,21 +208,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[np.ndarray
     del cells
     x = SparseRows(sizes, columns, counts, len(known))
     del columns, counts
+    weak = weak * toxic[:, None]
+    for name, found in zip(families, weak.sum(axis=0), strict=True):
+        if not found:
+            warnings.warn(f"category {name} has no positive row: no toxic document holds one of its words", stacklevel=3)
     share = np.array([of[0], of[1]]) / (of[0] + of[1])
     weight = np.where(toxic > 0, share[1] / toxic.mean(), share[0] / (1 - toxic).mean())
-    return known, fit_chain(x, np.concatenate([weak * toxic[:, None], toxic[:, None]], axis=1), ids, weight)
+    return known, fit_chain(x, np.concatenate([weak, toxic[:, None]], axis=1), ids, weight)
 
 
 ADDED = tuple(f"p_{name}" for name in CHAIN)
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with a probability for each category of the chain."""
-    known, models = fit(docs, labels)
-    names = [c for c in docs.columns if c not in ADDED]
+def score(docs: DataFrame, labels: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES) -> DataFrame:
+    """``docs`` with a probability for each category of the chain: ``families`` (name: lower-case words), then toxic."""
+    known, models = fit(docs, labels, families)
+    new = [f"p_{name}" for name in (*families, "toxic")]
+    names = [c for c in docs.columns if c not in new]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     if not models:
-        return rows.select("*", *[F.lit(0.0).alias(c) for c in ADDED])
+        return rows.select("*", *[F.lit(0.0).alias(c) for c in new])
     width = len(known)
     first, tails = [w[0] for w in models], [w[width + 1 :] for w in models]
     weights = np.stack([w[1 : width + 1] for w in models], axis=1).astype(np.float32)
@@ -243,11 +249,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             parts = slices(batch.column(batch.schema.get_field_index("text")))
             found = np.concatenate([_chained(margins(part.to_pylist()), tails) for part in parts])
             yield pa.record_batch(
-                [*batch.columns, *[pa.array(found[:, i]) for i in range(len(ADDED))]],
-                names=[*batch.schema.names, *ADDED],
+                [*batch.columns, *[pa.array(found[:, i]) for i in range(len(new))]],
+                names=[*batch.schema.names, *new],
             )
 
-    added = [T.StructField(c, T.DoubleType()) for c in ADDED]
+    added = [T.StructField(c, T.DoubleType()) for c in new]
     return rows.mapInArrow(predict, T.StructType([*rows.schema.fields, *added]))
 
 

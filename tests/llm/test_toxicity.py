@@ -85,3 +85,14 @@ def test_labels_of_one_class_give_a_warning(spark):
     docs = spark.createDataFrame([(1, "you idiot moron")], "doc_id long, text string")
     with pytest.warns(UserWarning, match="1 toxic and 0 other"):
         assert without_toxic(docs, spark.createDataFrame([(1, 1, 1)], LABELS)).count() == 1
+
+
+def test_families_are_an_argument_and_empty_ones_are_reported(spark):
+    texts = {i: "fine words " + ("blarg" if i % 2 else "other") for i in range(40)}
+    docs = spark.createDataFrame(rows(texts), SCHEMA).select("doc_id", "text")
+    labels = labels_of(spark, {i: i % 2 for i in texts})
+    with pytest.warns(UserWarning, match="category rare has no positive row") as said:
+        found = score(docs, labels, {"rude": ("blarg",), "rare": ("grumf",)})
+    assert ["rude" in str(w.message) for w in said if "category" in str(w.message)] == [False]
+    assert found.columns == ["doc_id", "text", "p_rude", "p_rare", "p_toxic"]
+    assert all((r["p_rude"] > 0.5) == bool(r["doc_id"] % 2) and r["p_rare"] < 0.5 for r in found.collect())
