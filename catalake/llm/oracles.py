@@ -91,3 +91,26 @@ scored AS (
 SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, similarity FROM scored WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
+
+OP13_REPEATS = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT r, p, md5(substr(h, 2 * p + 1, 400)) AS w
+  FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM texts WHERE len(h) >= 400)),
+twice AS (SELECT r, p FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1),
+marked AS (
+  SELECT r, p, CASE WHEN lag(p) OVER (PARTITION BY r ORDER BY p) >= p - 200 THEN 0 ELSE 1 END AS new FROM twice),
+numbered AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM marked),
+runs AS (SELECT r, run, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY r, run),
+edges AS (
+  SELECT r, b AS a, lead(a) OVER (PARTITION BY r ORDER BY a) AS b FROM runs
+  UNION ALL SELECT r, 0, min(a) FROM runs GROUP BY r),
+kept AS (
+  SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS k
+  FROM edges JOIN texts USING (r) GROUP BY r),
+spans AS (SELECT r, count(*) AS n, sum(b - a) AS s FROM runs GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(s, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM texts LEFT JOIN spans USING (r) LEFT JOIN kept USING (r)
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from catalake.llm import ann, chat, decontaminate, line_dedup, oracles, pieces, pii, quality, token_counts, toxicity
 from catalake.llm.near_dedup import near_duplicates
+from catalake.llm.repeats import without_repeats
 from catalake.llm.shared import shared_folder, table, written
 
 TOKENIZERS = corpus_pipeline.TOKENIZERS
@@ -119,6 +120,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 bytes that start twice."""
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""

@@ -83,12 +83,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(data, begin, end), np.searchsorted(begin, offsets)
 
 
+class ByteHashes:
+    """Hashes of spans of some bytes; equal spans have equal hashes wherever they are."""
+
+    def __init__(self, data: np.ndarray):
+        self._sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=self._sums[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        hashes = (self._sums[end] - self._sums[begin]) * _power(_INVERSE, len(self._sums))[begin]
+        return mix(hashes + (end - begin).astype(np.uint64))
+
+
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each span; equal spans have equal hashes wherever they are."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
-    hashes = (sums[end] - sums[begin]) * _power(_INVERSE, len(data) + 1)[begin]
-    return mix(hashes + (end - begin).astype(np.uint64))
+    return ByteHashes(data).of(begin, end)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
