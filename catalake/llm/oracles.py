@@ -114,3 +114,34 @@ SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(s, 0) AS BIGINT) AS n_remov
   CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM texts LEFT JOIN spans USING (r) LEFT JOIN kept USING (r)
 """
+
+OP12_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS sizes(k))),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+many AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM many)),
+cuts AS (
+  SELECT p.lang, p.phrase, p.a, p.cut, x.f AS l, y.f AS r, (1000000::HUGEINT * p.a * p.a) // (x.f::HUGEINT * y.f) AS score
+  FROM parts p JOIN counts x ON x.lang = p.lang AND x.phrase = p.x JOIN counts y ON y.lang = p.lang AND y.phrase = p.y),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_phrases AS (
+  SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM many WHERE k = 3
+  UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM many WHERE k = 3),
+around AS (SELECT lang, phrase, max(a) AS around FROM inner_phrases GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank,
+    b.phrase, b.a, b.l, b.r, CAST(t.n AS BIGINT) AS n, CAST(b.score AS BIGINT) AS score
+  FROM best b JOIN totals t USING (lang) LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE o.around IS NULL OR 100 * o.around < 50 * b.a)
+SELECT * FROM ranked WHERE rank <= 2000
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from catalake.llm import ann, chat, decontaminate, line_dedup, oracles, pieces, pii, quality, token_counts, toxicity
 from catalake.llm.near_dedup import near_duplicates
+from catalake.llm.phrases import collocations
 from catalake.llm.repeats import without_repeats
 from catalake.llm.shared import shared_folder, table, written
 
@@ -120,6 +121,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest collocations of two and three words of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings of 200 bytes that start twice."""
