@@ -145,3 +145,44 @@ ranked AS (
   WHERE o.around IS NULL OR 100 * o.around < 50 * b.a)
 SELECT * FROM ranked WHERE rank <= 2000
 """
+
+OP11_VARIANTS = r"""
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT i, i, 0 FROM (SELECT unnest(range(0, 256)) AS i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+counted AS (
+  SELECT run, hex(encode(concat(doc_id, ':', run))) AS h, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc
+  FROM counted, crc_table),
+changed AS (
+  SELECT CASE WHEN crc % 97 = 0
+    THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS (
+  SELECT word, n, length(word) AS len, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM v a JOIN holes b ON a.word = b.rest
+  UNION SELECT b.word, a.word, a.n FROM v a JOIN holes b ON a.word = b.rest),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n
+  FROM pairs GROUP BY word),
+known AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form,
+    CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain(word, tip, step) AS (
+  SELECT word, word, 0 FROM known
+  UNION ALL SELECT c.word, k.form, step + 1 FROM chain c JOIN known k ON k.word = c.tip WHERE k.form IS NOT NULL),
+roots AS (SELECT word, arg_max(tip, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN roots USING (word)
+"""

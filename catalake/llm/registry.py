@@ -14,6 +14,7 @@ from catalake.llm.near_dedup import near_duplicates
 from catalake.llm.phrases import collocations
 from catalake.llm.repeats import without_repeats
 from catalake.llm.shared import shared_folder, table, written
+from catalake.llm.variants import variants
 
 TOKENIZERS = corpus_pipeline.TOKENIZERS
 
@@ -121,6 +122,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent words that they may be variants of."""
+    return variants(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest collocations of two and three words of each language."""
