@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from catalake.llm.native import bit_table, may_occur
 from catalake.llm.shared import written
 from catalake.llm.streams import groups
-from catalake.llm.suffixes import common_prefixes, suffix_order
+from catalake.llm.suffixes import suffix_order
 from catalake.llm.wordsets import ByteHashes, pieces
 
 WIDTH = 200
@@ -46,6 +46,9 @@ GRAM = 64
 MEMBERS = 1024
 #: Longs of the bit tables: 2^24 bits each, whatever the input.
 CELLS = 1 << 18
+#: Symbols of a group's text: the end of all, the end of an extent, what all extents share; bytes 0 and 1 are raised.
+_LAST, _CUT, _SHARED = "\0", "\1", "\u0200"
+_RAISED = {0: "\u0100", 1: "\u0101"}
 _PLACE = np.uint64((1 << 40) - 1)
 _ROW = ["doc_id", "mark"]
 _EXTENT = "doc_id long, mark long, at int, size int, lead int, gram long, whole long"
@@ -114,29 +117,32 @@ def repeated_starts(members: list[bytes], leads: list[int], asked: list[bool]) -
     rights = [m[lead + GRAM :] for m, lead in zip(members, leads, strict=True)]
     left = len(commonprefix([min(lefts), max(lefts)]))
     right = len(commonprefix([min(rights), max(rights)]))
-    symbols: list[int] = []
-    begun = []
+    text, begun = [], []
     for member, lead in zip(members, leads, strict=True):
-        begun.append(len(symbols))
-        symbols.extend([b + 2 for b in member[: lead - left]])
-        symbols.append(258)
-        symbols.extend([b + 2 for b in member[lead + GRAM + right :]])
-        symbols.append(1)
-    symbols.append(0)
-    order = suffix_order(symbols)
-    before = common_prefixes(symbols, order)
-    shared = np.zeros(len(symbols), np.int64)
-    shared[order] = np.maximum(before, np.append(before[1:], 0))
+        begun.append(begun[-1] + len(text[-1]) if begun else 0)
+        before, behind = (part.decode("latin-1").translate(_RAISED) for part in (member[: lead - left], member[lead + GRAM + right :]))
+        text.append(f"{before}{_SHARED}{behind}{_CUT}")
+    symbols = "".join(text) + _LAST
+    order = suffix_order(list(map(ord, symbols)))
+    rank = [0] * len(order)
+    for at, i in enumerate(order):
+        rank[i] = at
+    order.append(order[-2])
+
+    def shared_with_neighbours(i: int, needed: int) -> bool:
+        """Whether a neighbour in suffix order begins with the same symbols."""
+        at, mine = rank[i], symbols[i : i + needed]
+        return symbols.startswith(mine, order[at - 1]) or symbols.startswith(mine, order[at + 1])
+
     out = []
     for member, lead, start, wanted in zip(members, leads, begun, asked, strict=True):
-        if not wanted:
-            out.append(np.zeros(0, np.int64))
-            continue
-        window = np.arange(len(member) - WIDTH + 1)
-        merged = lead - left
-        beyond = np.maximum(window + WIDTH - (lead + GRAM + right), 0)
-        needed = np.maximum(merged - window, 0) + 1 + beyond
-        out.append(np.flatnonzero((shared[start + np.minimum(window, merged)] >= needed) | ((window >= merged) & (beyond == 0))))
+        found = []
+        merged, end = lead - left, lead + GRAM + right
+        for window in range(len(member) - WIDTH + 1 if wanted else 0):
+            beyond = max(window + WIDTH - end, 0)
+            if window >= merged and not beyond or shared_with_neighbours(start + min(window, merged), max(merged - window, 0) + 1 + beyond):
+                found.append(window)
+        out.append(np.array(found, np.int64))
     return out
 
 
@@ -148,29 +154,32 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _RUN = "doc_id long, mark long, at int, size int"
+_RUN_TYPES = {"doc_id": pa.int64(), "mark": pa.int64(), "at": pa.int32(), "size": pa.int32()}
+_ROWS = 10_000
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
 
 
 def _decided(batches):
     """Runs of repeated windows, from the extents of whole groups."""
+    out: list[tuple] = []
     for _, parts in groups(batches, "gram"):
         rows = pa.Table.from_batches(parts).to_pydict()
         # equal rows of a table give equal extents, which are known to be repeated
         numbers = list({b: i for i, b in enumerate(rows["bytes"])}.values())
         asked = [rows["times"][i] == 1 for i in numbers]
-        members = [rows["bytes"][i] for i in numbers]
-        found = repeated_starts(members, [rows["lead"][i] for i in numbers], asked)
-        at, size, row = [], [], []
+        found = repeated_starts([rows["bytes"][i] for i in numbers], [rows["lead"][i] for i in numbers], asked)
         for i, starts in zip(numbers, found, strict=True):
             if len(starts):
                 first, sizes = _runs(starts)
-                at.extend((first + rows["at"][i]).tolist())
-                size.extend(sizes.tolist())
-                row.extend([i] * len(first))
-        if row:
-            yield pa.record_batch(
-                [pa.array([rows["doc_id"][i] for i in row], pa.int64()), pa.array([rows["mark"][i] for i in row], pa.int64()),
-                 pa.array(at, pa.int32()), pa.array(size, pa.int32())], names=[*_ROW, "at", "size"],
-            )
+                out += [(rows["doc_id"][i], rows["mark"][i], at + rows["at"][i], size) for at, size in zip(first.tolist(), sizes.tolist(), strict=True)]
+        if len(out) >= _ROWS:
+            yield _batch(out, _RUN_TYPES)
+            out = []
+    if out:
+        yield _batch(out, _RUN_TYPES)
 
 
 def _windows(batches):
@@ -237,18 +246,19 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
 def _cut_out(marked: DataFrame, lists: DataFrame) -> DataFrame:
     """The bytes of wanted extents."""
 
+    types = _RUN_TYPES | {"lead": pa.int32(), "times": pa.int64(), "members": pa.int64(), "gram": pa.int64(), "bytes": pa.binary()}
+    del types["size"]
+
     def cut(batches):
         for batch in batches:
+            rows = []
             for ident, mark, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 data = text.encode()
-                yield pa.record_batch(
-                    [pa.array([ident] * len(wanted), pa.int64()), pa.array([mark] * len(wanted), pa.int64()),
-                     pa.array([w["at"] for w in wanted], pa.int32()), pa.array([w["lead"] for w in wanted], pa.int32()),
-                     pa.array([w["times"] for w in wanted], pa.int64()), pa.array([w["members"] for w in wanted], pa.int64()),
-                     pa.array([w["gram"] for w in wanted], pa.int64()),
-                     pa.array([data[w["at"] : w["at"] + w["size"]] for w in wanted], pa.binary())],
-                    names=[*_ROW, "at", "lead", "times", "members", "gram", "bytes"],
-                )
+                for w in wanted:
+                    whole = data[w["at"] : w["at"] + w["size"]]
+                    rows.append((ident, mark, w["at"], w["lead"], w["times"], w["members"], w["gram"], whole))
+            if rows:
+                yield _batch(rows, types)
 
     both = marked.join(lists, _same_row(marked, lists)).select(marked["doc_id"], marked["mark"], "text", "wanted")
     return both.mapInArrow(
@@ -256,13 +266,15 @@ def _cut_out(marked: DataFrame, lists: DataFrame) -> DataFrame:
     )
 
 
-def _kept(data: np.ndarray, runs: list[dict]) -> tuple[np.ndarray, int]:
+def _kept(data: bytes, runs: list[dict]) -> tuple[bytes, int]:
     """The bytes that no run covers, and how many maximal runs go."""
-    edge = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edge, [r["at"] for r in runs], 1)
-    np.add.at(edge, [r["at"] + r["size"] for r in runs], -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    return data[~gone], int((np.diff(gone, prepend=False) & gone).sum())
+    kept, spans, end = [], 0, -1
+    for at, size in sorted((r["at"], r["size"]) for r in runs):
+        if at > end:
+            kept.append(data[max(end, 0) : at])
+            spans += 1
+        end = max(end, at + size)
+    return b"".join([*kept, data[end:]]), spans
 
 
 def without_repeats(docs: DataFrame, members: int = MEMBERS) -> DataFrame:
@@ -275,18 +287,18 @@ def without_repeats(docs: DataFrame, members: int = MEMBERS) -> DataFrame:
     joined = touched.join(runs, _same_row(touched, runs), "left").select(touched["doc_id"], "text", "runs")
     whole = marked.filter(~maybe).select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
 
+    types = {"doc_id": pa.int64(), "kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(),
+             "kept_sha256": pa.string()}
+
     def cut(batches):
         for batch in batches:
+            rows = []
             for ident, text, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                data = np.frombuffer(text.encode(), np.uint8)
+                data = text.encode()
                 left, spans = _kept(data, runs) if runs else (data, 0)
-                left = left.tobytes()
-                yield pa.record_batch(
-                    [pa.array([ident], pa.int64()), pa.array([left], pa.binary()), pa.array([len(data)], pa.int64()),
-                     pa.array([len(data) - len(left)], pa.int64()), pa.array([spans], pa.int64()),
-                     pa.array([hashlib.sha256(left).hexdigest()])],
-                    names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-                )
+                rows.append((ident, left, len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest()))
+            if rows:
+                yield _batch(rows, types)
 
     return joined.union(whole).mapInArrow(
         cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -31,7 +31,25 @@ def _lyndon_groups(order: list[int], place: list[int], group: list[int], size: l
     smaller = [-1] * len(order)
     end = len(order)
     while end:
-        start = group[order[end - 1]]
+        i = order[end - 1]
+        start = group[i]
+        if end - start == 1:
+            p = i - 1
+            while p >= 0 and group[p] >= start:
+                p = smaller[p]
+            smaller[i] = p
+            if p >= 0:
+                # p goes to the top of its group, as a group of its own
+                g = group[p]
+                last = g + size[g] - 1
+                if last > g:
+                    other, here = order[last], place[p]
+                    order[here], place[other] = other, here
+                    order[last], place[p], group[p] = p, last, last
+                    size[g] -= 1
+                    size[last] = 1
+            end = start
+            continue
         pointed: dict[int, int] = {}
         for i in sorted(order[start:end]):
             p = i - 1
@@ -74,25 +92,3 @@ def _placed(n: int, group: list[int], smaller: list[int]) -> list[int]:
             done[p] = 1
             p = smaller[p]
     return out
-
-
-def common_prefixes(symbols: list[int], order: list[int]) -> list[int]:
-    """For each suffix in order, how many first symbols it shares with the one before; 0 for the first."""
-    n = len(symbols)
-    rank, out = [0] * n, [0] * n
-    for at, i in enumerate(order):
-        rank[i] = at
-    same = 0
-    for i in range(n):
-        at = rank[i]
-        if not at:
-            same = 0
-            continue
-        j = order[at - 1]
-        most = n - max(i, j)
-        while same < most and symbols[i + same] == symbols[j + same]:
-            same += 1
-        out[at] = same
-        if same:
-            same -= 1
-    return out
