@@ -6,12 +6,13 @@ models fitted to all rows predict. ``labels.toxic`` is the only label given, so
 weak labels: the document is toxic and has a word of the category's family. Families are an argument; a category without
 a positive row is reported by a warning, as the chain then says nothing about it.
 
-Features are the counts of all words and of all beginnings of words, as 32-bit hashes; no feature has to pass a hurdle, so
-the feature space follows from the labelled texts alone, however few they are. A ridge penalty that is weaker where
-presence tells the classes apart does the selection. Fitting takes at most ``SAMPLE`` labelled documents: all of the
-rarer class (up to half of SAMPLE), the others of the lowest id hash, weighted so that the classes keep their shares.
-The driver holds eight bytes, and about four times that while fitting, for each distinct feature of each of them. Every
-document is then scored on its whole text, in one pass without a shuffle.
+Features are the counts of all words and of all beginnings of words, hashed into ``CELLS`` columns; no feature has to pass a
+hurdle, however few labels there are. A ridge penalty that is weaker where presence tells the classes apart does the
+selection. Fitting takes at most ``SAMPLE`` labelled documents: all of the rarer class (up to half of SAMPLE), the others of
+the lowest id hash, weighted so that the classes keep their shares. What the driver holds is bounded by SAMPLE and CELLS: eight
+bytes, and about four times that while fitting, for each column that occurs in each of these documents, and one weight
+for each column and category. Every document is then scored on its whole text, in one pass without a shuffle; the table
+of weights (CELLS floats a category) is broadcast.
 
 Defined results: a null or empty text scores as a text without feature words; label rows with a null in id or label are
 not used, several labels of one id count as the highest; with no usable label, or usable labels of one class only, nothing
@@ -36,7 +37,9 @@ from catalake.llm.linear import SparseRows, fit_sparse, folds_of, sigmoid
 from catalake.llm.shared import written
 from catalake.llm.wordsets import slices
 
-SAMPLE = 20_000
+SAMPLE = 6_000
+#: Columns that features are hashed into.
+CELLS = 1 << 20
 #: Lengths of word beginnings that serve as features, and the mark of a whole word.
 STEMS = (4, 5, 6)
 WHOLE = "$"
@@ -70,23 +73,23 @@ class Words(dict):
         return np.array(sizes, np.int64), np.array(numbers, np.int64), np.log1p(np.array(times, np.float64))
 
     def units(self) -> tuple[np.ndarray, np.ndarray]:
-        """How many features each word has, and their hashes."""
+        """How many features each word has, and their columns."""
         units = [[zlib.crc32((w + WHOLE).encode()), *[zlib.crc32(w[:n].encode()) for n in STEMS if len(w) > n]] for w in self]
-        return np.array([len(u) for u in units], np.int64), np.array([h for u in units for h in u], np.uint32)
+        return np.array([len(u) for u in units], np.int64), np.array([h % CELLS for u in units for h in u], np.int32)
 
 
 def unit_counts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text, the hashes of its features in order, and their counts (sums over words, on a log scale)."""
+    """For each text, the columns of its features in order, and their counts (sums over words, on a log scale)."""
     words = Words()
     sizes, numbers, times = words.of(texts)
-    many, hashes = words.units()
+    many, columns = words.units()
     starts = np.cumsum(many) - many
     out, at = [], 0
     for size in sizes.tolist():
         here, count = numbers[at : at + size], times[at : at + size]
         runs = many[here]
         places = np.repeat(starts[here] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
-        cells, where = np.unique(hashes[places], return_inverse=True)
+        cells, where = np.unique(columns[places], return_inverse=True)
         out.append((cells, np.bincount(where, np.repeat(count, runs), len(cells)).astype(np.float32)))
         at += size
     return out
@@ -173,11 +176,11 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Hashes of the features in order, and the models of the chain; none without labels of both classes."""
+    """Columns of the features in order, and the models of the chain; none without labels of both classes."""
     sample, of = _labelled(docs, labels)
     if not of[0] or not of[1]:
         warnings.warn(f"no toxicity model: {of[1]} toxic and {of[0]} other labelled documents", stacklevel=3)
-        return np.zeros(0, np.uint32), []
+        return np.zeros(0, np.int32), []
 
     def count(batches):
         counters = [counter([w + WHOLE for w in words]) for words in families.values()]
@@ -200,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, families: dict[str, tuple[str, ...]]
     toxic = np.array([r["toxic"] for r in rows], float)
     weak = np.array([r["weak"] for r in rows], float).reshape(len(rows), -1)
     sizes = np.array([len(r["cells"]) // 4 for r in rows], np.int64)
-    cells = np.frombuffer(b"".join(r["cells"] for r in rows), np.uint32)
+    cells = np.frombuffer(b"".join(r["cells"] for r in rows), np.int32)
     counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.float32)
     del rows
     known = np.unique(cells)
@@ -230,14 +233,16 @@ def score(docs: DataFrame, labels: DataFrame, families: dict[str, tuple[str, ...
         return rows.select("*", *[F.lit(0.0).alias(c) for c in new])
     width = len(known)
     first, tails = [w[0] for w in models], [w[width + 1 :] for w in models]
-    weights = np.stack([w[1 : width + 1] for w in models], axis=1).astype(np.float32)
+    weights = np.zeros((CELLS, len(models)), np.float32)
+    weights[known] = np.stack([w[1 : width + 1] for w in models], axis=1)
+    # CELLS floats a category, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def margins(texts: list[str | None]) -> list[np.ndarray]:
         words = Words()
         sizes, numbers, times = words.of(texts)
-        many, hashes = words.units()
-        place = np.searchsorted(known, hashes).clip(0, max(width - 1, 0))
-        says = np.where((known[place] == hashes)[:, None], weights[place], 0) if width else np.zeros((len(hashes), len(models)))
+        many, columns = words.units()
+        says = sent.value[columns]
         x = SparseRows(sizes, numbers, times, len(words))
         unit_of = np.repeat(np.arange(len(words)), many)
         return [first[i] + x.times(np.bincount(unit_of, says[:, i], len(words))) for i in range(len(models))]
