@@ -135,34 +135,35 @@ def _canonical(item: str) -> Column:
     return F.when(F.col(item).isNull(), F.lit("none")).otherwise(F.concat_ws("|", *fields))
 
 
-def preview_hash(items: DataFrame, target: str = "after", current: str = "before") -> DataFrame:
-    """(load_run_id, supplier_key, preview_hash): changes when any target or current product of the batch does.
+def lane_sums(items: DataFrame, target: str, current: str, keys: list[str]) -> DataFrame:
+    """Per batch, the number of products and the sums of eight lanes of 32 bits of their digests.
 
-    Product digests are added lane by lane (eight lanes of 32 bits), which is independent of order and combines in
-    partial aggregates; the digest of the sums is the hash. No list of products is built.
+    Sums don't depend on order and add up over parts of a batch.
     """
     digest = F.sha2(F.concat_ws("\n", _canonical(target), _canonical(current)), 256)
-    lanes = [
-        F.sum(F.conv(F.substr(F.col("_digest"), F.lit(8 * i + 1), F.lit(8)), 16, 10).cast("decimal(20,0)")).cast("string")
-        for i in range(8)
-    ]
-    return (
-        items.withColumn("_digest", digest)
-        .groupBy("load_run_id", "supplier_key")
-        .agg(F.count(F.lit(1)).cast("string").alias("_n"), *[lane.alias(f"_lane{i}") for i, lane in enumerate(lanes)])
-        .select(
-            "load_run_id", "supplier_key",
-            F.sha2(
-                F.concat_ws(
-                    "|", F.lit(PREVIEW_VERSION), F.lit(INSPECTION_VERSION), F.col("load_run_id").cast("string"),
-                    "supplier_key", "_n", *[f"_lane{i}" for i in range(8)],
-                ),
-                256,
-            ).alias("preview_hash"),
-        )
+    lane = lambda i: F.conv(F.substr(F.col("_digest"), F.lit(8 * i + 1), F.lit(8)), 16, 10).cast("decimal(20,0)")
+    return items.withColumn("_digest", digest).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(lane(i)).alias(f"_lane{i}") for i in range(8)]
     )
 
 
+def hash_of_lanes(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` (with load_run_id and supplier_key) and the preview hash of each."""
+    text = [F.col(c).cast("string") for c in ("load_run_id", "supplier_key", "_n", *[f"_lane{i}" for i in range(8)])]
+    return sums.select(
+        *keys, F.sha2(F.concat_ws("|", F.lit(PREVIEW_VERSION), F.lit(INSPECTION_VERSION), *text), 256).alias("preview_hash")
+    )
+
+
+def preview_hash(items: DataFrame, target: str = "after", current: str = "before") -> DataFrame:
+    """(load_run_id, supplier_key, preview_hash): changes when any target or current product of the batch does.
+
+    The digest of the lane sums is the hash: it combines in partial aggregates and no list of products is built.
+    """
+    keys = ["load_run_id", "supplier_key"]
+    return hash_of_lanes(lane_sums(items, target, current, keys), keys)
+
+
 def eligibility(batches: DataFrame, staging: DataFrame, error_counts: DataFrame) -> DataFrame:
     """(id, staged_rows, reasons, eligible) per batch.
 
@@ -192,7 +193,8 @@ def outcomes(eligible: DataFrame, hashes: DataFrame, requests: DataFrame, succee
     """Resolve promotion requests (id, expected_hash).
 
     An earlier success is returned as it is; else a batch with reasons is blocked; else a hash that no longer matches
-    blocks as stale; else the request goes ahead.
+    blocks as stale, as does a request without a hash; else the request goes ahead. All are judged against one catalog;
+    ``promotion_order.run_in_order`` carries out requests one after the other.
     """
     joined = (
         requests.join(succeeded.select("id", F.lit(True).alias("done")).distinct(), "id", "left")
@@ -201,7 +203,7 @@ def outcomes(eligible: DataFrame, hashes: DataFrame, requests: DataFrame, succee
     )
     done = F.coalesce("done", F.lit(False))
     blocked = ~F.coalesce("eligible", F.lit(False)) | F.col("preview_hash").isNull()
-    stale = F.col("expected_hash") != F.col("preview_hash")
+    stale = ~F.col("expected_hash").eqNullSafe(F.col("preview_hash"))
     return joined.select(
         "id",
         F.when(done, F.lit("succeeded")).when(blocked | stale, F.lit("blocked")).otherwise(F.lit("succeeded")).alias("status"),
@@ -212,10 +214,13 @@ def outcomes(eligible: DataFrame, hashes: DataFrame, requests: DataFrame, succee
 
 
 def applicable(items: DataFrame, ready: DataFrame) -> DataFrame:
-    """What the batches of ``ready`` (load_run_id) change, once per product: as the newest of them has it."""
-    chosen = items.where(F.col("action") != "unchanged").join(ready.select("load_run_id").distinct(), "load_run_id", "left_semi")
+    """What the batches of ``ready`` (load_run_id) change, once per product: as the newest of them has it.
+
+    A newest batch that agrees with the catalog keeps the product as it is, whatever older batches say.
+    """
+    chosen = items.join(ready.select("load_run_id").distinct(), "load_run_id", "left_semi")
     newest = chosen.groupBy(*IDENTITY).agg(F.max("load_run_id").alias("load_run_id"))
-    return chosen.join(newest, [*IDENTITY, "load_run_id"], "left_semi")
+    return chosen.join(newest, [*IDENTITY, "load_run_id"], "left_semi").where(F.col("action") != "unchanged")
 
 
 def run_promotions(items: DataFrame, outcome: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -324,6 +324,16 @@ CATALOG = Fixture("part", (
     ("source_load_run_id", "CAST(0 AS BIGINT)"),
 ), "p_partkey % 5 <> 0")
 
+# Products in lots of a supplier, for batches that share products (see order_queries).
+LOTS = Fixture("part", (
+    ("k", "p_partkey"),
+    ("s", "p_partkey % 3"),
+    ("lot", f"{div('p_partkey', 3)} % 6"),
+    ("supplier_key", f"'S' || {text('p_partkey % 3')}"),
+    ("external_product_id", f"'P' || {text('p_partkey')}"),
+    *_item("catalog"),
+))
+
 BATCHES = Fixture("supplier", (
     ("id", "s_suppkey"),
     ("profile_name", f"'Brand#' || {text('s_suppkey')}"),
@@ -393,7 +403,7 @@ FIXTURES = {
     "fx_products": PRODUCTS, "fx_order_products": ORDER_PRODUCTS, "fx_tidy_products": TIDY_PRODUCTS,
     "fx_feed_a": FEED_A, "fx_feed_b": FEED_B,
     "fx_load_runs": LOAD_RUNS, "fx_inspection_runs": INSPECTION_RUNS, "fx_inspection_results": INSPECTION_RESULTS,
-    "fx_staging": STAGING, "fx_catalog": CATALOG, "fx_batches": BATCHES,
+    "fx_staging": STAGING, "fx_catalog": CATALOG, "fx_batches": BATCHES, "fx_lots": LOTS,
     "fx_promotion_runs": PROMOTION_RUNS, "fx_rollback_runs": ROLLBACK_RUNS,
     "fx_attempts": ATTEMPTS, "fx_paths": PATHS,
 }
