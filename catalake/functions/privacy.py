@@ -195,6 +195,11 @@ def _account_walk(text: Column) -> Column:
     return F.aggregate(_cuts(text, ACCOUNT), start, step)
 
 
+def may_hold_numbers(text: Column) -> Column:
+    """Enough digits for the shortest phone number; every number that is searched for has that many."""
+    return text.rlike(r"(?U)\d(?:\D*\d){8}")
+
+
 def _may_hold_account(text: Column, vocab: Vocabulary, flat: Column | None = None) -> Column:
     """An account-shaped number and a word that speaks of accounts."""
     context = (

@@ -1,11 +1,11 @@
 """Inspection rules that compare products with each other.
 
-All of them but the price rule go one way, whatever the size of a group. One projection derives the keys of every rule
-and gives a row per product and rule; a partial aggregate per key says which keys break their rule; a salted join brings
-those back to their rows. Two rules need more than totals of the key: for them, rows are counted per part of the key
-(id, content, color, size), again by aggregates that come back with a salted join. No rule forms pairs of rows and no
-list of members is gathered: an issue names its key, the number of rows and the first row, and ``group_members`` has
-the members as a table.
+All of them but the price rule go one way, whatever the size of a group. One projection gives each product its cells: for
+every rule it takes part in, the key, and for two rules also the parts of the key by which rows are told apart (id, content,
+color, size). A cell is named by 128 bits of hash, so neither keys nor parts travel. One partial aggregate counts all cells
+of all rules; cells of one row say nothing and are dropped; one salted join brings the others back to their rows, and one
+aggregate per row and rule decides. No rule forms pairs of rows and no list of members is gathered: an issue names its key,
+the number of rows and the first row, and ``group_members`` has the members as a table.
 """
 
 from __future__ import annotations
@@ -59,135 +59,160 @@ def _row_number(row_index: Column) -> Column:
     return row_index + FIRST_ROW_NUMBER
 
 
-def _entries(products: DataFrame, vocab: Vocabulary, names: Iterable[str]) -> DataFrame:
-    """A row per product and rule it takes part in: the key and the values compared within the key.
+# What a cell counts: all rows of a key, or those of a key and an id, a content, ...
+_ALL, _ID, _CONTENT, _BOTH, _OPTION, _COLOR, _SIZE = range(7)
+_CODES = {rule.name: rule.position for rule in GROUP_RULES}
+# No color or no size (where the rule asks); a part of a color without size, or of a size without color.
+_FLAGS = ("no_color", "no_size", "bare")
 
-    ``a`` is the value that must not vary (or, for names, the group); ``i``, ``c`` and ``s`` are the parts by which
-    rows of equal variants (id and content) and equal names (id, color and size) are told apart.
+
+def _cells(products: DataFrame, vocab: Vocabulary, names: Iterable[str]) -> DataFrame:
+    """The cells of every product: code of the rule, kind, hashes, flags, and ``who``.
+
+    ``who`` is the row's key and what an issue shows of it, with the value ``a`` that must not vary in the key; only cells
+    of whole keys have it.
     """
     c = F.col
     none = F.lit(None).cast("string")
     filled = lambda *fields: [c(field) != "" for field in fields]
 
-    def entry(rule: str, key: list[Column], *when: Column, a: Column = none, i: Column = none, p: Column = none,
-              s: Column = none) -> Column:
+    def cell(rule: str, kind: int, values: list[Column], who: Column, *flags: Column) -> Column:
+        named = [F.lit(_CODES[rule]), F.lit(kind), *values]
+        return F.struct(
+            F.lit(_CODES[rule]).alias("code"), F.lit(kind).alias("kind"), F.xxhash64(*named).alias("h1"),
+            F.xxhash64(F.lit("2"), *named).alias("h2"), *[flag.alias(n) for n, flag in zip(_FLAGS, flags, strict=True)], who.alias("who"),
+        )
+
+    def of_rule(rule: str, key: list[Column], *when: Column, a: Column = none, i: Column = none, p: Column = none,
+                s: Column = none, parts: Iterable[tuple] = ()) -> Column:
         test = F.lit(True)
         for condition in when:
             test = test & condition
-        made = F.struct(F.lit(rule).alias("rule"), F.array(*key).alias("key"), a.alias("a"), i.alias("i"), p.alias("c"), s.alias("s"))
-        return F.when(test, made)
-
-    system = keys.size_system(c("size"), vocab)
+        who = F.struct(
+            F.array(*key).alias("key"), a.alias("a"), i.alias("i"), c("product_id"), c("product_group_id"), c("product_name"),
+        )
+        lacks = [F.coalesce(p == "", F.lit(False)), F.coalesce(s == "", F.lit(False))]
+        made = [cell(rule, _ALL, key, who, *lacks, F.lit(False))]
+        for kind, values, bare, known in parts:
+            made.append(F.when(known, cell(rule, kind, [*key, *values], F.lit(None), *lacks, bare)))
+        return F.when(test, F.array(*made)).otherwise(F.array())
+
+    # every key is derived once, below the projection that puts the cells together
+    derived = products.withColumns({
+        "_content": keys.content_key(vocab), "_name": keys.name_key(c("product_name")), "_category": keys.category_key(c("category"), vocab),
+        "_color": keys.color_key(c("color"), vocab), "_size": keys.variant_size_key(c("category"), c("size"), vocab),
+        "_system": keys.size_system(c("size"), vocab), "_id": keys.option_key(c("product_id")), "_group": keys.option_key(c("product_group_id")),
+        "_c": keys.option_key(c("color")), "_s": keys.option_key(c("size")),
+    })
     has_size = (c("size") != "") | c("category").isin(*vocab.size_optional)
+    always, never, known = F.lit(True), F.lit(False), c("_content").isNotNull()
     made = {
-        SAME_ID: lambda: entry(SAME_ID, [c("product_id")], *filled("product_id")),
-        MIXED_CATEGORIES: lambda: entry(
-            MIXED_CATEGORIES, [c("product_group_id")], *filled("product_group_id", "category"),
-            a=keys.category_key(c("category"), vocab),
+        SAME_ID: lambda: of_rule(SAME_ID, [c("product_id")], *filled("product_id")),
+        MIXED_CATEGORIES: lambda: of_rule(
+            MIXED_CATEGORIES, [c("product_group_id")], *filled("product_group_id", "category"), a=c("_category"),
         ),
-        MIXED_SIZES: lambda: entry(
-            MIXED_SIZES, [c("product_group_id")], *filled("product_group_id", "size"), system.isNotNull(), a=system
+        MIXED_SIZES: lambda: of_rule(
+            MIXED_SIZES, [c("product_group_id")], *filled("product_group_id", "size"), c("_system").isNotNull(), a=c("_system")
         ),
-        SAME_VARIANT: lambda: entry(
-            SAME_VARIANT,
-            [c("product_group_id"), keys.color_key(c("color"), vocab), keys.variant_size_key(c("category"), c("size"), vocab)],
-            *filled("product_group_id", "product_id", "color"), has_size,
-            a=c("product_id"), i=c("product_id"), p=c("_content"),
+        SAME_VARIANT: lambda: of_rule(
+            SAME_VARIANT, [c("product_group_id"), c("_color"), c("_size")],
+            *filled("product_group_id", "product_id", "color"), has_size, a=c("product_id"),
+            parts=[(_ID, [c("product_id")], never, always), (_CONTENT, [c("_content")], never, known),
+                   (_BOTH, [c("product_id"), c("_content")], never, known)],
         ),
-        SAME_NAME: lambda: entry(
-            SAME_NAME, [keys.name_key(c("product_name"))], keys.has_name_key(c("product_name")),
-            a=keys.option_key(c("product_group_id")), i=keys.option_key(c("product_id")),
-            p=keys.option_key(c("color")), s=keys.option_key(c("size")),
+        SAME_NAME: lambda: of_rule(
+            SAME_NAME, [c("_name")], c("_name") != "", a=c("_group"), i=c("_id"), p=c("_c"), s=c("_s"),
+            parts=[(_ID, [c("_id")], never, always), (_OPTION, [c("_c"), c("_s")], never, always),
+                   (_COLOR, [c("_c")], c("_s") == "", always), (_SIZE, [c("_s")], c("_c") == "", always)],
         ),
-        SAME_CONTENT: lambda: entry(SAME_CONTENT, [c("_content")], c("_content").isNotNull()),
+        SAME_CONTENT: lambda: of_rule(SAME_CONTENT, [c("_content")], known),
     }
-    shown = [*_scope(products), "row_index", "product_id", "product_group_id", "product_name"]
-    derived = products.withColumn("_content", keys.content_key(vocab))
-    listed = F.array_compact(F.array(*[made[name]() for name in names]))
-    return derived.select(*shown, F.explode(listed).alias("entry")).select(*shown, "entry.*")
-
-
-def _broken(entries: DataFrame, key: list[str]) -> DataFrame:
-    """The keys that break their rule, with totals."""
-    is_name = F.col("rule") == SAME_NAME
-    no_color, no_size = is_name & (F.col("c") == ""), is_name & (F.col("s") == "")
-    totals = entries.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("a").alias("low"), F.max("a").alias("high"), F.min("i").alias("low_id"),
-        F.min(F.struct("row_index", "product_id", "product_group_id")).alias("first"),
+    listed = F.array_compact(F.concat(*[made[name]() for name in names]))
+    return derived.select(*_scope(products), "row_index", F.explode(listed).alias("cell")).select(*_scope(products), "row_index", "cell.*")
+
+
+def _counted(cells: DataFrame, key: list[str]) -> DataFrame:
+    """Cells of more than one row, with their totals: numbers only, so that they are hashed and never sorted."""
+    no_color, no_size, value = F.col("no_color"), F.col("no_size"), F.xxhash64("who.a")
+    return cells.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("bare").alias("n_bare_part"), F.min("row_index").alias("first_row"),
+        (F.min(value) != F.max(value)).alias("varies"),
+        F.count_if((F.col("who.a") == "") | (F.col("who.i") == "")).alias("n_blank"),
         F.count_if(no_color).alias("n_no_color"), F.count_if(no_size).alias("n_no_size"),
         F.count_if(no_color & no_size).alias("n_bare"),
-    )
-    varies = F.col("low") != F.col("high")
-    # In a bucket of equal names that spans several groups, or has a blank group or id, or a row without color and
-    # size, every row has a partner that is not merely another option of the same product.
-    every = varies | (F.col("low") == "") | (F.col("low_id") == "") | (F.col("n_bare") > 0)
-    broken = F.when(F.col("rule").isin(SAME_ID, SAME_NAME, SAME_CONTENT), F.col("n") > 1).otherwise(varies)
-    sure = F.when(F.col("rule") == SAME_NAME, every).otherwise(F.col("rule") != SAME_VARIANT)
-    return totals.where(broken).withColumn("sure", sure).drop("low_id", "n_bare")
-
-
-def _parts() -> Column:
-    """The parts of its key by which an unsure row is counted: (kind, value, bare)."""
-    def part(kind: str, bare: Column, *value: str) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.array(*value).alias("value"), bare.alias("bare"))
-
-    never = F.lit(False)
-    by_variant = F.array(part("id", never, "i"), part("content", never, "c"), part("both", never, "i", "c"))
-    by_name = F.array(
-        part("id", never, "i"), part("option", never, "c", "s"), part("color", F.col("s") == "", "c"),
-        part("size", F.col("c") == "", "s"),
-    )
-    return F.when(F.col("rule") == SAME_VARIANT, by_variant).otherwise(by_name)
+    ).where("n > 1")
+
+
+def _texts(products: DataFrame, vocab: Vocabulary, names: set[str], key: list[str]) -> DataFrame:
+    """What an issue says of other rows of its key: smallest and largest category, id and group of the first row."""
+    return _cells(products, vocab, sorted(names)).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("who.a").alias("low"), F.max("who.a").alias("high"),
+        F.min(F.struct("row_index", "who.product_id", "who.product_group_id")).alias("first"),
+    ).where("rows > 1").drop("rows")
 
 
 def _weight() -> Column:
-    """What a counted part says of its row: rows it covers (variants) or a partner found (names)."""
-    kind, n = F.col("kind"), F.col("n_part")
-    no_color, no_size = F.col("c") == "", F.col("s") == ""
-    # rows of the same id, and rows of the same content (where it can be compared), less those of both
-    covered = F.when(kind == "id", n).when(F.col("c").isNull(), 0).when(kind == "content", n).otherwise(-n)
+    """What a counted cell says of its row: other rows it covers (variants) or a partner found (names)."""
+    kind, n = F.col("kind"), F.col("n")
+    # rows of the same id, and rows of the same content, less those of both; cells of one row were dropped
+    covered = F.when(kind.isin(_ID, _CONTENT), n - 1).when(kind == _BOTH, 1 - n)
     # A full row meets its twins, rows of its color without size and rows of its size without color. A row without
     # size meets every row of its color (and every row without color); likewise the other way round.
+    no_color, no_size = F.col("no_color"), F.col("no_size")
     meets = (
-        F.when(kind == "id", n > 1)
-        .when(kind == "option", ~no_color & ~no_size & (n > 1))
-        .when(kind == "color", F.when(no_size, n > 1).otherwise(~no_color & (F.col("n_bare_part") > 0)))
-        .otherwise(F.when(no_color, n > 1).otherwise(~no_size & (F.col("n_bare_part") > 0)))
+        F.when(kind == _ID, True)
+        .when(kind == _OPTION, ~no_color & ~no_size)
+        .when(kind == _COLOR, F.when(no_size, True).otherwise(~no_color & (F.col("n_bare_part") > 0)))
+        .when(kind == _SIZE, F.when(no_color, True).otherwise(~no_size & (F.col("n_bare_part") > 0)))
+    )
+    return F.when(F.col("code") == _CODES[SAME_VARIANT], covered).otherwise(meets.cast("bigint"))
+
+
+def _breaks() -> Column:
+    """Whether a row (with the totals of its key and its weight) breaks its rule."""
+    code, weight = F.col("code"), F.coalesce("weight", F.lit(0))
+    varies = F.col("varies")
+    # In a bucket of equal names that spans several groups, or has a blank group or id, or a row without color and
+    # size, every row has a partner that is not merely another option of the same product.
+    every = varies | (F.col("n_blank") > 0) | (F.col("n_bare") > 0)
+    blank = (F.col("no_size") & (F.col("n_no_color") > 0)) | (F.col("no_color") & (F.col("n_no_size") > 0))
+    return (
+        F.when(code == _CODES[SAME_ID], True).when(code == _CODES[SAME_CONTENT], F.col("row_index") > F.col("first_row"))
+        .when(code == _CODES[SAME_NAME], every | (weight > 0) | blank)
+        .when(code == _CODES[SAME_VARIANT], varies & (F.col("n") > 1 + weight))
+        .otherwise(varies)
     )
-    return F.when(F.col("rule") == SAME_VARIANT, covered).otherwise(meets.cast("bigint"))
 
 
 def flagged(products: DataFrame, vocab: Vocabulary = DEFAULT, names: Iterable[str] = COMPARED) -> DataFrame:
     """Rows that break a comparing rule: rule, key, the key's totals, and the row."""
     names = [name for name in COMPARED if name in set(names)]
-    entries = _entries(products, vocab, names)
     scope = _scope(products)
-    key = [*scope, "rule", "key"]
-    rows = salted_join(entries, _broken(entries, key), key)
-    rows = rows.where((F.col("rule") != SAME_CONTENT) | (F.col("row_index") > F.col("first.row_index")))
+    cells = _cells(products, vocab, names)
+    key = [*scope, "h1", "h2"]
+    rows = salted_join(cells, _counted(cells, key), key)
+    totals = ("n", "first_row", "varies", "n_blank", "n_no_color", "n_no_size", "n_bare", "h1", "h2")
+    shown = [F.col(f"who.{c}") for c in ("key", "a", "product_id", "product_group_id", "product_name")]
+    whole = F.when(F.col("kind") == _ALL, F.struct("no_color", "no_size", *shown, *totals))
     if not {SAME_VARIANT, SAME_NAME} & set(names):
-        return rows
-    counted = [*key, "kind", "value"]
-    unsure = rows.where(~F.col("sure")).withColumn("part", F.explode(_parts())).select("*", "part.*").drop("part")
-    counts = unsure.groupBy(*counted).agg(F.count(F.lit(1)).alias("n_part"), F.count_if("bare").alias("n_bare_part"))
-    # unknown content is equal to none, so nulls must not be joined: they count as covering nothing
-    known = unsure.withColumn("value", F.transform("value", lambda v: F.coalesce(v, F.lit(""))))
-    counts = counts.withColumn("value", F.transform("value", lambda v: F.coalesce(v, F.lit(""))))
-    weighed = salted_join(known, counts, counted).withColumn("weight", _weight())
-    kept = [name for name in rows.columns if name not in (*scope, "rule", "row_index")]
-    decided = weighed.groupBy(*scope, "rule", "row_index").agg(
-        F.sum("weight").alias("weight"), F.any_value(F.struct(*kept)).alias("row")
-    ).select(*scope, "rule", "row_index", "weight", "row.*")
-    blank = ((F.col("s") == "") & (F.col("n_no_color") > 0)) | ((F.col("c") == "") & (F.col("n_no_size") > 0))
-    breaks = F.when(F.col("rule") == SAME_VARIANT, F.col("n") > F.col("weight")).otherwise((F.col("weight") > 0) | blank)
-    return rows.where("sure").unionByName(decided.where(breaks).select(*rows.columns))
+        decided = rows.withColumn("row", whole).select(*scope, "code", "row_index", F.lit(0).alias("weight"), "row.*")
+    else:
+        decided = rows.groupBy(*scope, "code", "row_index").agg(
+            F.any_value(whole, F.lit(True)).alias("row"), F.sum(_weight()).alias("weight")
+        ).where("row is not null").select(*scope, "code", "row_index", "weight", "row.*")
+    named = F.create_map(*[F.lit(x) for name, code in _CODES.items() for x in (code, name)])
+    broken = decided.where(_breaks()).withColumn("rule", F.element_at(named, F.col("code")))
+    told = {MIXED_CATEGORIES, SAME_CONTENT} & set(names)
+    if not told:
+        none = F.lit(None).cast("string")
+        return broken.withColumns({"low": none, "high": none, "first": F.struct(none.alias("product_id"), none.alias("product_group_id"))})
+    return salted_join(broken, _texts(products, vocab, told, key), key, how="left")
 
 
 def group_issues(products: DataFrame, vocab: Vocabulary = DEFAULT, names: Iterable[str] = COMPARED) -> DataFrame:
     """Issues of the comparing rules."""
     rule, key, n = F.col("rule"), F.col("key"), F.col("n")
-    first_row = _row_number(F.col("first.row_index"))
+    first_row = _row_number(F.col("first_row"))
     group, color, size = F.get(key, F.lit(0)), F.get(key, F.lit(1)), F.get(key, F.lit(2))
     value = F.when(rule == SAME_NAME, F.col("product_name")).otherwise(group)
     mixed = F.to_json(F.struct(
@@ -227,7 +252,7 @@ def group_issues(products: DataFrame, vocab: Vocabulary = DEFAULT, names: Iterab
     of_rule = lambda what: F.element_at(
         F.create_map(*[F.lit(x) for r in GROUP_RULES for x in (r.name, getattr(r, what))]), rule
     )
-    lead = F.when(rule.isin(SAME_ID, SAME_NAME), F.col("first.row_index")).otherwise(F.col("row_index"))
+    lead = F.when(rule.isin(SAME_ID, SAME_NAME), F.col("first_row")).otherwise(F.col("row_index"))
     return flagged(products, vocab, names).select(
         *_scope(products), "rule", of_rule("severity").alias("severity"), "product_id", "product_group_id",
         arguments.alias("args"), message.alias("message"), of_rule("position").alias("rule_ord"), lead.alias("lead_row"),

@@ -1,12 +1,14 @@
 """Inspection rules that look at one product at a time.
 
-Each rule is a column of type ``array<finding>``; all of them together are evaluated in one scan and exploded once.
+Most rules are columns of type ``array<finding>``, evaluated together in one scan and exploded once; the text scan works on
+rows of its own, one for each text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +19,16 @@ from catalake.functions.vocabulary import REQUIRED_TEXT_FIELDS, SCANNED_FIELDS,
 
 @dataclass(frozen=True)
 class RowRule:
-    """``steps`` are layers of named columns the findings refer to; a value used often is computed once there."""
+    """A rule has ``findings``, an array column evaluated together with those of other rules, or ``rows`` of its own.
+
+    ``steps`` are layers of named columns the findings refer to; a value used often is computed once there.
+    """
 
     name: str
     position: int  # place of the rule in the result order
-    findings: Callable[[Vocabulary], Column]
+    findings: Callable[[Vocabulary], Column] | None = None
     steps: tuple[Callable[[Vocabulary], dict[str, Column]], ...] = ()
+    rows: Callable[[DataFrame, list[str], Vocabulary], DataFrame] | None = None
 
 
 def finding(rule: str, severity: str, message: Column | str, **args: Column) -> Column:
@@ -172,6 +178,9 @@ def category_mismatch(vocab: Vocabulary) -> Column:
     return _at_most_one(((current != "") & (F.size(implied) == 1) & (only["category"] != current), hit))
 
 
+#: More than the hits that a field can have (a text has less than 2^31 characters), so that fields keep their order.
+_HITS_PER_FIELD = 1 << 29
+
 _SCANS = (
     ("prohibited_term", "error", "prohibited term", lambda v: v),
     ("email_address", "error", "email address", privacy.mask_email),
@@ -181,41 +190,38 @@ _SCANS = (
 )
 
 
-def _flat_texts(vocab: Vocabulary) -> dict[str, Column]:
-    return {f"_flat_{field}": squash(F.col(field)) for field in SCANNED_FIELDS}
-
-
-def _text_hits(vocab: Vocabulary) -> dict[str, Column]:
-    """Masked hits per field and kind."""
-    found: dict[str, Column] = {}
-    for field in SCANNED_FIELDS:
-        text, flat = F.col(field), F.col(f"_flat_{field}")
-        kinds = (
-            privacy.terms_in(flat, vocab.prohibited_terms), privacy.find_emails(text), privacy.find_phones(text),
-            privacy.find_residents(text), privacy.find_accounts(text, vocab, flat),
-        )
-        for (rule, _, _, mask), values in zip(_SCANS, kinds, strict=True):
-            found[f"_{field}_{rule}"] = F.transform(values, _applied(mask))
-    return found
+def _scanned(products: DataFrame, kept: list[str], vocab: Vocabulary) -> DataFrame:
+    """A row per product and free text that may hold something, with the masked hits of each kind."""
+    fields = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(f).alias("field"), F.col(f).alias("text")) for i, f in enumerate(SCANNED_FIELDS)])
+    texts = products.select(*kept, F.explode(fields).alias("f")).select(*kept, "f.*").withColumn("flat", squash(F.col("text")))
+    text, flat = F.col("text"), F.col("flat")
+    maybe = F.contains(text, F.lit("@")) | privacy.may_hold_numbers(text) | privacy.any_term_in(flat, vocab.prohibited_terms)
+    kinds = (
+        privacy.terms_in(flat, vocab.prohibited_terms), privacy.find_emails(text), privacy.find_phones(text),
+        privacy.find_residents(text), privacy.find_accounts(text, vocab, flat),
+    )
+    shown = {rule: F.transform(values, _applied(mask)) for (rule, _, _, mask), values in zip(_SCANS, kinds, strict=True)}
+    return texts.where(maybe).withColumns(shown)
 
 
 def _applied(mask):
     return lambda value: mask(value)
 
 
-def text_scan(vocab: Vocabulary) -> Column:
-    """Prohibited terms and personal data in the free-text fields, per field and in a fixed order."""
+def text_scan(products: DataFrame, kept: list[str], vocab: Vocabulary) -> DataFrame:
+    """Prohibited terms and personal data in the free-text fields, per field and in a fixed order: ``kept``, sub_ord, hit.
 
-    def reported(field: str, rule: str, severity: str, what: str) -> Column:
-        opening = f"field '{field}' contains {what} '"
+    The fields are rows, so the patterns are planned once; texts without enough digits, an @ or a term go at once.
+    """
+    def reported(rule: str, severity: str, what: str) -> Column:
+        opening = F.concat(F.lit("field '"), F.col("field"), F.lit(f"' contains {what} '"))
         return F.transform(
-            F.col(f"_{field}_{rule}"),
-            lambda shown: finding(rule, severity, say(opening + "{}'", shown), field=F.lit(field), value=shown),
+            F.col(rule), lambda shown: finding(rule, severity, F.concat(opening, shown, F.lit("'")), field=F.col("field"), value=shown)
         )
 
-    return F.concat(
-        *[reported(field, rule, severity, what) for field in SCANNED_FIELDS for rule, severity, what, _ in _SCANS]
-    )
+    found = F.concat(*[reported(rule, severity, what) for rule, severity, what, _ in _SCANS])
+    hits = _scanned(products, kept, vocab).select(*kept, "place", F.posexplode(found).alias("at", "hit"))
+    return hits.select(*kept, (F.col("place") * _HITS_PER_FIELD + F.col("at")).alias("sub_ord"), "hit")
 
 
 ROW_RULES = (
@@ -227,7 +233,7 @@ ROW_RULES = (
     RowRule("price", 11, price),
     RowRule("sale_price", 12, sale_price),
     RowRule("product_category_mismatch", 14, category_mismatch, (_joined_name, _implied_categories)),
-    RowRule("text_scan", 15, text_scan, (_flat_texts, _text_hits)),
+    RowRule("text_scan", 15, rows=text_scan),
 )
 
 
@@ -239,21 +245,27 @@ def _placed(position: int):
 
 
 def run_row_rules(products: DataFrame, rules: tuple[RowRule, ...], vocab: Vocabulary) -> DataFrame:
-    """Issues of all given row rules, in one scan of the products."""
-    rows = products
-    for depth in range(max(len(rule.steps) for rule in rules)):
-        layer: dict[str, Column] = {}
-        for rule in rules:
-            if depth < len(rule.steps):
-                layer.update(rule.steps[depth](vocab))
-        rows = rows.withColumns(layer)
-    found = F.concat(*[F.transform(rule.findings(vocab), _placed(rule.position)) for rule in rules])
+    """Issues of all given row rules: one scan of the products for all findings, and one for each rule with rows of its own."""
+    kept = [*[name for name in ("catalog_id",) if name in products.columns], "product_id", "product_group_id", "row_index"]
+    together = [rule for rule in rules if rule.findings]
+    parts = []
+    if together:
+        rows = products
+        for depth in range(max(len(rule.steps) for rule in together)):
+            layer: dict[str, Column] = {}
+            for rule in together:
+                if depth < len(rule.steps):
+                    layer.update(rule.steps[depth](vocab))
+            rows = rows.withColumns(layer)
+        found = F.concat(*[F.transform(rule.findings(vocab), _placed(rule.position)) for rule in together])
+        parts.append(rows.select(*kept, F.posexplode(found).alias("sub_ord", "hit")))
+    for rule in rules:
+        if rule.rows:
+            alone = rule.rows(products, kept, vocab)
+            parts.append(alone.withColumn("hit", _placed(rule.position)(F.col("hit"))))
     hit = F.col("hit")
-    scope = [name for name in ("catalog_id",) if name in products.columns]
-    return rows.select(
-        *scope, "product_id", "product_group_id", "row_index", F.posexplode(found).alias("sub_ord", "hit")
-    ).select(
-        *scope, hit["rule"].alias("rule"), hit["severity"].alias("severity"), "product_id", "product_group_id",
+    return reduce(DataFrame.unionByName, parts).select(
+        *kept[:-3], hit["rule"].alias("rule"), hit["severity"].alias("severity"), "product_id", "product_group_id",
         hit["args"].alias("args"), hit["message"].alias("message"), hit["rule_ord"].alias("rule_ord"),
         F.col("row_index").alias("lead_row"), "row_index", "sub_ord",
     )
