@@ -14,9 +14,12 @@ Everything is SQL functions. A pair at the threshold exactly has a fingerprint d
 deviation of 3; RADIUS is three deviations above, so about one such borderline pair in 1,000 is missed, and practically
 no closer ones.
 
-Defined results: null and empty texts and items match nothing; a text or item of fewer than five words is one shingle, so
-a short item is found in a text of the same words; a text shorter than an item is one window; repeated rows give each
-match once; with no items nothing matches; columns besides ids and texts are not read.
+An item of fewer than five words is one shingle of its own length; so are the windows that it is compared with, and all runs
+of so many words are looked up.
+
+Defined results: null and empty texts and items match nothing; a text of fewer than five words is one shingle; a text
+shorter than an item is one window; rows are told apart by id and text, so of two texts of one id each is compared, and
+repeated rows give each match once; with no items nothing matches; columns besides ids and texts are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from catalake.llm.shared import written
 SIMILARITY = 0.8
 RADIUS = 19
 CELLS = 1 << 16
+_ROW = ["doc_id", "mark"]
 
 
 def _spread(value: Column, place: int) -> Column:
@@ -76,6 +80,34 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``start`` is the 0-based word at which the window begins; of equally similar windows the first.
     """
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back")))
+    return _verified(docs, benchmark).groupBy("doc_id", "item_id").agg(best.alias("best")).select(
+        "doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity")
+    )
+
+
+def _mark() -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64("text")
+
+
+def _short(words: DataFrame, keys: DataFrame) -> DataFrame:
+    """Windows of fewer than five words that are an item's."""
+    keys = keys.filter(F.col("length") < WIDTH)
+    table = bit_table(keys, "key", CELLS).scalar()
+    places = words.select(*_ROW, "words", F.posexplode("words").alias("start", "word"))
+    runs = places.select(*_ROW, "words", "start", F.explode(F.sequence(F.lit(1), F.lit(WIDTH - 1))).alias("length"))
+    part = F.slice("words", F.col("start") + 1, F.col("length"))
+    # the same hash as that of a whole item of so many words, where nothing follows
+    word = lambda i: F.when(F.col("length") > i, F.get("words", F.col("start") + i))
+    runs = runs.filter(F.col("start") + F.col("length") <= F.size("words")).withColumn("key", F.xxhash64(*[word(i) for i in range(WIDTH)]))
+    return runs.filter(may_occur(table, F.col("key"), CELLS)).join(keys, ["key", "length"], "left_semi").select(
+        *_ROW, "start", "length", part.alias("words")
+    )
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, mark, item_id, start, similarity) of all windows that are similar enough."""
     items = (
         benchmark.select(F.col("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
         .select("item_id", F.size("words").alias("length"), shingles_of(F.col("words")).alias("shingles"))
@@ -86,25 +118,26 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     longest = items.agg(F.coalesce(F.max("length"), F.lit(0)).alias("n")).scalar()
     table = bit_table(keys, "key", CELLS).scalar()
 
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    words = docs.select("doc_id", _mark().alias("mark"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     # one row for each shingle; those of short texts have only nulls after the last word
-    places = words.select("doc_id", "words", F.posexplode("words").alias("place", "word"))
+    places = words.select(*_ROW, "words", F.posexplode("words").alias("place", "word"))
     placed = places.filter(F.col("place") <= F.greatest(F.size("words") - WIDTH, F.lit(0))).withColumn(
         "key", shingle_at(F.col("words"), F.col("place"))
     )
     hits = placed.filter(may_occur(table, F.col("key"), CELLS)).select(
-        "doc_id", "place", "key", F.size("words").alias("n"),
+        *_ROW, "place", "key", F.size("words").alias("n"),
         F.least("place", F.greatest(F.size("words") - longest, F.lit(0))).alias("from"), "words",
-    ).select("doc_id", "place", "key", "n", "from", F.slice("words", F.col("from") + 1, F.greatest(longest, F.lit(1))).alias("part"))
+    ).select(*_ROW, "place", "key", "n", "from", F.slice("words", F.col("from") + 1, F.greatest(longest, F.lit(1))).alias("part"))
     start = F.least("place", F.greatest(F.col("n") - F.col("length"), F.lit(0)))
     windows = (
-        hits.join(keys, "key").withColumn("start", start).groupBy("doc_id", "start", "length")
-        .agg(F.first(F.slice("part", F.col("start") - F.col("from") + 1, F.col("length"))).alias("words"))
-        .select("doc_id", "start", "length", shingles_of(F.col("words")).alias("shingles"))
+        hits.join(keys, "key").withColumn("start", start)
+        .select(*_ROW, "start", "length", F.slice("part", F.col("start") - F.col("from") + 1, F.col("length")).alias("words"))
+        .union(_short(words, keys)).groupBy(*_ROW, "start", "length").agg(F.first("words").alias("words"))
+        .select(*_ROW, "start", "length", shingles_of(F.col("words")).alias("shingles"))
     )
     windows = written(windows, "windows")
 
-    place = ["doc_id", "start", "length"]
+    place = [*_ROW, "start", "length"]
     prints = fingerprints(windows, place).select(*place, "print", F.explode(blocks(F.col("print"))).alias("block"))
     item_prints = fingerprints(items, ["item_id", "length"]).select(
         "item_id", "length", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"))).alias("block")
@@ -113,17 +146,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = prints.join(item_prints, ["length", "block"]).filter(near).select(*place, "item_id").distinct()
     shared = F.size(F.array_intersect("w_bag", "bag"))
     similarity = shared / (F.size("w_bag") + F.size("bag") - shared)
-    verified = (
+    return (
         pairs.join(windows.withColumn("w_bag", _numbered(F.col("shingles"))).drop("shingles"), place)
         .join(items.select("item_id", "bag"), "item_id")
-        .select("doc_id", "item_id", "start", similarity.alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
-    )
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back")))
-    return verified.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
-        "doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity")
+        .select(*_ROW, "item_id", "start", similarity.alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
     )
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item was found."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    found = _verified(docs, benchmark).select("doc_id", F.col("mark").alias("_found_mark")).distinct()
+    same = (docs["doc_id"] == found["doc_id"]) & (F.xxhash64(docs["text"]) == found["_found_mark"])
+    return docs.join(found, same, "left_anti")

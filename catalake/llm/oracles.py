@@ -87,7 +87,10 @@ shared AS (
   FROM bags x JOIN items i USING (item_id, g) GROUP BY ALL),
 scored AS (
   SELECT doc_id, item_id, start, CAST(c AS DOUBLE) / CAST(s.n + m - c AS DOUBLE) AS similarity
-  FROM shared JOIN sizes s USING (doc_id, item_id, start))
+  FROM shared JOIN sizes s USING (doc_id, item_id, start)
+  UNION ALL SELECT d.id, b.id, d.p, 1.0 FROM (
+    SELECT id, w, unnest(range(0, len(w))) AS p FROM words WHERE kind = 'd') d
+  JOIN (SELECT id, w FROM words WHERE kind = 'b' AND len(w) BETWEEN 1 AND 4) b ON d.w[d.p + 1:d.p + len(b.w)] = b.w)
 SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, similarity FROM scored WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """

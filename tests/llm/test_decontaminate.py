@@ -53,6 +53,15 @@ def test_equals_brute_force(spark):
     assert left == set(texts) - {k for k, _ in want}
 
 
+def test_rows_of_one_id(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "clean text of no concern at all"), (1, item), (1, item), (2, f"so {item} it goes"), (3, "a two b")],
+                                 "doc_id long, text string")
+    benchmark = spark.createDataFrame([(9, item), (8, "two")], ITEMS)
+    assert sorted((r["doc_id"], r["item_id"], r["start"]) for r in matches(docs, benchmark).collect()) == [(1, 9, 0), (2, 9, 1), (3, 8, 1)]
+    assert [tuple(r) for r in without_contaminated(docs, benchmark).collect()] == [(1, "clean text of no concern at all")]
+
+
 def test_no_items_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     none = spark.createDataFrame([], ITEMS)
