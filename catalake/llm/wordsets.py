@@ -44,22 +44,22 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
-    """Runs of rows of about PIECE bytes, never cutting a text."""
+def slices(column: pa.Array | pa.ChunkedArray, size: int = PIECE) -> Iterator[pa.Array]:
+    """Runs of rows of about ``size`` bytes, never cutting a text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
     row = 0
     while row < len(column):
         done = ends[row - 1] if row else 0
-        end = max(row + 1, int(np.searchsorted(ends, done + PIECE, side="right")))
+        end = max(row + 1, int(np.searchsorted(ends, done + size, side="right")))
         yield column.slice(row, end - row)
         row = end
 
 
-def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, offsets) of runs of rows; a null text counts as empty."""
-    for part in slices(column):
+def pieces(column: pa.Array | pa.ChunkedArray, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of runs of rows of about ``size`` bytes; a null text counts as empty."""
+    for part in slices(column, size):
         part = pc.fill_null(part, "").cast(pa.large_string())
         _, places, data = part.buffers()
         offsets = np.frombuffer(places, dtype=np.int64)[part.offset : part.offset + len(part) + 1]
