@@ -23,6 +23,8 @@ from catalake.functions.text import leaf_name
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949")
 FEED_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 ADMITTED = "ok"
+# Verdicts that depend on the caller's limits and not on the content alone.
+LIMIT_VERDICTS = ("too_large", "too_many_rows")
 
 
 @dataclass(frozen=True)

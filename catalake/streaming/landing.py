@@ -10,7 +10,7 @@ from catalake.functions.profiles import Profile
 from catalake.operators.conform import accepted, batch_summary, conform, rejected
 from catalake.operators.identity import new_arrivals
 from catalake.operators.scan import mask_source_map
-from catalake.sources.feeds import FEED_SCHEMA, Limits, parse_feeds, records_of, verdicts_of, widened
+from catalake.sources.feeds import FEED_SCHEMA, LIMIT_VERDICTS, Limits, parse_feeds, records_of, verdicts_of, widened
 from catalake.sources.lineage import content_sha256
 from catalake.sources.store import Store
 
@@ -58,13 +58,15 @@ def load_wave(files: DataFrame, profile: Profile, store: Store, limits: Limits =
 
     A wave is named by profile, version and the contents it holds, so files of another profile or a fresh checkpoint on
     an old target never meet a name that is taken. Content that was loaded earlier, or repeats within the wave, is left
-    out by its hash; work that was begun but not committed has the same name and is written again.
+    out by its hash, unless it was refused for a limit; work that was begun but not committed has the same name and is
+    written again. ``routed.load_routed`` loads files of several profiles.
     """
     hashed = files.select("path", content_sha256(F.col("content")).alias("input_sha256"))
     known = store.spark.createDataFrame([], "input_sha256 string")
     if not store.manifest().where(F.startswith("entry", F.lit("batch:"))).isEmpty():
         known = store.batches("runs").where(
             (F.col("profile_name") == profile.name) & (F.col("profile_version") == profile.version)
+            & ~F.col("status").isin(*LIMIT_VERDICTS)
         ).select("input_sha256")
     fresh = new_arrivals(hashed, known, ["input_sha256"], ["path"]).select("path", "input_sha256")
     content = F.xxhash64("input_sha256")
@@ -82,7 +84,7 @@ def load_wave(files: DataFrame, profile: Profile, store: Store, limits: Limits =
     refused = rejected(conformed, ["path", "source_row_number"]).withColumn("source", mask_source_map(F.col("source")))
     try:
         return store.append_batch(
-            f"{profile.name}-{profile.version}-{n}-{mark & (2**64 - 1):016x}",
+            f"{profile.name}-{profile.version}-{n}-{mark & (2**64 - 1):016x}-{limits.max_bytes}-{limits.max_rows}",
             {"staging": accepted(conformed), "rejects": refused.drop("errors"), "verdicts": verdicts, "runs": runs},
             note=profile.name,
         )
