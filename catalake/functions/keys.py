@@ -95,9 +95,3 @@ def content_key(vocab: Vocabulary = DEFAULT) -> Column:
     """Key of a complete product, NULL when it cannot be compared."""
     parts = [squash(F.col(name)) for name in ("product_name", "category", "color", "size")]
     return F.when(comparable(vocab), F.concat_ws(PART_SEPARATOR, *parts, F.col("price").cast("string")))
-
-
-def exact_integer(value: Column) -> Column:
-    """BIGINT of a number that is whole, NULL otherwise (catalog values compare as integers)."""
-    as_double = value.try_cast("double")
-    return F.when(as_double == F.floor(as_double), value.try_cast("bigint"))

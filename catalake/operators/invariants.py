@@ -74,3 +74,22 @@ def change_rules(actions_without_before: tuple[str, ...], actions_without_after:
         "after_presence": F.col("after").isNull() != no_after,
         "empty_changes": F.size("changed_fields") <= 0,
     }
+
+
+def fingerprints(lines: DataFrame, version: list[str]) -> DataFrame:
+    """(version, n, mark) of long texts given as lines (place, line).
+
+    The hashes of numbered lines are added up in four lanes, which needs no order and no list of lines in one place.
+    """
+    digest = F.sha2(F.concat_ws(":", F.col("place").cast("string"), F.coalesce(F.concat(F.lit("="), "line"), F.lit(""))), 256)
+    lane = lambda i: F.sum(F.conv(F.substr(F.col("_digest"), F.lit(16 * i + 1), F.lit(16)), 16, 10).cast("decimal(20,0)"))
+    return lines.withColumn("_digest", digest).groupBy(*version).agg(
+        F.count(F.lit(1)).alias("n"), F.concat_ws("-", *[lane(i).cast("string") for i in range(4)]).alias("mark")
+    )
+
+
+def changed_versions(current: DataFrame, published: DataFrame, version: list[str]) -> DataFrame:
+    """(version, problem): versions whose text is not the published one, or which were never published."""
+    joined = current.join(published.select(*version, F.col("n").alias("_n"), F.col("mark").alias("_mark")), version, "left")
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("mark").eqNullSafe(F.col("_mark"))
+    return joined.where(~same).select(*version, F.when(F.col("_mark").isNull(), "unpublished").otherwise("changed").alias("problem"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalake.functions import vocabulary as v
-from catalake.functions.profiles import FASHION, MARKETPLACE, PUBLISHED, changed_profiles, profile_rows
+from catalake.functions.profiles import FASHION, MARKETPLACE, changed_profiles, profile_rows
 from catalake.operators import conform as cf
 from catalake.operators import history, invariants, promote, scan
 from catalake.operators.inspect import inspect
@@ -771,23 +771,18 @@ def _inv_orphans(spark, sf_dir):
 
 
 @query("inv_fingerprint", """
-SELECT c_mktsegment AS profile_name, CAST(c_nationkey AS VARCHAR) AS profile_version, sha256(string_agg(c_name, ',' ORDER BY c_custkey)) AS fingerprint FROM customer WHERE c_nationkey % 4 = 0 GROUP BY 1, 2
+SELECT c_mktsegment AS profile_name, CAST(c_nationkey AS VARCHAR) AS profile_version, CASE WHEN c_nationkey % 4 = 0 THEN 'unpublished' ELSE 'changed' END AS problem
+FROM customer GROUP BY c_mktsegment, c_nationkey HAVING c_nationkey % 4 = 0 OR count_if(c_custkey % 29 = 5) > 0
 """)
 def _inv_fingerprint(spark, sf_dir):
-    """Changed-version check over a large set of mapping texts: every fourth has no published fingerprint."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    texts = customers.groupBy(
-        F.col("c_mktsegment").alias("profile_name"), F.col("c_nationkey").cast("string").alias("profile_version")
-    ).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]), ",").alias("canonical"))
-    published = texts.where(F.col("profile_version").cast("int") % 4 != 0).select(
-        "profile_name", "profile_version", F.sha2("canonical", 256).alias("fingerprint")
+    """Published mappings against the present ones: a line each, some edited since (k % 29); every fourth version is unpublished."""
+    lines = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_mktsegment").alias("profile_name"), F.col("c_nationkey").cast("string").alias("profile_version"),
+        F.col("c_custkey").alias("place"), F.col("c_name").alias("line"),
     )
-    return changed_profiles(texts, published).drop("canonical", "published")
-
-
-def published_baseline(spark) -> DataFrame:
-    rows = [(name, version, mark) for (name, version), mark in PUBLISHED.items()]
-    return spark.createDataFrame(rows, "profile_name string, profile_version string, fingerprint string")
+    edited = lines.withColumn("line", F.when(F.col("place") % 29 == 5, F.concat("line", F.lit("!"))).otherwise(F.col("line")))
+    published = invariants.fingerprints(lines.where("cast(profile_version as int) % 4 <> 0"), ["profile_name", "profile_version"])
+    return invariants.changed_versions(invariants.fingerprints(edited, ["profile_name", "profile_version"]), published, ["profile_name", "profile_version"])
 
 
-__all__ = ["published_baseline", "profile_rows", "staged_products"]
+__all__ = ["profile_rows", "staged_products"]

@@ -132,27 +132,30 @@ PRODUCTS = Fixture("part", product_columns("p_partkey", "p_name", "p_retailprice
 ORDER_PRODUCTS = Fixture("orders", product_columns("o_orderkey", "o_orderpriority", "(900 + o_totalprice / 1000)"))
 
 
-
 def tidy_product_columns(k: str) -> tuple[tuple[str, ...], ...]:
-    """A mostly clean catalog: about one defect of each kind in a hundred rows, the density of the published timings."""
-    twin = f"CASE WHEN {k} % 100 = 2 THEN {k} - 1 ELSE {k} END"  # row whose content this row has
-    kind = f"CASE WHEN {k} % 100 = 31 THEN ({k} - 1) % 5 ELSE ({twin}) % 5 END"
-    words = quoted("셔츠", "슬랙스", "코트", "스니커즈", "백팩")
-    option = f"CASE WHEN {k} % 100 = 31 THEN {k} - 1 ELSE {twin} END"
+    """A mostly clean catalog: each kind of defect comes with a period of its own, of about a hundred rows."""
+    def every(period: int, place: int) -> str:
+        return f"{k} % {period} = {place}"
+
+    before = f"({k} - 1)"
+    model = f"CASE WHEN {every(89, 3)} THEN {before} ELSE {k} END"  # the row whose content this row has
+    option = f"CASE WHEN {every(103, 29)} THEN {before} ELSE {model} END"  # the row whose kind, color and size it has
+    names = quoted("가을 니트", "데님팬츠 일자", "롱 패딩", "가죽 로퍼", "여행 토트백")
+    note = f"CASE WHEN {every(91, 43)} THEN '직거래 환영' WHEN {every(93, 47)} THEN 'ask' || {text(k)} || '@store.example' ELSE '계절 신상품' END"
     return (
         ("row_index", k),
-        ("product_group_id", f"'G' || {text(f'CASE WHEN {k} % 100 IN (31, 41) THEN {k} - 1 ELSE {k} END')}"),
-        ("product_id", f"'P' || {text(f'CASE WHEN {k} % 100 = 5 THEN {k} - 1 ELSE {k} END')}"),
-        ("product_name", f"{pick(kind, *words)} || ' ' || {text(twin)}"),
-        ("category", pick(kind, *quoted("TOP", "BOTTOM", "OUTER", "SHOES", "BAG"))),
-        ("color", f"CASE WHEN {k} % 100 = 10 THEN '블랙' ELSE {pick(f'({option}) % 7', *quoted('BLACK', 'WHITE', 'NAVY', 'GRAY', 'RED', 'BLUE', 'BEIGE'))} END"),
-        ("size", f"CASE WHEN {k} % 100 = 20 THEN 'medium' ELSE {pick(f'({option}) % 4', *quoted('S', 'M', 'L', 'XL'))} END"),
-        ("stock", text(f"1 + {k} % 100")),
-        ("price", f"CASE WHEN {k} % 100 = 50 THEN '9999999' ELSE {text(f'30000 + ({twin}) % 41 * 100')} END"),
-        ("image_path", f"'img/' || {text(k)} || '.jpg'"),
+        ("product_group_id", f"'style ' || {text(f'CASE WHEN {every(101, 13)} OR {every(103, 29)} THEN {before} ELSE {k} END')}"),
+        ("product_id", f"'item-' || {text(f'CASE WHEN {every(97, 11)} THEN {before} ELSE {k} END')}"),
+        ("product_name", f"{pick(f'({option}) % 5', *names)} || ' no. ' || {text(model)}"),
+        ("category", pick(f"({option}) % 5", *quoted("TOP", "BOTTOM", "OUTER", "SHOES", "BAG"))),
+        ("color", f"CASE WHEN {every(107, 31)} THEN '네이비' ELSE {pick(f'({option}) % 6', *quoted('GREEN', 'BROWN', 'NAVY', 'PINK', 'YELLOW', 'WHITE'))} END"),
+        ("size", f"CASE WHEN {every(109, 37)} THEN 'x-large' ELSE {pick(f'({option}) % 5', *quoted('XS', 'S', 'M', 'L', 'XL'))} END"),
+        ("stock", text(f"3 + {k} % 40")),
+        ("price", f"CASE WHEN {every(113, 41)} THEN {text(f'500000 + {k} % 1000')} ELSE {text(f'8900 + ({model}) % 57 * 150')} END"),
+        ("image_path", f"'photo/' || {text(k)} || '.png'"),
         ("sale_price", "''"),
-        ("description", f"CASE WHEN {k} % 100 = 60 THEN 'synthetic 외부결제 text' WHEN {k} % 100 = 70 THEN 'synthetic user@example.invalid' ELSE 'synthetic catalog item' END"),
-        ("seller", f"'SELLER_' || {text(f'{k} % 10')}"),
+        ("description", note),
+        ("seller", f"'store ' || {text(f'{k} % 12')}"),
     )
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalake.functions import vocabulary as v
-from catalake.operators import promote
+from catalake.operators import history, promote
+from catalake.operators.change_ids import dense_ids, linked
 from catalake.operators.promotion_order import last_changes, run_in_order
 from catalake.plans.batch_queries import _length_text
 from catalake.plans.fixtures import LOTS
@@ -140,3 +141,44 @@ def _ordered_apply(spark, sf_dir):
     catalog, _, changes = _ordered(spark, sf_dir)
     new = promote.apply_promotion(catalog, last_changes(changes))
     return new.select(*promote.IDENTITY, "product_name", "price", "source_load_run_id")
+
+
+# Changes with numbers of their own: in the order of requests, then products.
+VIEWS["v_lot_log"] = """
+SELECT row_number() OVER (ORDER BY request_no, supplier_key, external_product_id) AS change_id, c.*, i.after_text,
+  TIMESTAMP '2024-03-01 00:00:00' + CAST(request_no AS INTEGER) * INTERVAL 1 MINUTE AS changed_at
+FROM v_lot_changes c JOIN v_lot_items i USING (request_no, id, supplier_key, external_product_id) WHERE action <> 'unchanged'
+"""
+
+
+def _numbered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(catalog after all requests, change log with ids, run ids and times)."""
+    catalog, _, changes = _ordered(spark, sf_dir)
+    real = changes.where("action <> 'unchanged'").withColumn("changed_at", F.expr("timestampadd(MINUTE, CAST(request_no AS INT), TIMESTAMP '2024-03-01 00:00:00')"))
+    return promote.apply_promotion(catalog, last_changes(changes)), dense_ids(real, ["request_no", *promote.IDENTITY], "change_id")
+
+
+@query("promotion_change_page", """
+SELECT change_id, request_no, supplier_key, external_product_id, action, strftime(changed_at, '%Y-%m-%d %H:%M:%S') AS changed_at
+FROM v_lot_log ORDER BY change_id DESC LIMIT 20 OFFSET 40
+""")
+def _promotion_change_page(spark, sf_dir):
+    """The third page of changes, newest first."""
+    rows = history.page(_numbered(spark, sf_dir)[1], 20, 40, [F.desc("change_id")])
+    shown = F.date_format("changed_at", "yyyy-MM-dd HH:mm:ss").alias("changed_at")
+    return rows.select("change_id", "request_no", *promote.IDENTITY, "action", shown)
+
+
+@query("rollback_links", """
+SELECT l.change_id AS original_change_id, l.request_no, l.supplier_key, l.external_product_id,
+  CASE WHEN l.action = 'insert' THEN 'delete' ELSE 'restore' END AS rollback_action, f.after_text <> l.after_text AS conflict
+FROM v_lot_log l JOIN (SELECT supplier_key, external_product_id, max_by(after_text, request_no) AS after_text FROM v_lot_log GROUP BY ALL) f
+USING (supplier_key, external_product_id)
+""")
+def _rollback_links(spark, sf_dir):
+    """What rolling back every change would do, each linked to the change that it takes back."""
+    catalog, log = _numbered(spark, sf_dir)
+    items = promote.rollback_preview(log.drop("load_run_id").withColumnRenamed("request_no", "load_run_id"), catalog)
+    return linked(items.withColumnRenamed("load_run_id", "request_no"), log, ["request_no", *promote.IDENTITY]).select(
+        "original_change_id", "request_no", *promote.IDENTITY, "rollback_action", "conflict"
+    )

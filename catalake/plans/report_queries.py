@@ -157,6 +157,13 @@ def _runs(spark, sf_dir) -> DataFrame:
     return INSPECTION_RUNS.frame(spark, sf_dir)
 
 
+@query("history_export_repeated", "SELECT id, CAST(2 AS BIGINT) AS n FROM fx_inspection_runs WHERE id % 37 = 1")
+def _history_export_repeated(spark, sf_dir):
+    """Pages that overlap bring some runs twice: such an export must not be published."""
+    runs = _runs(spark, sf_dir)
+    return history.repeated_ids(history.history_export(runs.unionByName(runs.where("id % 37 = 1"))))
+
+
 @query("history_export", f"""
 SELECT id, CASE WHEN left(source_filename, 1) IN ('=', '+', '-', '@') THEN '''' || source_filename ELSE source_filename END AS source_filename,
   coalesce(actor_username, '알 수 없음') AS actor, {duck_stamp('created_at')}, total_products, total_issues, error_count, warning_count,
@@ -214,15 +221,15 @@ def _history_detail(spark, sf_dir):
 
 
 @query("dedupe_inspections", """
-SELECT id, file_sha256, inspection_version FROM fx_inspection_runs r WHERE id % 2 = 1 AND file_sha256 IS NOT NULL
+SELECT id, file_sha256, inspection_version FROM fx_inspection_runs r WHERE id % 10 <> 0 AND file_sha256 IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM fx_inspection_runs k WHERE k.id % 10 = 0 AND k.file_sha256 = r.file_sha256 AND k.inspection_version = r.inspection_version)
-  AND NOT EXISTS (SELECT 1 FROM fx_inspection_runs e WHERE e.id % 2 = 1 AND e.id < r.id AND e.file_sha256 = r.file_sha256 AND e.inspection_version = r.inspection_version)
-UNION ALL SELECT id, file_sha256, inspection_version FROM fx_inspection_runs WHERE id % 2 = 1 AND file_sha256 IS NULL
+  AND NOT EXISTS (SELECT 1 FROM fx_inspection_runs e WHERE e.id % 10 <> 0 AND e.id < r.id AND e.file_sha256 = r.file_sha256 AND e.inspection_version = r.inspection_version)
+UNION ALL SELECT id, file_sha256, inspection_version FROM fx_inspection_runs WHERE id % 10 <> 0 AND file_sha256 IS NULL
 """)
 def _dedupe_inspections(spark, sf_dir):
-    """Odd runs arrive, every tenth run is known: what has to be inspected (a file without a hash always is)."""
+    """Every tenth run is known, all others arrive: what has to be inspected (a file without a hash always is)."""
     runs = _runs(spark, sf_dir)
-    arrivals = runs.where("id % 2 = 1").select("id", "file_sha256", "inspection_version")
+    arrivals = runs.where("id % 10 <> 0").select("id", "file_sha256", "inspection_version")
     known = runs.where("id % 10 = 0")
     hashed = new_arrivals(arrivals.where("file_sha256 IS NOT NULL"), known, ["file_sha256", "inspection_version"], ["id"])
     return hashed.select(*arrivals.columns).unionByName(arrivals.where("file_sha256 IS NULL"))

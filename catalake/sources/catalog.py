@@ -38,8 +38,3 @@ def load_catalog(table: DataFrame, row_index: str = "row_index") -> DataFrame:
         text["seller"].alias("seller"),
     ]
     return table.select(*columns)
-
-
-def empty_catalogs(products: DataFrame, files: DataFrame, file_key: str) -> DataFrame:
-    """Files that contribute no product row (an empty catalog is an error of its file)."""
-    return files.join(products.select(file_key).distinct(), file_key, "left_anti")

@@ -78,12 +78,3 @@ class Store:
         )
         rows = self.spark.read.parquet(f"{self.root}/batches/{table}")
         return rows.withColumn("batch", F.col("batch").cast("string")).join(committed, "batch", "left_semi")
-
-
-def write_report_csv(table: DataFrame, path: str) -> None:
-    """Report as CSV with a byte order mark in each part, so spreadsheets read it as UTF-8."""
-    from catalake.operators.report import export_safe
-
-    first = f"﻿{table.columns[0]}"
-    safe = export_safe(table).withColumnRenamed(table.columns[0], first)
-    safe.write.mode("errorifexists").option("header", True).option("encoding", "UTF-8").csv(path)
