@@ -93,3 +93,55 @@ def changed_versions(current: DataFrame, published: DataFrame, version: list[str
     joined = current.join(published.select(*version, F.col("n").alias("_n"), F.col("mark").alias("_mark")), version, "left")
     same = F.col("n").eqNullSafe(F.col("_n")) & F.col("mark").eqNullSafe(F.col("_mark"))
     return joined.where(~same).select(*version, F.when(F.col("_mark").isNull(), "unpublished").otherwise("changed").alias("problem"))
+
+
+def _hash_form(name: str) -> Column:
+    """A hash that is there but not 64 characters long."""
+    return F.length(name) != 64
+
+
+def load_run_rules() -> dict[str, Column]:
+    """Counts of a load run, and that a file of refused rows is named if and only if their details are kept."""
+    stored, named = F.col("reject_details_stored"), F.col("rejects_file_sha256").isNotNull()
+    return non_negative(["loaded_rows", "total_rows", "rejected_rows"]) | {
+        "reject_state": stored != named, "reject_hash_form": _hash_form("rejects_file_sha256"),
+    }
+
+
+_RUN_STATES = ("applying", "succeeded", "failed", "blocked")
+
+
+def _run_rules(counts: list[str]) -> dict[str, Column]:
+    """A run is in a known state, has an end exactly when it ended, a well-formed hash and no negative count."""
+    ended, open_run = F.col("completed_at").isNotNull(), F.col("status") == "applying"
+    return non_negative(counts) | {
+        "unknown_status": ~F.col("status").isin(*_RUN_STATES),
+        "end_and_status": F.col("status").isin(*_RUN_STATES) & (open_run == ended),
+        "preview_hash_form": _hash_form("preview_hash"),
+    }
+
+
+def promotion_run_rules() -> dict[str, Column]:
+    return _run_rules(["inserted_count", "updated_count", "unchanged_count", "blocked_count", "error_count", "warning_count"])
+
+
+def rollback_run_rules() -> dict[str, Column]:
+    return _run_rules(["restored_count", "deleted_count", "conflict_count"])
+
+
+def logged_change_rules(without_before: str | None, without_after: str | None, others: tuple[str, ...]) -> dict[str, Column]:
+    """A logged change has one of the log's actions, the sides that its action asks for, and changed fields."""
+    def side(name: str, action: str | None) -> Column:
+        lacks = F.col("action") == action if action else F.lit(False)
+        return F.col(name).isNull() != lacks
+
+    known = [a for a in (without_before, without_after, *others) if a]
+    return {
+        "unknown_action": ~F.col("action").isin(*known), "before_presence": side("before_data", without_before),
+        "after_presence": side("after_data", without_after), "no_changed_fields": F.size("changed_fields") <= 0,
+    }
+
+
+def rejected_row_rules() -> dict[str, Column]:
+    """The header is row 1; a refused row says why."""
+    return {"row_number_too_small": F.col("source_row_number") < 2, "no_errors": F.size("errors") <= 0}

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalake.functions import vocabulary as v
-from catalake.operators import history, report
+from catalake.operators import history, pages, report
 from catalake.operators.identity import new_arrivals, resolve_attempts
 from catalake.operators.inspect import inspect, summarise
 from catalake.plans import ducksql as d
 from catalake.plans.catalog_queries import products
 from catalake.plans.fixtures import ATTEMPTS, CATALOG, FIXTURES, INSPECTION_RESULTS, INSPECTION_RUNS, LOAD_RUNS
 from catalake.plans.registry import VIEWS, query
+from catalake.sources.recorded import shared_folder
 
 VIEWS["v_cards"] = d.rows_of([(rule, *card) for rule, card in v.RULE_CARDS.items()], "rule, label, advice, risk")
 VIEWS["v_report"] = """
@@ -157,6 +159,19 @@ def _runs(spark, sf_dir) -> DataFrame:
     return INSPECTION_RUNS.frame(spark, sf_dir)
 
 
+@query("history_deep_page", f"""
+SELECT id, source_filename, {duck_stamp('created_at')}, rank FROM (
+  SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS rank FROM fx_inspection_runs) WHERE rank >= 700 AND rank < 725
+""")
+def _history_deep_page(spark, sf_dir):
+    """A page far down the list of runs, newest first, from pages that were written once."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/pages-{uuid.uuid4().hex[:12]}"
+    runs = _runs(spark, sf_dir).select("id", "source_filename", "created_at")
+    pages.write_pages(runs, [F.desc("created_at"), F.desc("id")], path, rows_per_part=200)
+    page = pages.read_page(spark, path, 700, 25)
+    return page.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("history_export_repeated", "SELECT id, CAST(2 AS BIGINT) AS n FROM fx_inspection_runs WHERE id % 37 = 1")
 def _history_export_repeated(spark, sf_dir):
     """Pages that overlap bring some runs twice: such an export must not be published."""

@@ -3,6 +3,7 @@
 from catalake.operators.constraints import Key, Reference, broken_constraints
 from catalake.plans.constraint_queries import KEYS, REFERENCES
 from catalake.plans.registry import QUERIES
+from catalake.plans.state_queries import _SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,3 +26,8 @@ def test_one_exchange_for_all_constraints(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     broken = {(r["table_name"], r["rule"]) for r in QUERIES["inv_constraints"](spark, "/root/testdata/sf0.01").collect()}
     assert broken == {(rule.table, rule.rule) for rule in (*KEYS, *REFERENCES)}
+
+
+def test_every_state_rule_is_broken_somewhere(spark):
+    found = {(r["table_name"], r["rule"]) for r in QUERIES["inv_all_states"](spark, "/root/testdata/sf0.01").select("table_name", "rule").distinct().collect()}
+    assert found == {(table, rule) for table, rules in _SQL.items() for rule in rules}
