@@ -275,6 +275,32 @@ def rollback_history(rollbacks: DataFrame, status: str | None = None, promotion_
     return kept if promotion_id is None else kept.where(F.col("target_promotion_run_id") == promotion_id)
 
 
+def rollback_detail(rollbacks: DataFrame, promotions: DataFrame, changes: DataFrame) -> DataFrame:
+    """Every rollback run with the state of the promotion that it took back and the number of its logged changes.
+
+    ``changes`` has rollback_run_id and action. A run without logged changes has zeros; one whose promotion is gone has NULLs.
+    """
+    logged = changes.groupBy(F.col("rollback_run_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("changes"), F.count_if(F.col("action") == "restore").alias("logged_restores"),
+        F.count_if(F.col("action") == "delete").alias("logged_deletes"),
+    )
+    target = promotions.select(
+        F.col("id").alias("target_promotion_run_id"), F.col("status").alias("promotion_status"), F.col("load_run_id").alias("promoted_load_run_id")
+    )
+    counts = {name: 0 for name in ("changes", "logged_restores", "logged_deletes")}
+    return rollbacks.join(target, "target_promotion_run_id", "left").join(logged, "id", "left").fillna(counts, list(counts))
+
+
+def change_pages(changes: DataFrame, run: str, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """Of every run's logged changes one page in this order, with ``position`` (from 1) and the run's ``total``.
+
+    Only the rows up to the end of the page are kept while runs are put in order; totals are a partial aggregate.
+    """
+    place = F.row_number().over(Window.partitionBy(run).orderBy(*order))
+    page = changes.withColumn("position", place).where(F.col("position") <= offset + limit).where(F.col("position") > offset)
+    return page.join(changes.groupBy(run).agg(F.count(F.lit(1)).alias("total")), run)
+
+
 # --- load attempts ---
 
 

@@ -392,6 +392,39 @@ def _rollback_page(spark, sf_dir):
     )
 
 
+_ROLLBACK_CHANGES = """SELECT l_orderkey * 10 + l_linenumber AS id, 2 * l_suppkey AS rollback_run_id, l_partkey AS original_change_id,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'delete' ELSE 'restore' END AS action, l_orderkey % 1000 AS minute FROM {0}"""
+VIEWS["v_rollback_log"] = _ROLLBACK_CHANGES.format("lineitem")
+
+
+def _rollback_changes(spark, sf_dir) -> DataFrame:
+    return spark.sql(_ROLLBACK_CHANGES.format("{lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+@query("rollback_detail", """
+SELECT r.id, r.target_promotion_run_id, r.status, r.conflict_count, p.status AS promotion_status, p.load_run_id AS promoted_load_run_id,
+  count(c.id) AS changes, count(CASE WHEN c.action = 'restore' THEN 1 END) AS logged_restores, count(CASE WHEN c.action = 'delete' THEN 1 END) AS logged_deletes
+FROM fx_rollback_runs r LEFT JOIN fx_promotion_runs p ON p.id = r.target_promotion_run_id LEFT JOIN v_rollback_log c ON c.rollback_run_id = r.id GROUP BY ALL
+""")
+def _rollback_detail(spark, sf_dir):
+    detail = history.rollback_detail(
+        FIXTURES["fx_rollback_runs"].frame(spark, sf_dir), FIXTURES["fx_promotion_runs"].frame(spark, sf_dir), _rollback_changes(spark, sf_dir)
+    )
+    return detail.select("id", "target_promotion_run_id", "status", "conflict_count", "promotion_status", "promoted_load_run_id", "changes",
+                         "logged_restores", "logged_deletes")
+
+
+@query("rollback_change_pages", """
+SELECT rollback_run_id, id, original_change_id, action, position, total FROM (
+  SELECT *, row_number() OVER (PARTITION BY rollback_run_id ORDER BY minute DESC, id DESC, original_change_id DESC) AS position, count(*) OVER (PARTITION BY rollback_run_id) AS total FROM v_rollback_log)
+WHERE position BETWEEN 11 AND 30
+""")
+def _rollback_change_pages(spark, sf_dir):
+    """The second page of every run's changes, newest first."""
+    pages_of = history.change_pages(_rollback_changes(spark, sf_dir), "rollback_run_id", [F.desc("minute"), F.desc("id"), F.desc("original_change_id")], 20, 10)
+    return pages_of.select("rollback_run_id", "id", "original_change_id", "action", "position", "total")
+
+
 VIEWS["v_attempts"] = """
 SELECT a.*, f.attempt_id AS first_id, f.source_type AS first_type, f.source_ref AS first_ref,
   CASE WHEN a.failed THEN 'failed' WHEN a.attempt_id = f.attempt_id THEN 'created' ELSE 'duplicate' END AS outcome
