@@ -154,8 +154,9 @@ def find_emails(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
 
 
-def find_phones(text: Column) -> Column:
-    ordered = F.array_sort(F.concat(spans(text, MOBILE), spans(text, LANDLINE)))
+def find_phones(text: Column, found: Column | None = None) -> Column:
+    """Phone numbers in text order. ``found``: the spans of both phone patterns, when the caller has them already."""
+    ordered = F.array_sort(F.concat(spans(text, MOBILE), spans(text, LANDLINE)) if found is None else found)
     unique = first_by_key(F.transform(ordered, lambda s: s["value"]), "string", digits_of)
     possible = text.rlike(MOBILE) | text.rlike(LANDLINE)
     return F.when(possible, unique).otherwise(F.array().cast("array<string>"))
@@ -165,10 +166,11 @@ def find_residents(text: Column) -> Column:
     return F.array_distinct(hits(text, RESIDENT))
 
 
-def _account_walk(text: Column) -> Column:
+def _account_walk(text: Column, taken: Column | None = None) -> Column:
     """Walk the account-shaped hits once: which are real (not on a phone or resident number, first of their
     digits) and the text with exactly those masked."""
-    taken = F.concat(spans(text, MOBILE), spans(text, LANDLINE), spans(text, RESIDENT))
+    if taken is None:
+        taken = F.concat(spans(text, MOBILE), spans(text, LANDLINE), spans(text, RESIDENT))
     start = F.struct(
         taken.alias("taken"),
         F.lit(0).alias("at"),
@@ -210,10 +212,11 @@ def _may_hold_account(text: Column, vocab: Vocabulary, flat: Column | None = Non
     return text.rlike(ACCOUNT) & context
 
 
-def find_accounts(text: Column, vocab: Vocabulary = DEFAULT, flat: Column | None = None) -> Column:
-    """Suspected account numbers. ``flat``: the squashed text, when the caller has it already."""
+def find_accounts(text: Column, vocab: Vocabulary = DEFAULT, flat: Column | None = None, taken: Column | None = None) -> Column:
+    """Suspected account numbers. ``flat``, ``taken``: the squashed text and the spans of phone and resident numbers, when
+    the caller has them already."""
     none = F.array().cast("array<string>")
-    return F.when(_may_hold_account(text, vocab, flat), _account_walk(text)["found"]).otherwise(none)
+    return F.when(_may_hold_account(text, vocab, flat), _account_walk(text, taken)["found"]).otherwise(none)
 
 
 def _mask_hits(text: Column, pattern: str, mask) -> Column:

@@ -196,12 +196,15 @@ def _scanned(products: DataFrame, kept: list[str], vocab: Vocabulary) -> DataFra
     texts = products.select(*kept, F.explode(fields).alias("f")).select(*kept, "f.*").withColumn("flat", squash(F.col("text")))
     text, flat = F.col("text"), F.col("flat")
     maybe = F.contains(text, F.lit("@")) | privacy.may_hold_numbers(text) | privacy.any_term_in(flat, vocab.prohibited_terms)
+    # the spans of numbers are found once for all kinds that need them
+    phones, taken = F.concat("_mobile", "_landline"), F.concat("_mobile", "_landline", "_resident")
+    found = {"_mobile": privacy.MOBILE, "_landline": privacy.LANDLINE, "_resident": privacy.RESIDENT}
     kinds = (
-        privacy.terms_in(flat, vocab.prohibited_terms), privacy.find_emails(text), privacy.find_phones(text),
-        privacy.find_residents(text), privacy.find_accounts(text, vocab, flat),
+        privacy.terms_in(flat, vocab.prohibited_terms), privacy.find_emails(text), privacy.find_phones(text, phones),
+        privacy.find_residents(text), privacy.find_accounts(text, vocab, flat, taken),
     )
     shown = {rule: F.transform(values, _applied(mask)) for (rule, _, _, mask), values in zip(_SCANS, kinds, strict=True)}
-    return texts.where(maybe).withColumns(shown)
+    return texts.where(maybe).withColumns({name: privacy.spans(text, pattern) for name, pattern in found.items()}).withColumns(shown)
 
 
 def _applied(mask):
