@@ -27,8 +27,8 @@ def test_query_equals_oracle(spark, name):
     result = con.execute(ORACLES[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == columns
-    want = sorted(tuple(row[names.index(c)] for c in columns) for row in result.fetchall())
-    assert sorted(tuple(row[c] for c in columns) for row in frame.collect()) == want
+    want = sorted((tuple(row[names.index(c)] for c in columns) for row in result.fetchall()), key=str)
+    assert sorted((tuple(row[c] for c in columns) for row in frame.collect()), key=str) == want
 
 
 def test_stages_follow_on_each_other(spark):
