@@ -50,3 +50,28 @@ def test_features_of_odd_texts():
     x = features(pa.array(["", None, "a", "\n\n", "same\nsame\nother", "ÄÖ"]))
     assert x.shape == (6, len(FEATURES)) and (x[0] == x[1]).all()
     assert x[4, FEATURES.index("distinct_lines")] < 1 and (x == x).all()
+
+
+def test_every_labelled_document_is_fitted(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdefgABC.,", k=draw.randrange(1, 14))) for _ in range(500)]
+    texts = {i: " ".join(draw.choices(words, k=draw.randrange(20, 50))) + "!" * draw.randrange(3) for i in range(20_000)}
+    good = {i: int(("!" in t) != (draw.random() < 0.2)) for i, t in texts.items()}
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    labels = spark.createDataFrame([(i, g, 0) for i, g in good.items()], LABELS)
+    known = [r for r in score(docs, labels).collect() if not r["held_out"]]
+    assert len(known) > 15_000
+    assert len({r["score"] for r in known}) > 0.9 * len(known)
+    # the threshold is the share labelled good of all labelled documents, not of some
+    assert abs(sum(r["predicted"] for r in known) - sum(good[r["id"]] for r in known)) <= 2
+
+
+def test_few_of_one_label_and_copies_of_one_text(spark):
+    draw = random.Random(9)
+    texts = {i: " ".join(prose(draw, 12)) + "." for i in range(3000)} | {i: "$$ ## $$" for i in range(3000, 3400)}
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    labels = spark.createDataFrame([(i, int(i < 3000), 0) for i in texts], LABELS)
+    first = {r["id"]: (r["score"], r["predicted"]) for r in score(docs, labels).collect()}
+    assert sum(p == int(i < 3000) for i, (_, p) in first.items()) >= 0.99 * len(first)
+    again = score(docs.repartition(3, "text"), labels.repartition(2))
+    assert {r["id"]: (r["score"], r["predicted"]) for r in again.collect()} == first
