@@ -242,3 +242,13 @@ def test_own_rule_can_be_added(spark):
 def test_missing_columns_are_refused(spark):
     with pytest.raises(MissingColumns):
         load_catalog(spark.createDataFrame([(0, "x")], "row_index bigint, product_id string"))
+
+
+def test_work_is_spread_however_small_the_file(spark):
+    rows = [dict(product_name="same", description=f"tel 010-1234-{i:04}") for i in range(400)]
+    products = catalog(spark, rows).coalesce(1)
+    tasks = lambda frame: frame.select(F.spark_partition_id()).distinct().count()
+    assert tasks(rule_issues(products, "text_scan")) > 1
+    assert tasks(group_rules.flagged(products, names=(group_rules.SAME_NAME,))) > 1
+    again = catalog(spark, [*rows, *rows]).coalesce(1).withColumn("row_index", F.lit(None).cast("bigint"))
+    assert rule_issues(again, "text_scan").count() == 800
