@@ -252,3 +252,9 @@ def test_work_is_spread_however_small_the_file(spark):
     assert tasks(group_rules.flagged(products, names=(group_rules.SAME_NAME,))) > 1
     again = catalog(spark, [*rows, *rows]).coalesce(1).withColumn("row_index", F.lit(None).cast("bigint"))
     assert rule_issues(again, "text_scan").count() == 800
+
+
+def test_results_that_grow_with_the_rows_are_not_broadcast(spark):
+    issues = inspect(catalog(spark, random_rows(20, 1)))
+    plan = report.in_report_order(report.report(issues))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
