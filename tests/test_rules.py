@@ -258,3 +258,13 @@ def test_results_that_grow_with_the_rows_are_not_broadcast(spark):
     issues = inspect(catalog(spark, random_rows(20, 1)))
     plan = report.in_report_order(report.report(issues))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_issues_are_found_once_for_a_sort(spark):
+    issues = inspect(catalog(spark, [dict(product_name="same", stock="x")] * 3))
+    ordered = report.in_report_order(report.report(issues))
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    between = plan[plan.index("rangepartitioning"):plan.index("Union")]
+    assert "REPARTITION_BY_NUM" in between
+    order = [(r.severity_rank, r.rule_ord, r.lead_row, r.row_index, r.sub_ord) for r in ordered.collect()]
+    assert order == sorted(order) and len(order) == issues.count()
