@@ -268,3 +268,16 @@ def test_issues_are_found_once_for_a_sort(spark):
     assert "REPARTITION_BY_NUM" in between
     order = [(r.severity_rank, r.rule_ord, r.lead_row, r.row_index, r.sub_ord) for r in ordered.collect()]
     assert order == sorted(order) and len(order) == issues.count()
+
+
+def test_products_are_read_once_for_all_rules(spark, tmp_path):
+    """All steps of an inspection share one shuffle of the products, so their table is read and typed once."""
+    catalog(spark, random_rows(30, 2)).write.parquet(f"{tmp_path}/catalog")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan then shows the shuffles that are used again
+    try:
+        reported = report.report(inspect(spark.read.parquet(f"{tmp_path}/catalog")))
+        plan = report.count_by_risk(reported)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("FileScan parquet") == 1
