@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalake.operators.promote import IDENTITY, changed_fields, hash_of_lanes, lane_sums, preview
+from catalake.operators.promote import IDENTITY, changed_fields, hash_of_lanes, lane_sums, merged, preview
 from catalake.sources.recorded import recorded
 
 _REQUEST = ["request_no", "load_run_id", "supplier_key"]
@@ -72,7 +72,7 @@ def run_in_order(
     open_requests = asked.where("eligible and not done and not refused").select("request_no", "load_run_id")
     items = preview(staging, catalog).select(*IDENTITY, "load_run_id", "before", "after").join(open_requests, "load_run_id")
     held = items.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("holders"))
-    items = recorded(items.join(held, IDENTITY), "requested")
+    items = recorded(items.join(merged(held), IDENTITY), "requested")
     fixed = recorded(lane_sums(items.where("holders = 1"), "after", "before", _REQUEST), "lanes")
     shared = items.where("holders > 1")
 
@@ -113,4 +113,4 @@ def last_changes(changes: DataFrame) -> DataFrame:
     """Of every product the last version that a request gave it, for ``promote.apply_promotion``."""
     real = changes.where("action <> 'unchanged'")
     last = real.groupBy(*IDENTITY).agg(F.max("request_no").alias("request_no"))
-    return real.join(last, [*IDENTITY, "request_no"], "left_semi")
+    return real.join(merged(last), [*IDENTITY, "request_no"], "left_semi")

@@ -238,3 +238,21 @@ def test_preview_hash_sees_every_change_and_ignores_order(spark):
     assert mark(base) == mark(base[::-1])
     others = [[product("S", "a", 2, price=101), base[1]], [base[0], product("S", "b", 2, seller="")], base[:1], [product("S", "a", 3), product("S", "b", 3)]]
     assert len({mark(base), *map(mark, others)}) == 5
+
+
+def test_products_are_never_sent_to_all_tasks(spark):
+    item = "external_product_id string, " + ", ".join(f"{c} string" for c in COMPARED_FIELDS)
+    values = ["x"] * len(COMPARED_FIELDS)
+    staging = spark.createDataFrame(
+        [(1, 1, "S", "a", *values), (2, 1, "S", "b", *values)],
+        f"id long, load_run_id long, supplier_key string, {item.replace('external_product_id', 'product_id')}",
+    )
+    catalog = spark.createDataFrame([("S", "a", *values, 0)], f"supplier_key string, {item}, source_load_run_id long")
+    items = promote.preview(staging, catalog)
+    assert {r.external_product_id: r.action for r in items.collect()} == {"a": "unchanged", "b": "insert"}
+    changes = promote.applicable(items, staging.select("load_run_id"))
+    back = promote.rollback_preview(promote.change_log(changes), catalog)
+    for frame in (items, changes, back, promote.apply_rollback(catalog, back)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "external_product_id" in x]
+    assert [tuple(r)[:2] for r in promote.apply_rollback(catalog, back).collect()] == [("S", "a")]
